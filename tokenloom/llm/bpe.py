@@ -20,8 +20,12 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from tokenloom.llm.common import with_field
 
 #: White space as Unicode defines it; Python's own class has four control characters more.
 WS = r"\t-\r \x85\xa0  -     　"
@@ -323,7 +327,7 @@ def encode(df: DataFrame, config: str, text: str = "text", keep: tuple[str, ...]
         bpe = load(held.value)
         for batch in batches:
             column = batch.column(len(keep))
-            for part in slices(np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0))):
+            for part in slices(np.asarray(pc.fill_null(pc.binary_length(column), 0))):
                 rows = batch.slice(part.start, part.stop - part.start)
                 found = bpe.encode_batch(texts_of(rows.column(len(keep))))
                 ends = np.zeros(len(found) + 1, np.int32)
@@ -332,7 +336,7 @@ def encode(df: DataFrame, config: str, text: str = "text", keep: tuple[str, ...]
                 yield pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[*keep, ids])
 
     source = df.select(*keep, df[text].alias("_text"))
-    return source.mapInArrow(run, source.select(*keep).schema.add(ids, "array<int>"))
+    return source.mapInArrow(run, with_field(source.select(*keep).schema, ids, T.ArrayType(T.IntegerType())))
 
 
 def decode(df: DataFrame, config: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -348,4 +352,4 @@ def decode(df: DataFrame, config: str, ids: str = "ids", out: str = "decoded") -
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*kept, out])
 
     source = df.select(*kept)
-    return source.mapInArrow(run, source.schema.add(out, "string"))
+    return source.mapInArrow(run, with_field(source.schema, out, T.StringType()))

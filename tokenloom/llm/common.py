@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space as the contracts define it.
 SPACE = r"[\x20\x09-\x0D]"
@@ -19,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_field(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField(name, kind)])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from the session; one is made only where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -65,7 +70,7 @@ def salted_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "in
     hot = counts.where(F.col("count") >= least).select(*keys, F.ceil(F.col("count") / least).cast("int").alias("_salts")).collect()
     if not hot:
         return many.join(few, keys, how)
-    schema = few.select(*keys).schema.add("_salts", "int")
+    schema = with_field(few.select(*keys).schema, "_salts", T.IntegerType())
     splits = F.broadcast(many.sparkSession.createDataFrame([tuple(r) for r in hot], schema))
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in ([seed] if seed else [c for c in many.columns if c not in keys])]), F.coalesce(F.col("_salts"), F.lit(1)))
     left = many.join(splits, keys, "left").withColumn("_salt", spread.cast("int")).drop("_salts")
