@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import bpe
+from tokenloom.llm import bpe, packing
 from tokenloom.llm.common import small_batches, table
 
 #: Where the tokenizer files are; a parameter of the environment, never part of the repository.
@@ -39,5 +39,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_bpe": op1_bpe}
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in sequences of 2048 tokens."""
+    small_batches(spark)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_packing": op2_packing}
 ORACLES: dict[str, str] = {}
