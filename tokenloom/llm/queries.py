@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import bpe, packing
+from tokenloom.llm import bpe, exact_dedup, packing
 from tokenloom.llm.common import small_batches, table
 
 #: Where the tokenizer files are; a parameter of the environment, never part of the repository.
@@ -45,5 +45,17 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_packing": op2_packing}
-ORACLES: dict[str, str] = {}
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts over all documents."""
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("locator")
+
+
+OP7_SQL = """
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS norm FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
+       doc_id = min(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
+FROM t
+"""
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op7_exact_dedup": op7_exact_dedup}
+ORACLES: dict[str, str] = {"op7_exact_dedup": OP7_SQL}
