@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import bpe, exact_dedup, packing
+from tokenloom.llm import bpe, exact_dedup, packing, quality_rules
 from tokenloom.llm.common import small_batches, table
 
 #: Where the tokenizer files are; a parameter of the environment, never part of the repository.
@@ -57,5 +57,16 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
 FROM t
 """
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op7_exact_dedup": op7_exact_dedup}
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of all documents under the current policy."""
+    found = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_mask")
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_packing": op2_packing,
+    "op7_exact_dedup": op7_exact_dedup,
+    "op9_quality_rules": op9_quality_rules,
+}
 ORACLES: dict[str, str] = {"op7_exact_dedup": OP7_SQL}
