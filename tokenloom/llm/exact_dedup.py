@@ -20,7 +20,12 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm.common import SPACE, salted_join, scratch, stored
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; a store is closed as soon as its task has committed, so that no open store holds disk or memory.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 #: Row keys of hits are broadcast up to this number (about 100 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_HITS = 200_000
 
@@ -42,10 +47,10 @@ def fingerprints(df: DataFrame, digest: Callable[[Column], Column] = sha256, tex
 
 def keyed_state(spark: SparkSession, path: str, partitions: int | None = None, max_bytes: str | None = None) -> DataFrame:
     """Runs the stream over the fingerprints stored at path, to its end; the final state: digest, keep_id, locator, group_size."""
-    old = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions")}
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    if partitions:
-        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    want = dict(STATE) | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
+    old = {k: spark.conf.get(k, None) for k in want}
+    for k, v in want.items():
+        spark.conf.set(k, v)
     checkpoint = scratch(spark, "dedup-state")
     try:
         reader = spark.readStream.schema(spark.read.parquet(path).schema)
@@ -76,20 +81,23 @@ def keyed_state(spark: SparkSession, path: str, partitions: int | None = None, m
 
 
 def clashes(df: DataFrame, members: DataFrame, digest: Callable[[Column], Column], text: str, key: str) -> DataFrame:
-    """Rows whose text differs from that of the row kept for their digest: digest and the text itself."""
-    hits = members.where(F.col("group_size") > 1).select("doc_id", "digest", "keep_id", "group_size")
-    wanted = hits.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    texts = df.select(F.col(key).alias("_id"), normalised(text).alias("_text")).withColumn("_digest", digest(F.col("_text")))
-    same_row = [F.col("w._id").eqNullSafe(F.col("t._id")), F.col("w._digest") == F.col("t._digest")]
+    """Rows whose text differs from that of the row kept for their digest: digest and the text itself.
+
+    Only rows whose digest was hit are read in full; they are picked by identifier before anything is computed of them.
+    """
+    hits = members.where(F.col("group_size") > 1)
+    wanted = hits.select(F.col("doc_id").alias("_id")).distinct()
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_HITS else wanted
-    found = texts.alias("t").join(side.alias("w"), same_row, "left_semi").select("_id", F.col("_digest").alias("digest"), "_text")
-    held = members.where(F.col("group_size") > 1).groupBy("digest").agg(F.first("keep_id").alias("keep_id"))
+    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_raw"))
+    texts = rows.join(side, rows["_key"].eqNullSafe(side["_id"]), "left_semi").select(F.col("_key").alias("_id"), normalised("_raw").alias("_text"))
+    found = stored(texts.withColumn("digest", digest(F.col("_text"))), "dedup-hits")
+    held = hits.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("digest").alias("_digest"), "keep_id").distinct()
     keepers = (
-        found.join(held.alias("h"), (F.col("_id").eqNullSafe(F.col("h.keep_id"))) & (found.digest == F.col("h.digest")), "left_semi")
+        found.join(held, found["_id"].eqNullSafe(held["keep_id"]) & (found["digest"] == held["_digest"]), "left_semi")
         .groupBy("digest")
         .agg(F.min("_text").alias("_kept"))
     )
-    return salted_join(found.select("digest", "_id", "_text"), keepers, ["digest"], seed="_id").where(F.col("_text") != F.col("_kept")).select("digest", "_id", "_text")
+    return salted_join(found, keepers, ["digest"], seed="_id").where(F.col("_text") != F.col("_kept")).select("digest", "_id", "_text")
 
 
 def exact_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", digest: Callable[[Column], Column] = sha256, max_bytes: str | None = None) -> DataFrame:
