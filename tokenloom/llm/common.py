@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tokenloom.session import ship
+
 #: ASCII white space as the contracts define it.
 SPACE = r"[\x20\x09-\x0D]"
 #: A key with at least this share of all rows is split; so at most as many keys are.
@@ -48,7 +50,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Texts vary from a word to megabytes: few rows a batch keep the Python workers' memory low."""
+    """Sends the package to the executors. Texts vary from a word to megabytes: few rows a batch keep workers small."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
@@ -57,14 +60,16 @@ def bucket_of(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def salted_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "inner", seed: str | None = None) -> DataFrame:
+def salted_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "inner", seed: str | None = None, counts: DataFrame | None = None) -> DataFrame:
     """many JOIN few ON keys, where one key may hold a large share of `many`.
 
-    Keys with at least a 1/HOT_KEYS share of `many` are split into ceil(share * HOT_KEYS) salts; there can be
-    HOT_KEYS such keys at most, so the table of them is bounded and is broadcast whatever the input's size.
-    `few` repeats its rows of hot keys once for each salt. how: inner or left. Null keys match nothing.
+    Keys with at least a 1/HOT_KEYS share of `many` are split into as many salts as they have such shares; there can be
+    HOT_KEYS such keys at most, so the table of them is bounded and is broadcast whatever the input's size. `few`
+    repeats its rows of hot keys once for each salt. how: inner or left. Null keys match nothing. seed: a column of
+    `many` that tells its rows apart. counts: rows of each key, if they are known already (keys and count).
     """
-    counts = many.groupBy(*keys).count()
+    if counts is None:
+        counts = many.groupBy(*keys).count()
     total = counts.agg(F.sum("count")).first()[0] or 0
     least = max(64, math.ceil(total / HOT_KEYS))
     hot = counts.where(F.col("count") >= least).select(*keys, F.ceil(F.col("count") / least).cast("int").alias("_salts")).collect()
@@ -76,3 +81,30 @@ def salted_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "in
     left = many.join(splits, keys, "left").withColumn("_salt", spread.cast("int")).drop("_salts")
     right = few.join(splits, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """node and label (the smallest node reachable) of every node of the undirected edges, which may be null-free longs only.
+
+    Large-star and small-star steps in turn until nothing changes; each step is written to the shared folder.
+    """
+    now = stored(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct(), "edges")
+    seen = mark(now)
+    while seen[0]:
+        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = stored(salted_join(both.where("v > u"), least, ["u"], seed="v").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "edges")
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = salted_join(large, least, ["a"], seed="b").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = stored(small.unionByName(least.withColumnRenamed("m", "b")).distinct(), "edges")
+        if (found := mark(now)) == seen:
+            break
+        seen = found
+    roots = now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
+    return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)
+
+
+def mark(edges: DataFrame) -> tuple:
+    """Tells one set of edges from another."""
+    row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    return tuple(row)

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import bpe, exact_dedup, packing, quality_rules
+from tokenloom.llm import bpe, exact_dedup, near_dedup, packing, quality_rules
 from tokenloom.llm.common import small_batches, table
 
 #: Where the tokenizer files are; a parameter of the environment, never part of the repository.
@@ -50,6 +50,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("locator")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under a similarity of 0.85."""
+    small_batches(spark)
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 OP7_SQL = """
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
@@ -66,6 +72,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_packing": op2_packing,
+    "op5_near_dedup": op5_near_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_quality_rules": op9_quality_rules,
 }
