@@ -15,8 +15,9 @@ import heapq
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ WS = r"\t-\r \x85\xa0  -     　"
 NEVER = np.int64(1 << 40)
 SHIFT, NO_MERGE = 24, 1 << 62
 WHOLE = (1 << SHIFT) - 1
-KEPT_WORDS, KEPT_CHARS = 400_000, 48
+KEPT, KEPT_CHARS = 600_000, 48
 
 
 def byte_glyphs() -> list[str]:
@@ -73,11 +74,7 @@ class Merges:
         self.key_ranks = np.fromiter((c >> SHIFT for c in self.coded.values()), np.int64, len(keys))[order]
         symbols = {*GLYPH, *(g + self.suffix for g in GLYPH)}
         self.proposable = {t: i for t, i in self.vocab.items() if i in made or t in symbols}
-        self.reach: dict[str, int] = {}  # the longest token that begins with three symbols
-        for t in self.proposable:
-            t = t.removesuffix(self.suffix) if self.suffix else t
-            if len(t) > 2:
-                self.reach[t[:3]] = max(len(t), self.reach.get(t[:3], 2))
+        self.trie: list | None = None
         self.doubtful = {i for i, n in made.items() if n > 1}
         self.own: dict[int, bool] = {}
 
@@ -88,10 +85,10 @@ class Merges:
         at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
         return np.where(self.keys[at] == want, self.key_ranks[at], NEVER)
 
-    def is_own(self, token: int, text: str) -> bool:
+    def is_own(self, token: int, text: str, last: bool) -> bool:
         """Whether the merges make this token of its own symbols, through the split that the arrays record."""
         if token not in self.own:
-            self.own[token] = token not in self.doubtful and self.merge(text) == [token]
+            self.own[token] = token not in self.doubtful and self.merge(text, last) == [token]
         return self.own[token]
 
     def compatible(self, l: np.ndarray, r: np.ndarray) -> np.ndarray:
@@ -116,16 +113,14 @@ class Merges:
             l, r = np.where(first, self.right[l], l), np.where(first, r, self.left[r])
         return good
 
-    def symbols(self, word: str) -> list[int]:
+    def symbols(self, word: str, last: bool = True) -> list[int]:
         """Ids of the single symbols; those that the vocabulary lacks are dropped."""
-        if not word:
-            return []
-        names = [*word[:-1], word[-1] + self.suffix]
+        names = [*word[:-1], word[-1] + self.suffix] if last and word else list(word)
         return [self.vocab[s] for s in names if s in self.vocab]
 
-    def merge(self, word: str) -> list[int]:
-        """The merges in order of rank, leftmost first."""
-        ids = self.symbols(word)
+    def merge(self, word: str, last: bool = True) -> list[int]:
+        """The merges in order of rank, leftmost first. last: the word ends here."""
+        ids = self.symbols(word, last)
         if len(ids) > 64:
             return self.merge_long(ids)
         get = self.coded.get
@@ -160,21 +155,37 @@ class Merges:
                     heapq.heappush(heap, (c >> SHIFT, x, c & WHOLE, ids[x], ids[y]))
         return [i for i in ids if i >= 0]
 
+    def build_trie(self) -> list:
+        """Nodes are [token, token at a word's end, children by symbol]."""
+        root: list = [None, None, {}]
+        for t, i in self.proposable.items():
+            last = bool(self.suffix) and t.endswith(self.suffix)
+            node = root
+            for c in t[: -len(self.suffix)] if last else t:
+                node = node[2].setdefault(c, [None, None, {}])
+            if last or not self.suffix:
+                node[1] = i
+            if not last:
+                node[0] = i
+        return root
+
     def propose(self, word: str) -> list[int] | None:
         """Greedy longest match; None if some symbol isn't in the vocabulary."""
-        names, suffix, end, reach = self.proposable, self.suffix, len(word), self.reach
+        if self.trie is None:
+            self.trie = self.build_trie()
+        root, own, end = self.trie[2], self.own, len(word)
         start, out = 0, []
         while start < end:
-            stop = min(end, start + reach.get(word[start : start + 3], 2))
-            while stop > start:
-                part = word[start:stop]
-                token = names.get(part + suffix if stop == end else part) if suffix else names.get(part)
-                if token is not None:
-                    break
-                stop -= 1
-            else:
+            token, stop, children, at = None, start, root, start
+            while at < end and (node := children.get(word[at])) is not None:
+                at += 1
+                found = node[0] if at < end else node[1]
+                if found is not None:
+                    token, stop = found, at
+                children = node[2]
+            if token is None:
                 return None
-            if stop - start > 1 and not self.own.get(token, False) and not self.is_own(token, part):
+            if stop - start > 1 and not own.get(token, False) and not self.is_own(token, word[start:stop], stop == end):
                 return None
             out.append(token)
             start = stop
@@ -211,77 +222,113 @@ class Bpe:
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{WS}").replace(r"(?!\S)", f"(?![^{WS}])").replace(r"\s+", f"[{WS}]+"))
         steps = (spec.get("normalizer") or {}).get("normalizers", [])
         self.nfc, self.lower = any(s["type"] == "NFC" for s in steps), any(s["type"] == "Lowercase" for s in steps)
-        self.spaces = regex.compile(f"[{WS}]+") if any(s["type"] == "Replace" for s in steps) else None
+        self.spaces = regex.compile(f"[{WS}]+")
+        self.controls = re.compile(r"[\x1c-\x1f]")
         self.odd = re.compile(r"\s | \s")
         names = {i: t for t, i in self.merges.vocab.items()}
         self.bytes = {i: bytes(map(TO_BYTE.__getitem__, t)) if all(c in TO_BYTE for c in t) else t.encode() for i, t in names.items()}
         self.bytes |= {i: t.encode() for t, i in self.added.items()}
-        self.first: dict[str, tuple[int, ...]] = {}
-        self.later: dict[str, tuple[int, ...]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """What is remembered: ids of pieces, and by number the ids of words at a text's start and behind a space."""
+        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.first: dict[str, int] = {}
+        self.later: dict[str, int] = {}
+        self.flat, self.starts, self.sizes = array("i"), array("q"), array("q")
 
     def normalized(self, text: str) -> str:
         if self.nfc and not text.isascii():
             text = unicodedata.normalize("NFC", text)
-        if self.spaces:
-            text = self.spaces.sub(" ", text)
         if self.lower:
             text = text.replace("Σ", "σ").lower()
         return text
 
-    def learn(self, chunks: set[str], cache: dict[str, tuple[int, ...]], lead: str) -> None:
-        """Encodes chunks that the cache lacks: each distinct piece of them once."""
-        parts = {c: self.pattern.findall(lead + c) for c in chunks}
-        new = list(set(chain.from_iterable(parts.values())))
-        glyphs = [p.encode("utf-8").decode("latin-1").translate(TO_GLYPH) for p in new]
-        found, _ = self.merges.encode_words(glyphs)
-        get = dict(zip(new, map(tuple, found))).__getitem__
-        for c, ps in parts.items():
-            cache[c] = get(ps[0]) if len(ps) == 1 else tuple(chain.from_iterable(map(get, ps)))
+    def remember(self, ids: tuple[int, ...]) -> int:
+        self.starts.append(len(self.flat))
+        self.sizes.append(len(ids))
+        self.flat.extend(ids)
+        return len(self.starts) - 1
+
+    def learn(self, words: set[str], cache: dict[str, int], lead: str) -> None:
+        """Encodes words that the cache lacks: each distinct piece of them once."""
+        split, pieces, flat = self.pattern.findall, self.pieces, self.flat
+        parts = [split(lead + w) for w in words]
+        new = list(set(chain.from_iterable(parts)).difference(pieces))
+        found, _ = self.merges.encode_words([p.encode("utf-8").decode("latin-1").translate(TO_GLYPH) for p in new])
+        pieces.update(zip(new, map(tuple, found)))
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        ids = list(map(pieces.__getitem__, chain.from_iterable(parts)))
+        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])[np.concatenate([[0], np.cumsum(sizes)])]
+        cache.update(zip(words, range(len(self.starts), len(self.starts) + len(parts))))
+        self.starts.frombytes((ends[:-1] + len(flat)).tobytes())
+        self.sizes.frombytes(np.diff(ends).tobytes())
+        flat.extend(chain.from_iterable(ids))
 
     def spare(self) -> None:
         """Bounds what is remembered. The words met first tend to be the common ones; they stay."""
-        for name in ("first", "later"):
-            if len(cache := getattr(self, name)) > KEPT_WORDS:
-                setattr(self, name, dict(islice(((w, i) for w, i in cache.items() if len(w) <= KEPT_CHARS), KEPT_WORDS * 3 // 4)))
+        if len(self.pieces) > KEPT:
+            self.pieces = dict(islice(((p, i) for p, i in self.pieces.items() if len(p) <= KEPT_CHARS), KEPT * 3 // 4))
+        if len(self.flat) > 8 * KEPT:
+            self.forget()
+        elif len(self.starts) > KEPT:
+            n = KEPT * 3 // 4
+            self.first = {w: k for w, k in self.first.items() if k < n}
+            self.later = {w: k for w, k in self.later.items() if k < n}
+            del self.flat[self.starts[n] :], self.starts[n:], self.sizes[n:]
+
+    def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and where each text's end. Where single spaces part the words, each word is looked up with its space."""
+        runs: list[tuple[list[str], bool, np.ndarray]] = []  # words, whether they start a text, their numbers
+        counts = []
+        lead = "" if self.words_only else " "
+        missing: dict[bool, set[str]] = {True: set(), False: set()}
+
+        def look(words: list[str], head: bool) -> int:
+            numbers = np.fromiter(map((self.first if head else self.later).get, words, repeat(-1)), np.int64, len(words))
+            if (numbers < 0).any():
+                missing[head].update(words[k] for k in np.flatnonzero(numbers < 0).tolist())
+            runs.append((words, head, numbers))
+            return len(words)
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text. Where single spaces part the words, each word is looked up with the space before it."""
-        plan, first, later = [], set(), set()
         for text in texts:
-            segments = []
-            for n, part in enumerate(self.cut.split(text) if self.cut and self.cut.search(text) else [text]):
-                if n % 2:
-                    segments.append((self.added[part], None))
+            n = 0
+            for k, part in enumerate(self.cut.split(text) if self.cut and self.cut.search(text) else [text]):
+                if k % 2:
+                    if (number := self.first.get(special := (part,))) is None:
+                        number = self.first[special] = self.remember((self.added[part],))
+                    runs.append(([], True, np.array([number], np.int64)))
+                    n += 1
                     continue
                 if self.words_only or self.nfc or self.lower:
                     part = self.normalized(part)
                 if not part:
                     continue
-                if not self.words_only and (part[0] == " " or part[-1] == " " or self.odd.search(part)):
-                    words = [part]
+                if self.words_only:
+                    # White space is dropped; str.split() takes four control characters for it too.
+                    n += look(self.spaces.split(part) if self.controls.search(part) else part.split(), False)
+                elif part[0] == " " or part[-1] == " " or self.odd.search(part):
+                    n += look([part], True)
                 else:
                     words = part.split(" ")
-                head, rest = ([], words) if self.words_only else (words[:1], words[1:])
-                segments.append((head, rest))
-                first.update(head)
-                later.update(rest)
-            plan.append(segments)
-        if first := first.difference(self.first):
-            self.learn(first, self.first, "")
-        if later := later.difference(self.later):
-            self.learn(later, self.later, "" if self.words_only else " ")
-        out = []
-        for segments in plan:
-            ids: list[int] = []
-            for head, rest in segments:
-                if rest is None:
-                    ids.append(head)
-                    continue
-                ids.extend(chain.from_iterable(map(self.first.__getitem__, head)))
-                ids.extend(chain.from_iterable(map(self.later.__getitem__, rest)))
-            out.append(ids)
+                    n += look(words[:1], True) + look(words[1:], False)
+            counts.append(n)
+        if missing[True]:
+            self.learn(missing[True], self.first, "")
+        if missing[False]:
+            self.learn(missing[False], self.later, lead)
+        for words, head, numbers in runs:
+            lost = np.flatnonzero(numbers < 0)
+            if len(lost):
+                get = (self.first if head else self.later).__getitem__
+                numbers[lost] = [get(words[k]) for k in lost.tolist()]
+        every = np.concatenate([r[2] for r in runs]) if runs else np.zeros(0, np.int64)
+        sizes, starts = np.array(self.sizes, np.int64)[every], np.array(self.starts, np.int64)[every]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = np.array(self.flat, np.int32)[np.repeat(starts - ends + sizes, sizes) + np.arange(total)]
         self.spare()
-        return out
+        return ids, np.concatenate([[0], ends])[np.cumsum([0, *counts])]
 
     def decode(self, ids: list[int]) -> str:
         """The bytes of the ids in turn; unknown ids vanish, invalid UTF-8 becomes U+FFFD."""
@@ -329,11 +376,9 @@ def encode(df: DataFrame, config: str, text: str = "text", keep: tuple[str, ...]
             column = batch.column(len(keep))
             for part in slices(np.asarray(pc.fill_null(pc.binary_length(column), 0))):
                 rows = batch.slice(part.start, part.stop - part.start)
-                found = bpe.encode_batch(texts_of(rows.column(len(keep))))
-                ends = np.zeros(len(found) + 1, np.int32)
-                np.cumsum([len(f) for f in found], out=ends[1:])
-                flat = np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1]))
-                yield pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[*keep, ids])
+                found, ends = bpe.encode_batch(texts_of(rows.column(len(keep))))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found))
+                yield pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], lists], names=[*keep, ids])
 
     source = df.select(*keep, df[text].alias("_text"))
     return source.mapInArrow(run, with_field(source.select(*keep).schema, ids, T.ArrayType(T.IntegerType())))

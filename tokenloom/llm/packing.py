@@ -41,8 +41,9 @@ def pieces(df: DataFrame, config: str, size: int = 2048, end_id: int = 1, text:
             for part in slices(sizes):
                 rows = batch.slice(part.start, part.stop - part.start)
                 owner, start, length, crc, total, ids = [], [], [], [], [], []
-                for k, found in enumerate(bpe.encode_batch(texts_of(rows.column(1)))):
-                    found = np.array([*found, end_id], "<u4")
+                every, ends = bpe.encode_batch(texts_of(rows.column(1)))
+                for k in range(rows.num_rows):
+                    found = np.append(every[ends[k] : ends[k + 1]], end_id).astype("<u4")
                     for at in range(0, len(found), size):
                         piece = found[at : at + size]
                         owner.append(k)
