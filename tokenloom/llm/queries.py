@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import bpe, exact_dedup, near_dedup, packing, quality_rules
+from tokenloom.llm import bpe, exact_dedup, html_text, near_dedup, packing, quality_rules
 from tokenloom.llm.common import small_batches, table
 
 #: Where the tokenizer files are; a parameter of the environment, never part of the repository.
@@ -50,6 +50,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("locator")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    small_batches(spark)
+    return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents under a similarity of 0.85."""
     small_batches(spark)
@@ -72,6 +78,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_packing": op2_packing,
+    "op3_html_text": op3_html_text,
     "op5_near_dedup": op5_near_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_quality_rules": op9_quality_rules,
