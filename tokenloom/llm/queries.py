@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import bpe, exact_dedup, html_text, near_dedup, packing, quality_rules
-from tokenloom.llm.common import small_batches, table
+from tokenloom.llm import bpe, exact_dedup, html_text, near_dedup, packing, quality_model, quality_rules
+from tokenloom.llm.common import bucket_of, small_batches, table
 
 #: Where the tokenizer files are; a parameter of the environment, never part of the repository.
 TOKENIZERS = os.environ.get("TOKENLOOM_TOKENIZERS", "")
@@ -56,6 +56,20 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from rows that aren't held out."""
+    small_batches(spark)
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_model.learn(documents, labels.where(quality_model.may_learn()))
+    scored = quality_model.score(documents, model)
+    return scored.select(
+        "doc_id",
+        (bucket_of("doc_id", 5) == 0).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).cast("int").alias("predicted"),
+    )
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents under a similarity of 0.85."""
     small_batches(spark)
@@ -79,6 +93,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_packing": op2_packing,
     "op3_html_text": op3_html_text,
+    "op4_quality_model": op4_quality_model,
     "op5_near_dedup": op5_near_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_quality_rules": op9_quality_rules,
