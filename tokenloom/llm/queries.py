@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import bpe, exact_dedup, html_text, near_dedup, packing, quality_model, quality_rules
+from tokenloom.llm import bpe, exact_dedup, html_text, language_id, near_dedup, packing, quality_model, quality_rules
 from tokenloom.llm.common import bucket_of, small_batches, table
 
 #: Where the tokenizer files are; a parameter of the environment, never part of the repository.
@@ -76,6 +76,15 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of all documents, learned from rows that aren't held out."""
+    small_batches(spark)
+    documents = table(spark, sf_dir, "documents")
+    prototypes = language_id.learn(documents.where(language_id.may_learn()))
+    found = language_id.predict(documents, prototypes)
+    return found.select("doc_id", (bucket_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 OP7_SQL = """
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
@@ -95,6 +104,7 @@ QUERIES = {
     "op3_html_text": op3_html_text,
     "op4_quality_model": op4_quality_model,
     "op5_near_dedup": op5_near_dedup,
+    "op6_language_id": op6_language_id,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_quality_rules": op9_quality_rules,
 }
