@@ -49,10 +49,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Sends the package to the executors. Texts vary from a word to megabytes: few rows a batch keep workers small."""
+def small_batches(spark: SparkSession, rows: int = 20_000, size: str = "6m") -> None:
+    """Sends the package to the executors, and bounds Arrow batches by bytes: texts vary from a word to megabytes."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def bucket_of(column: str, modulus: int) -> Column:

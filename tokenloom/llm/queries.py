@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import bpe, exact_dedup, html_text, language_id, near_dedup, packing, quality_model, quality_rules
-from tokenloom.llm.common import bucket_of, small_batches, table
+from tokenloom.llm import bpe, context_mixing, exact_dedup, html_text, language_id, near_dedup, packing, quality_model, quality_rules
+from tokenloom.llm.common import bucket_of, small_batches, stored, table
 
 #: Where the tokenizer files are; a parameter of the environment, never part of the repository.
 TOKENIZERS = os.environ.get("TOKENLOOM_TOKENIZERS", "")
@@ -85,6 +85,15 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (bucket_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and context-mixing scores of all documents, learned from rows that aren't held out."""
+    small_batches(spark)
+    documents = table(spark, sf_dir, "documents")
+    counts = stored(context_mixing.corpus_counts(documents.where(context_mixing.may_learn())), "corpus-counts")
+    found = context_mixing.score(documents, counts, context_mixing.learn(counts))
+    return found.select("doc_id", (bucket_of("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 OP7_SQL = """
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
@@ -107,5 +116,6 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_quality_rules": op9_quality_rules,
+    "op10_context_mixing": op10_context_mixing,
 }
 ORACLES: dict[str, str] = {"op7_exact_dedup": OP7_SQL}
