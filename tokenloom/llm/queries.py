@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import bpe, context_mixing, exact_dedup, html_text, language_id, near_dedup, packing, quality_model, quality_rules
+from tokenloom.llm import bpe, context_mixing, exact_dedup, html_text, language_id, near_dedup, packing, quality_model, quality_rules, warc
 from tokenloom.llm.common import bucket_of, small_batches, stored, table
 
 #: Where the tokenizer files are; a parameter of the environment, never part of the repository.
@@ -94,6 +94,15 @@ def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (bucket_of("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two crawls over all pages, with the revisits of the second resolved."""
+    found = warc.resolve_revisits(warc.captures(table(spark, sf_dir, "pages")))
+    return found.select(
+        "record_id", F.floor(F.col("record_id") / 2).alias("page_id"), "url", "canonical_url", "outcome", "refers_to", "status", "payload_digest",
+        F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ";").alias("merged_headers"),
+    )
+
+
 OP7_SQL = """
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
@@ -115,6 +124,7 @@ QUERIES = {
     "op5_near_dedup": op5_near_dedup,
     "op6_language_id": op6_language_id,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_warc_revisits": op8_warc_revisits,
     "op9_quality_rules": op9_quality_rules,
     "op10_context_mixing": op10_context_mixing,
 }
