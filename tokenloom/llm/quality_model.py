@@ -217,8 +217,8 @@ def learn(df: DataFrame, labels: DataFrame, label: str = "quality", text: str =
                 total += context_sums(found, bounds)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-    # One table of SLOTS * DIMS numbers for each task; there are 8 tasks whatever the sample.
-    sums = rows.select("_text").repartition(8, "_text").mapInArrow(contexts, "sums binary").collect()
+    # One table of SLOTS * DIMS numbers for each task; there are 8 tasks at most, whatever the sample.
+    sums = rows.select("_text").coalesce(8).mapInArrow(contexts, "sums binary").collect()
     table = np.sum([np.frombuffer(r["sums"], np.float32) for r in sums], axis=0).reshape(SLOTS, DIMS) + INDEX
     table = (table / (np.linalg.norm(table, axis=1, keepdims=True) + 1e-9)).astype(np.float32)
     held = df.sparkSession.sparkContext.broadcast(table)
@@ -249,6 +249,18 @@ def score(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text
     return source.mapInArrow(run, with_field(source.select(*keep).schema, "score", T.DoubleType()))
 
 
+def accepted(df: DataFrame, model: Model, least: float = 0.3, text: str = "text") -> DataFrame:
+    """The rows of df whose score reaches `least`, with df's columns."""
+    held, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some, x in featured(batch, at, held.value.table):
+                yield some.filter(pa.array(held.value.scores(x) >= least))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def may_learn(key: str = "doc_id", modulus: int = 5):
     """Rows that are not held out."""
     return bucket_of(key, modulus) != 0

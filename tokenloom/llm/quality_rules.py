@@ -132,11 +132,17 @@ def measure(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
 
 
 def ledger(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Measurements and fail_mask: bit k is set if the rule of bit k fails."""
+    """Measurements and fail_mask: bit k is set if the rule of bit k fails.
+
+    The rows pass through a generator of one row each, for Catalyst would move filters on the mask below the
+    projections that measure, and evaluate these once for every time the filter names them.
+    """
     mask = F.lit(0).cast("long")
     for r in rules:
         mask = mask.bitwiseOR(F.when(F.expr(r.fails), F.lit(1 << r.bit).cast("long")).otherwise(F.lit(0).cast("long")))
-    return measure(df, text, keep).withColumn("fail_mask", mask)
+    found = measure(df, text, keep).withColumn("fail_mask", mask)
+    one = F.explode(F.array(F.struct(*[F.col(c) for c in found.columns if c not in keep]))).alias("_one")
+    return found.select(*keep, one).select(*keep, "_one.*")
 
 
 def rejects(policy: str | int) -> Column:
