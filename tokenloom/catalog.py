@@ -2,6 +2,267 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tokenloom.functions import columns as c
+from tokenloom.operators import encode as e
+from tokenloom.plans import tree
+from tokenloom.streaming import refresh
+
 FLAGSHIP = "count_tokens_by_document"
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+#: Words the small vocabularies of the queries hold.
+WORDS = "the of and to in that is for it was der die und das la de el que les et".split()
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def load(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def word_level(pre: str = "WhitespaceSplit", **parts) -> str:
+    model = {"type": "WordLevel", "vocab": {w: i for i, w in enumerate(["<unk>", *WORDS])}, "unk_token": "<unk>"}
+    return json.dumps({"version": "1.0", "pre_tokenizer": {"type": pre}, "model": model} | parts)
+
+
+def byte_level() -> str:
+    """Byte-level BPE with the merges of the small words, in order."""
+    from tokenloom.functions.unicode import GLYPHS
+
+    vocab, merges = {g: i for i, g in enumerate(GLYPHS)}, []
+    for w in WORDS:
+        made = "Ġ"
+        for ch in w:
+            if made + ch not in vocab and len(ch.encode()) == 1:
+                vocab[made + ch] = len(vocab)
+                merges.append(f"{made} {ch}")
+            made += ch
+    level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    return json.dumps({"version": "1.0", "pre_tokenizer": level, "post_processor": level, "decoder": level, "model": {"type": "BPE", "vocab": vocab, "merges": merges}})
+
+
+SPLIT_WS = r"regexp_extract_all(coalesce(text, ''), '[^\x09-\x0D \x85\x{A0}]+')"
+PIECES = "SELECT doc_id, {0} AS p FROM documents"
+SUMMARY = "SELECT doc_id, CAST(len(p) AS INTEGER) AS n_pieces, md5(array_to_string(p, chr(1))) AS digest FROM (" + PIECES + ")"
+
+
+def summary(df: DataFrame, pieces) -> DataFrame:
+    return df.select("doc_id", pieces.alias("p")).select("doc_id", F.size("p").alias("n_pieces"), F.md5(F.array_join("p", "\x01")).alias("digest"))
+
+
+def text() -> Column:
+    return F.coalesce(F.col("text"), F.lit(""))
+
+
+@query(f"SELECT doc_id, CAST(len(p) AS INTEGER) AS n_tokens FROM ({PIECES.format(SPLIT_WS)})")
+def count_tokens_by_document(spark, sf_dir):
+    return e.count_tokens(load(spark, sf_dir), word_level())
+
+
+@query(f"SELECT lang, source, count(*) AS n_docs, CAST(sum(len(p)) AS BIGINT) AS n_tokens FROM (SELECT lang, source, {SPLIT_WS} AS p FROM documents) GROUP BY lang, source")
+def count_tokens_by_source(spark, sf_dir):
+    found = e.count_tokens(load(spark, sf_dir), word_level(), keep=("lang", "source"))
+    return found.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").cast("long").alias("n_tokens"))
+
+
+@query(f"SELECT w AS word, count(*) AS n FROM (SELECT unnest({SPLIT_WS}) AS w FROM documents) GROUP BY w")
+def distinct_words(spark, sf_dir):
+    return load(spark, sf_dir).select(F.explode(c.whitespace_split(text())).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "SELECT doc_id, count(*) AS n, CAST(sum(CASE WHEN v.id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_unk, CAST(sum(coalesce(v.id, 0)) AS BIGINT) AS id_sum FROM "
+    f"(SELECT doc_id, unnest({SPLIT_WS}) AS w FROM documents) LEFT JOIN (VALUES {', '.join(f'({chr(39)}{w}{chr(39)}, {k + 1})' for k, w in enumerate(WORDS))}) v(word, id) ON w = v.word GROUP BY doc_id"
+)
+def word_level_ids(spark, sf_dir):
+    vocab = spark.createDataFrame([(w, k + 1) for k, w in enumerate(WORDS)], "word string, id int")
+    rows = e.word_level_ids(load(spark, sf_dir), c.whitespace_split, vocab, 0)
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("id") == 0).alias("n_unk"), F.sum("id").cast("long").alias("id_sum"))
+
+
+@query(SUMMARY.format(r"regexp_extract_all(coalesce(text, ''), '[\p{L}\p{Nl}\p{M}\p{Nd}\p{Pc}]+|[^\p{L}\p{Nl}\p{M}\p{Nd}\p{Pc}\x09-\x0D \x85\x{A0}]+')"))
+def pieces_whitespace(spark, sf_dir):
+    return summary(load(spark, sf_dir), c.whitespace(text()))
+
+
+@query(SUMMARY.format(r"regexp_extract_all(coalesce(text, ''), '[!-/:-@\[-`{-~\p{P}]|[^!-/:-@\[-`{-~\p{P}]+')"))
+def pieces_punctuation(spark, sf_dir):
+    return summary(load(spark, sf_dir), c.punctuation(text()))
+
+
+@query(SUMMARY.format(r"regexp_extract_all(coalesce(text, ''), '\p{N}+|\P{N}+')"))
+def pieces_digits(spark, sf_dir):
+    return summary(load(spark, sf_dir), c.digits(text()))
+
+
+@query(SUMMARY.format(r"regexp_extract_all(coalesce(text, ''), '\p{N}|\P{N}+')"))
+def pieces_single_digits(spark, sf_dir):
+    return summary(load(spark, sf_dir), c.digits(text(), True))
+
+
+@query(SUMMARY.format(r"list_filter(string_split(coalesce(text, ''), ','), lambda x: x <> '')"))
+def pieces_delimiter(spark, sf_dir):
+    return summary(load(spark, sf_dir), c.delimiter(text(), ","))
+
+
+@query(SUMMARY.format(r"regexp_extract_all(coalesce(text, ''), '(?s:.{1,5})')"))
+def pieces_fixed_length(spark, sf_dir):
+    return summary(load(spark, sf_dir), c.fixed_length(text(), 5))
+
+
+SPLITS = {"removed": r"[^-]+", "isolated": r"-|[^-]+", "contiguous": r"-+|[^-]+", "merged_with_previous": r"[^-]+-?|-", "merged_with_next": r"-?[^-]+|-"}
+
+
+def split_query(name: str, regex: str) -> None:
+    def run(spark, sf_dir):
+        return summary(load(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("text")), c.split(text(), "-", name))
+
+    run.__name__ = f"split_{name}"
+    query(f"SELECT page_id AS doc_id, CAST(len(p) AS INTEGER) AS n_pieces, md5(array_to_string(p, chr(1))) AS digest FROM (SELECT page_id, regexp_extract_all(coalesce(url, ''), '{regex}') AS p FROM pages)")(run)
+
+
+for _name, _regex in SPLITS.items():
+    split_query(_name, _regex)
+
+
+@query(SUMMARY.format(r"regexp_extract_all(CASE WHEN coalesce(text, '') = '' OR starts_with(text, ' ') THEN replace(coalesce(text, ''), ' ', '▁') ELSE '▁' || replace(text, ' ', '▁') END, '▁?[^▁]+|▁')"))
+def pieces_metaspace(spark, sf_dir):
+    return summary(load(spark, sf_dir), c.metaspace(text()))
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(coalesce(text, ''), '^[\x09-\x0D ]+', ''), '[\x09-\x0D ]+$', '')) AS stripped, md5(replace(coalesce(text, ''), 'the', 'THE')) AS replaced, md5(CASE WHEN coalesce(text, '') = '' THEN '' ELSE '▁' || text END) AS prepended, md5(regexp_replace(coalesce(text, ''), '[\x09\x0A\x0C\x0D]', ' ', 'g')) AS nmt FROM documents")
+def normalized_texts(spark, sf_dir):
+    t = text()
+    return load(spark, sf_dir).select("doc_id", F.md5(c.strip(t)).alias("stripped"), F.md5(c.replace_all(t, "the", "THE")).alias("replaced"), F.md5(c.prepend(t, "▁")).alias("prepended"), F.md5(c.nmt(t)).alias("nmt"))
+
+
+@query("SELECT doc_id, CAST(strlen(coalesce(text, '')) AS INTEGER) AS n_glyphs, md5(coalesce(text, '')) AS back FROM documents")
+def byte_glyphs(spark, sf_dir):
+    """Every byte is one glyph, and the glyphs give the text back."""
+    g = load(spark, sf_dir).select("doc_id", c.to_glyphs(text()).alias("g"))
+    return g.select("doc_id", F.length("g").alias("n_glyphs"), F.md5(c.from_glyphs(F.col("g"))).alias("back"))
+
+
+@query(r"SELECT doc_id, CAST(len(p) AS INTEGER) AS n_pieces, CAST(list_sum(list_transform(p, lambda x: strlen(x))) AS BIGINT) AS n_bytes, CAST(list_sum(list_transform(p, lambda x: length(x))) AS BIGINT) AS n_chars FROM (SELECT doc_id, regexp_extract_all(text, '\p{N}+|\P{N}+') AS p FROM documents WHERE text <> '')")
+def piece_offsets(spark, sf_dir):
+    rows = load(spark, sf_dir).where("text <> ''").select("doc_id", c.digits(F.col("text")).alias("p"))
+    rows = rows.select("doc_id", "p", F.aggregate("p", F.lit(0), lambda a, x: a + F.octet_length(x)).alias("end"))
+    return rows.select("doc_id", F.size("p").alias("n_pieces"), F.col("end").cast("long").alias("n_bytes"), F.aggregate("p", F.lit(0), lambda a, x: a + F.length(x)).cast("long").alias("n_chars"))
+
+
+@query(
+    "SELECT doc_id, CAST(k AS INTEGER) AS part_no, CAST(least(64, n - k * 48) AS INTEGER) AS n_tokens FROM "
+    f"(SELECT doc_id, len(p) AS n, unnest(range(0, greatest(1, CAST(ceil((len(p) - 16) / 48.0) AS BIGINT)))) AS k FROM ({PIECES.format(SPLIT_WS)}))"
+)
+def strided_parts(spark, sf_dir):
+    words = load(spark, sf_dir).select("doc_id", c.whitespace_split(text()).alias("w"))
+    rows = words.select("doc_id", F.posexplode(c.chunks(F.col("w"), 64, 16)).alias("part_no", "part"))
+    return rows.select("doc_id", "part_no", F.size("part").alias("n_tokens"))
+
+
+TURNS = r"(SELECT conv_id, turn, len(regexp_extract_all(coalesce(text, ''), '[^\x09-\x0D \x85\x{A0}]+')) AS n FROM conversations)"
+
+
+@query(f"SELECT conv_id, turn, CAST(n AS INTEGER) AS n_tokens, CAST(ceil(max(n) OVER (PARTITION BY conv_id) / 8.0) * 8 AS INTEGER) AS n_padded, CAST(ceil(max(n) OVER (PARTITION BY conv_id) / 8.0) * 8 - n AS INTEGER) AS n_pad FROM {TURNS}")
+def padded_batches(spark, sf_dir):
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.transform(c.whitespace_split(text()), lambda x: F.lit(1)).alias("ids"))
+    longest = rows.groupBy("conv_id").agg(F.max(F.size("ids")).alias("n"))
+    to = (F.ceil(F.col("n") / 8) * 8).cast("int")
+    out = rows.join(longest, "conv_id").select("conv_id", "turn", F.size("ids").alias("n_tokens"), c.padded(F.col("ids"), to, F.lit(0)).alias("p"))
+    return out.select("conv_id", "turn", "n_tokens", F.size("p").alias("n_padded"), F.size(F.filter("p", lambda x: x == 0)).alias("n_pad"))
+
+
+@query(f"SELECT a.conv_id, a.turn, CAST(a.n + b.n + 3 AS INTEGER) AS n_ids, CAST(b.n + 1 AS INTEGER) AS n_second FROM {TURNS} a JOIN {TURNS} b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
+def templated_pairs(spark, sf_dir):
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    after = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
+    special = {t: {"id": t, "ids": [i], "tokens": [t]} for t, i in (("[CLS]", 1), ("[SEP]", 2))}
+    from tokenloom.functions.encoding import template_pieces
+
+    post = {"type": "TemplateProcessing", "single": template_pieces("[CLS] $A [SEP]"), "pair": template_pieces("[CLS] $A [SEP] $B:1 [SEP]:1"), "special_tokens": special}
+    found = e.encode(rows.join(after, ["conv_id", "turn"]), word_level(post_processor=post), keep=("conv_id", "turn"), pair="reply", unit="none", want=("ids", "type_ids"))
+    return found.select("conv_id", "turn", F.size("ids").alias("n_ids"), F.aggregate("type_ids", F.lit(0), lambda a, x: a + x).alias("n_second"))
+
+
+@query("SELECT conv_id, string_agg(role, ' ' ORDER BY turn) AS roles FROM (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS NULL OR before <> role GROUP BY conv_id")
+def ctc_roles(spark, sf_dir):
+    rows = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))
+    return rows.select("conv_id", F.array_join(c.ctc_decoded(F.transform("t", lambda x: x["role"]), clean=False), " ").alias("roles"))
+
+
+def url_files(spark, sf_dir) -> DataFrame:
+    rows = load(spark, sf_dir, "pages")
+    path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), r"[?#].*$", "")
+    return rows.select(F.concat(path, F.lit("/"), F.col("page_id").cast("string")).alias("rel_path"), F.size(c.whitespace_split(F.coalesce("html", F.lit("")))).alias("token_count"), F.octet_length(F.coalesce("html", F.lit(""))).alias("length"))
+
+
+URL_FILES = r"SELECT list_filter(string_split(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') || '/' || CAST(page_id AS VARCHAR), '/'), lambda x: x <> '') AS s, len(regexp_extract_all(coalesce(html, ''), '[^\x09-\x0D \x85\x{A0}]+')) AS t, strlen(coalesce(html, '')) AS l FROM pages"
+TREE = f"SELECT path, CAST(depth AS INTEGER) AS depth, is_dir, CAST(sum(t) AS BIGINT) AS token_count, count(*) AS file_count, CAST(sum(l) AS BIGINT) AS file_size FROM (SELECT array_to_string(list_slice(s, 1, d), '/') AS path, d AS depth, d < len(s) AS is_dir, t, l FROM (SELECT s, t, l, unnest(range(0, len(s) + 1)) AS d FROM ({URL_FILES}))) GROUP BY path, depth, is_dir"
+
+
+@query(TREE)
+def tree_roll_up(spark, sf_dir):
+    return tree.roll_up(url_files(spark, sf_dir)).select("path", "depth", "is_dir", "token_count", "file_count", "file_size")
+
+
+@query(f"WITH tree AS ({TREE}), hits AS (SELECT path FROM tree WHERE depth > 0 AND contains(lower(regexp_extract(path, '[^/]*$')), 'blog')) SELECT * FROM tree t WHERE EXISTS (SELECT 1 FROM hits h WHERE h.path = t.path OR starts_with(t.path, h.path || '/') OR starts_with(h.path, t.path || '/') OR t.path = '')")
+def tree_search(spark, sf_dir):
+    return tree.search(tree.roll_up(url_files(spark, sf_dir)), "BLOG").select("path", "depth", "is_dir", "token_count", "file_count", "file_size")
+
+
+@query(f"SELECT array_to_string(s, '/') AS path, l > 4000 OR list_contains(list_transform(list_slice(s, 1, len(s) - 1), lambda x: lower(x)), 'de') AS skipped FROM ({URL_FILES})")
+def file_filter(spark, sf_dir):
+    rows = url_files(spark, sf_dir)
+    return rows.select(F.array_join(tree.segments(F.col("rel_path")), "/").alias("path"), tree.skip_file(F.col("rel_path"), F.col("length"), ("DE",), 4000).alias("skipped"))
+
+
+@query("WITH e AS (SELECT user_id, event_id, event_type, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id, event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e) SELECT user_id, event_type AS rel_path, max(event_id) AS seq, count(*) AS n_events FROM s GROUP BY user_id, event_type, n")
+def change_sessions(spark, sf_dir):
+    rows = load(spark, sf_dir, "events").select(refresh.timestamp("ts").alias("ts"), F.col("event_id").alias("seq"), "user_id", F.col("event_type").alias("rel_path"))
+    at = F.session_window("ts", "1 hour")
+    return rows.groupBy(at, "user_id", "rel_path").agg(F.max("seq").alias("seq"), F.count(F.lit(1)).alias("n_events")).select("user_id", "rel_path", "seq", "n_events")
+
+
+@query(r"SELECT doc_id, CAST(len(string_split(coalesce(text, ''), 'the')) - 1 AS INTEGER) AS n_added FROM documents")
+def added_tokens(spark, sf_dir):
+    """Occurrences of an added token anywhere in the text."""
+    config = json.loads(word_level(pre="WhitespaceSplit")) | {"added_tokens": [{"id": 0, "content": "the", "special": True, "normalized": False}]}
+    found = e.encode(load(spark, sf_dir), json.dumps(config), unit="none", want=("ids",))
+    return found.select("doc_id", F.size(F.filter("ids", lambda x: x == 1)).alias("n_added"))
+
+
+@query("SELECT doc_id, md5(coalesce(text, '')) AS decoded_md5 FROM documents")
+def byte_level_round_trip(spark, sf_dir):
+    config = byte_level()
+    coded = e.encode(load(spark, sf_dir), config, unit="none", want=("ids",)).select("doc_id", "ids")
+    return e.decode(coded, config).select("doc_id", F.md5("decoded").alias("decoded_md5"))
+
+
+@query()
+def byte_level_spans(spark, sf_dir):
+    return e.spans(load(spark, sf_dir, "benchmark"), byte_level(), keep=("item_id",))
+
+
+@query(f"SELECT item_id, CAST(len(p) AS INTEGER) AS n_words FROM (SELECT item_id, {SPLIT_WS} AS p FROM benchmark)")
+def words_of_encodings(spark, sf_dir):
+    found = e.encode(load(spark, sf_dir, "benchmark"), word_level(), keep=("item_id",), want=("words",))
+    return found.select("item_id", F.size("words").alias("n_words"))
+
+
+@query(r"SELECT item_id, CAST(len(string_split(coalesce(text, ''), chr(10))) AS INTEGER) AS n_lines, CAST(length(coalesce(text, '')) AS INTEGER) AS n_chars FROM benchmark")
+def text_lines(spark, sf_dir):
+    rows = e.lines(load(spark, sf_dir, "benchmark"), keep=("item_id",))
+    return rows.groupBy("item_id").agg(F.count(F.lit(1)).cast("int").alias("n_lines"), F.max("end").cast("int").alias("n_chars"))
