@@ -166,7 +166,7 @@ class Tokenizer:
             if limit is not None and total >= limit:
                 break
             p = pieces[k]
-            found = [(p.fixed, self.id_to_token(p.fixed), 0, len(p.chars))] if p.fixed is not None else self.model.tokens(p.chars)
+            found = [(p.fixed, p.chars, 0, len(p.chars))] if p.fixed is not None else self.model.tokens(p.chars)
             total += len(found)
             out.append((k, p, found))
         return out[::-1] if left else out

@@ -76,11 +76,13 @@ class FolderSource(DataSource):
 
 def is_text(head: bytes, encoding: str = "utf-8") -> bool:
     """Whether the head of a file is valid in its encoding; a character cut off at the end is no fault."""
+    reader = codecs.getincrementaldecoder(encoding)("strict")
     try:
-        codecs.getincrementaldecoder(encoding)("strict").decode(head, False)
-        return True
+        reader.decode(head, False)
     except UnicodeDecodeError:
         return False
+    left = reader.getstate()[0]  # a surrogate's first two bytes aren't the beginning of any character
+    return not (codecs.lookup(encoding).name == "utf-8" and left[:1] == b"\xed" and left[1:2] >= b"\xa0")
 
 
 def decoded(content: bytes, encoding: str = "utf-8") -> str:
