@@ -15,7 +15,7 @@ from tokenloom.session import ship
 #: ASCII white space as the contracts define it.
 SPACE = r"[\x20\x09-\x0D]"
 #: A key with at least this share of all rows is split; so at most as many keys are.
-HOT_KEYS = 512
+HOT_KEYS = 128
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,17 +61,18 @@ def bucket_of(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def salted_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "inner", seed: str | None = None, counts: DataFrame | None = None) -> DataFrame:
+def salted_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "inner", seed: str | None = None, counts: DataFrame | None = None, total: int | None = None) -> DataFrame:
     """many JOIN few ON keys, where one key may hold a large share of `many`.
 
     Keys with at least a 1/HOT_KEYS share of `many` are split into as many salts as they have such shares; there can be
     HOT_KEYS such keys at most, so the table of them is bounded and is broadcast whatever the input's size. `few`
     repeats its rows of hot keys once for each salt. how: inner or left. Null keys match nothing. seed: a column of
-    `many` that tells its rows apart. counts: rows of each key, if they are known already (keys and count).
+    `many` that tells its rows apart. counts: rows of each key, if they are known already (keys and count); total: of `many`, if counts leave rare keys out.
     """
     if counts is None:
         counts = many.groupBy(*keys).count()
-    total = counts.agg(F.sum("count")).first()[0] or 0
+    if total is None:
+        total = counts.agg(F.sum("count")).first()[0] or 0
     least = max(64, math.ceil(total / HOT_KEYS))
     hot = counts.where(F.col("count") >= least).select(*keys, F.ceil(F.col("count") / least).cast("int").alias("_salts")).collect()
     if not hot:

@@ -138,14 +138,19 @@ def likely_pairs(pairs: DataFrame, nodes: DataFrame, percent: int, miss: float,
     return sized.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def exact_links(df: DataFrame, pairs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets reach the threshold. pairs: a stored table."""
-    ids = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
+def sets_by_node(df: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
+    """node and shingles of the documents with these identifiers (column _id), and of all without any; stored."""
     side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     rows = df.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
     wanted = rows.join(side, F.col("_key") == F.col("_id"), "left_semi").unionByName(rows.where(F.col("_key").isNull()))
     sets = sets_of(wanted, "_key", "_text", 0).where("n_shingles > 0")
-    sets = stored(sets.select(name_of(F.col("doc_id"), F.col("digest")).alias("node"), "shingles"), "shingle-sets")
+    return stored(sets.select(name_of(F.col("doc_id"), F.col("digest")).alias("node"), "shingles"), "shingle-sets")
+
+
+def exact_links(df: DataFrame, pairs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
+    """The pairs whose full shingle sets reach the threshold. pairs: a stored table."""
+    ids = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
+    sets = sets_by_node(df, ids, key, text)
     first = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     second = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = salted_join(pairs.join(first, "a"), second, ["b"], seed="a", counts=pairs.groupBy("b").count())
@@ -153,41 +158,75 @@ def exact_links(df: DataFrame, pairs: DataFrame, key: str, text: str, percent: i
     return both.withColumn("_n", common).where(100 * F.col("_n") >= percent * (F.size("sa") + F.size("sb") - F.col("_n"))).select("a", "b").distinct()
 
 
-def cross_pairs(members: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, miss: float, hashes: int) -> DataFrame:
-    """Likely pairs of different components within the buckets, in blocks of about BLOCK rows a side.
-
-    Of each bucket, rows outside its largest component are compared with all its rows.
+def common_counts(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets numbered x with those numbered y, pair by pair."""
+    if len(x) < 64:
+        return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(x.tolist(), y.tolist())], np.int64)
+    # Many pairs of few sets: the product of their incidence matrices, some shingles at a time.
+    used = np.unique(np.concatenate([x, y]))
+    owner = np.repeat(np.arange(len(used)), [len(sets[k]) for k in used.tolist()])
+    kinds, which = np.unique(np.concatenate([sets[k] for k in used.tolist()]), return_inverse=True)
+    order = np.argsort(which, kind="stable")
+    total = np.zeros((len(used), len(used)), np.float32)
+    for at in range(0, len(kinds), 8192):
+        rows = order[np.searchsorted(which[order], at) : np.searchsorted(which[order], at + 8192)]
+        part = np.zeros((len(used), min(8192, len(kinds) - at)), np.float32)
+        part[owner[rows], which[rows] - at] = 1
+        total += part @ part.T
+    return np.rint(total[np.searchsorted(used, x), np.searchsorted(used, y)]).astype(np.int64)
+
+
+def cross_links(df: DataFrame, members: DataFrame, nodes: DataFrame, labels: DataFrame, key: str, text: str, percent: int, miss: float, bands: int) -> DataFrame:
+    """Links between different components within the buckets, found in blocks of about BLOCK rows a side.
+
+    Of each bucket, rows outside its largest component are compared with all its rows: first the signatures, then the
+    full sets. A pair that shares several bands is compared in the first of them only. Pairs never become rows unless
+    they are links.
     """
-    matches = least_matches(percent, miss, hashes)
     rows = members.where("node <> rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     groups = rows.groupBy("band", "label").count()
     active = groups.groupBy("band").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("count", "label")).alias("major"), F.max("count").alias("most"))
     active = active.where("labels > 1").select("band", "major", F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("ni"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nj"))
     counts = groups.groupBy("band").agg(F.sum("count").alias("count"))
-    rows = salted_join(rows.select("band", "node", "label"), active, ["band"], seed="node", counts=counts)
-    rows = rows.join(nodes.select("node", "n_shingles", "signature"), "node")
+    rows = stored(salted_join(rows.select("band", "k", "node", "label"), active, ["band"], seed="node", counts=counts), "active-members")
+    sets = sets_by_node(df, rows.select(F.col("node").alias("_id")).distinct(), key, text)
+    full = nodes.select("node", "n_shingles", "signature").join(sets, "node").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("shingles").alias("shingles"))
+    rows = rows.join(full, "node")
     stray = rows.where(F.col("label") != F.col("major")).select("*", F.lit(True).alias("stray"), F.pmod(F.xxhash64("node"), F.col("ni")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"))
     every = rows.select("*", F.lit(False).alias("stray"), F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("nj")).cast("int").alias("j"))
-    blocks = stray.unionByName(every).groupBy("band", "i", "j").agg(F.collect_list(F.struct("stray", "node", "label", "n_shingles", "signature")).alias("rows")).select("rows")
+    blocks = stray.unionByName(every).groupBy("band", "i", "j").agg(F.collect_list(F.struct("stray", "k", "node", "label", "n_shingles", "signature", "shingles")).alias("rows")).select("rows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        needed = None
         for batch in batches:
             column = batch.column(0)
             values, ends = column.flatten(), np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(column)))])
             if not len(values):
                 continue
-            is_stray, node, label, size = (np.asarray(values.field(k).to_numpy(zero_copy_only=False)) for k in range(4))
-            signature = flat_signatures(values.field(4))
-            found = []
+            is_stray, band, node, label, size = (np.asarray(values.field(k).to_numpy(zero_copy_only=False)) for k in range(5))
+            signature = flat_signatures(values.field(5))
+            if needed is None:
+                needed = least_matches(percent, miss, signature.shape[1])
+            lists = values.field(6)
+            flat, at = np.asarray(lists.flatten()), np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists)))])
+            found = [np.zeros((2, 0), np.int64)]
             for start, stop in zip(ends[:-1].tolist(), ends[1:].tolist()):
                 some = np.arange(start, stop)
                 x, y = some[is_stray[start:stop]], some[~is_stray[start:stop]]
                 x, y = np.repeat(x, len(y)), np.tile(y, len(x))
                 on = (label[x] != label[y]) & (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y]))
                 x, y = x[on], y[on]
-                live = unlikely(matches, signature[x], signature[y])
-                a, b = node[x[live]], node[y[live]]
-                found.append(np.stack([np.maximum(a, b), np.minimum(a, b)]))
+                live = unlikely(needed, signature[x], signature[y])
+                x, y = x[live], y[live]
+                if len(x):
+                    shared = (signature[x] == signature[y]).reshape(len(x), bands, -1).all(axis=2).argmax(axis=1)
+                    x, y = x[shared == band[x]], y[shared == band[x]]
+                if len(x):
+                    sets = [flat[at[k] : at[k + 1]] for k in range(start, stop)]
+                    n = common_counts(sets, x - start, y - start)
+                    on = 100 * n >= percent * (size[x] + size[y] - n)
+                    a, b = node[x[on]], node[y[on]]
+                    found.append(np.stack([np.maximum(a, b), np.minimum(a, b)]))
             a, b = np.concatenate(found, axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -201,15 +240,13 @@ def near_duplicates(df: DataFrame, percent: int = 80, miss: float = 1e-6, text:
     found = stored(sets_of(df, key, text, hashes), "signatures")
     full = found.where("n_shingles > 0").withColumn("node", name_of(F.col("doc_id"), F.col("digest")))
     nodes = stored(full.groupBy("digest").agg(F.min("node").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "classes")
-    banded = nodes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(k, F.slice("signature", k * width + 1, F.lit(width))))).alias("band"))
+    banded = nodes.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(k, F.slice("signature", k * width + 1, F.lit(width))))).alias("k", "band"))
     buckets = stored(banded.groupBy("band").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("count")).where("count > 1"), "buckets")
-    members = stored(salted_join(banded, buckets.drop("count"), ["band"], seed="node", counts=buckets.select("band", "count")), "bucket-members")
+    members = stored(salted_join(banded, buckets.drop("count"), ["band"], seed="node", counts=buckets.select("band", "count"), total=nodes.count() * bands), "bucket-members")
     star = stored(members.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct(), "star-pairs")
     likely = stored(likely_pairs(star, nodes, percent, miss, hashes), "likely-pairs")
     links = stored(exact_links(df, likely, key, text, percent), "links")
-    crossing = stored(cross_pairs(members, nodes, components(links), percent, miss, hashes), "crossing-pairs")
-    if not crossing.isEmpty():
-        links = links.unionByName(exact_links(df, crossing, key, text, percent))
+    links = links.unionByName(stored(cross_links(df, members, nodes, components(links), key, text, percent, miss, bands), "cross-links"))
     labels = nodes.select("digest", "node").join(components(links), "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
     out = salted_join(found.select("doc_id", "n_shingles", "digest"), labels, ["digest"], "left", seed="doc_id")
     component = F.when(F.col("label") < NAMELESS, F.col("label")).otherwise(F.col("doc_id"))
