@@ -230,7 +230,7 @@ def learn(df: DataFrame, labels: DataFrame, label: str = "quality", text: str =
 
     found = rows.select(F.xxhash64("_key").alias("k"), F.col("_y").alias("y"), "_text").mapInArrow(vectors, "k long, y int, x binary").collect()
     found.sort(key=lambda r: (r["k"], r["y"], r["x"]))
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in found]).reshape(len(found), -1)
+    x = np.array([np.frombuffer(r["x"], np.float32) for r in found]) if found else np.zeros((0, 1), np.float32)
     y, order = np.array([r["y"] for r in found]), np.array([r["k"] for r in found], np.int64)
     return fit(x, y, order, table)
 

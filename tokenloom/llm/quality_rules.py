@@ -100,7 +100,7 @@ def measure(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
     rows = rows.withColumn("_pairs", F.when(F.size(c) >= 2, pairs))
     p = F.col("_pairs")
     # Texts that the packing can't decide: exact windows, sorted as they are.
-    exact = (F.size(c) < 0) & (last >= 1) | F.exists(p, lambda k: differ(c[k], c[k + 1]))
+    exact = (c.isNull() & (last >= 1)) | F.exists(p, lambda k: differ(c[k], c[k + 1]))
     windows = F.sort_array(F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(*[x.alias(f"w{n}") for n, x in enumerate(at(k))], k.alias("k"))))
     rows = rows.withColumn("_windows", F.when(exact, windows))
     x = F.col("_windows")
