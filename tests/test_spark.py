@@ -147,6 +147,58 @@ def test_change_events(spark):
     assert {(r["rel_path"], r["is_removal"], r["seq"]) for r in found.collect()} == {("a/x", True, 2), ("n", False, 3), ("o", True, 3), ("a/x", False, 6)}
 
 
+def test_refresh_is_a_rebuild(spark, tmp_path):
+    config = catalog.word_level()
+
+    def write(name, text):
+        path = tmp_path / "root" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(text)
+
+    def known(df):
+        return {tuple(r) for r in df.select("rel_path", "length", "token_count").collect()}
+
+    for name, text in {"a.txt": "a b", "d/x.txt": "x", "d/y.txt": "y y", "e/z.txt": "z", "gone.txt": "g"}.items():
+        write(name, text)
+    root = str(tmp_path / "root")
+    before = f.scan(spark, root, config).where("status = 'Counted'").drop("status")
+    before.write.parquet(str(tmp_path / "v1"))
+    (tmp_path / "root" / "gone.txt").unlink()
+    (tmp_path / "root" / "e" / "z.txt").unlink()
+    (tmp_path / "root" / "d" / "x.txt").unlink()
+    for name, text in {"a.txt": "a b c d", "d/new/w.txt": "w", "fresh.txt": "f f"}.items():
+        write(name, text)
+    rows = [("a.txt", False, False), ("gone.txt", False, True), ("e", True, True), ("d", True, False), ("fresh.txt", False, False), ("nowhere", True, False)]
+    changed = spark.createDataFrame(rows, "rel_path string, is_directory boolean, is_removal boolean")
+    after = refresh.refreshed(spark.read.parquet(str(tmp_path / "v1")), changed, root, config)
+    assert known(after) == known(f.scan(spark, root, config).where("status = 'Counted'"))
+
+
+def test_registry_and_settings(tmp_path):
+    from tokenloom.sources.registry import Registry, Settings, format_bytes, speed
+
+    r = Registry({"small": catalog.word_level()})
+    r.register("bytes", catalog.byte_level())
+    assert (r.active, r.describe("bytes").split(" · ")[0]) == ("small", "BPE")
+    r.set_active("bytes")
+    r.remove("bytes")
+    assert r.active == "small"
+    with pytest.raises(ValueError):
+        r.remove("small")
+    path = str(tmp_path / "settings.json")
+    assert Settings.load(path) == Settings()
+    Settings(max_bytes=5, active="x").save(path)
+    assert Settings.load(path) == Settings(max_bytes=5, active="x")
+    assert (format_bytes(1023), format_bytes(1536), speed(0, 0, 0), speed(2_100_000, 1024, 1)) == ("1023 B", "1.5 KB", "", "2.1M tokens/s · 1.0 KB/s")
+
+
+def test_untagged_components():
+    config = json.loads(catalog.byte_level())
+    for part in ("pre_tokenizer", "decoder", "post_processor"):
+        config[part] = {k: v for k, v in config[part].items() if k != "type"}
+    assert Tokenizer(json.dumps(config)).encode("the é").ids == Tokenizer(catalog.byte_level()).encode("the é").ids
+
+
 def test_stream_decoding(spark, tmp_path):
     config = catalog.byte_level()
     t = Tokenizer(config)

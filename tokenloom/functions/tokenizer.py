@@ -14,6 +14,30 @@ from tokenloom.functions.text import Text, normalizer, pre_tokenizer
 from tokenloom.functions.unicode import SPACES, pattern
 
 
+#: Kinds of untagged components, by the fields that they must have; the first that fits is taken.
+LEGACY = {
+    "normalizer": (("normalizers", "Sequence"), ("clean_text", "BertNormalizer"), ("strip_left", "Strip"), ("prepend", "Prepend"), ("pattern content", "Replace"), ("precompiled_charsmap", "Precompiled")),
+    "pre_tokenizer": (("pretokenizers", "Sequence"), ("add_prefix_space trim_offsets", "ByteLevel"), ("delimiter", "CharDelimiterSplit"), ("replacement", "Metaspace"), ("pattern behavior", "Split"), ("behavior", "Punctuation"), ("individual_digits", "Digits"), ("length", "FixedLength")),
+    "post_processor": (("processors", "Sequence"), ("sep cls trim_offsets", "RobertaProcessing"), ("sep cls", "BertProcessing"), ("single pair", "TemplateProcessing"), ("trim_offsets", "ByteLevel")),
+    "decoder": (("decoders", "Sequence"), ("suffix", "BPEDecoder"), ("prefix cleanup", "WordPiece"), ("replacement", "Metaspace"), ("pad_token", "CTC"), ("pattern content", "Replace"), ("content start stop", "Strip"), ("trim_offsets", "ByteLevel")),
+}
+
+
+def tagged(config: dict | None, part: str) -> dict | None:
+    """A component with its tag; children of sequences too."""
+    if config is None:
+        return None
+    if "type" not in config:
+        kind = next((k for fields, k in LEGACY[part] if all(f in config for f in fields.split())), None)
+        if kind is None:
+            raise ValueError(f"an untagged {part} of unknown kind")
+        config = {"type": kind} | config
+    for name in ("normalizers", "pretokenizers", "processors", "decoders"):
+        if name in config:
+            config = config | {name: [tagged(x, part) for x in config[name]]}
+    return config
+
+
 @dataclass(frozen=True)
 class AddedToken:
     content: str
@@ -49,7 +73,7 @@ class Spec:
         for t in j.get("added_tokens") or []:
             flags = {k: bool(t[k]) for k in ("single_word", "lstrip", "rstrip", "special") if k in t}
             added.append(AddedToken(t["content"], normalized=bool(t.get("normalized", not flags.get("special", False))), **flags))
-        parts = {k: j.get(k) for k in ("normalizer", "pre_tokenizer", "post_processor", "decoder", "truncation", "padding")}
+        parts = {k: tagged(j.get(k), k) for k in LEGACY} | {k: j.get(k) for k in ("truncation", "padding")}
         return Spec(model=j["model"], added_tokens=tuple(added), **parts)
 
     def json(self, pretty: bool = False) -> str:

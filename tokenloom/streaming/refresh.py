@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.plans.tree import FOLDERS, segments, skip_folder, valid_path
+from tokenloom.plans.tree import FOLDERS, apply_changes, segments, skip_folder, valid_path
+from tokenloom.session import ship
+from tokenloom.sources.files import FolderSource, count_files
 
 #: A batch closes this long after its last event.
 PAUSE = "1 second"
@@ -42,3 +44,28 @@ def timestamp(column: str) -> Column:
 def current(generation: int) -> Column:
     """Changes seen for an earlier scan are of no use to this one."""
     return F.col("scan_generation") == generation
+
+
+def refreshed(files: DataFrame, changes: DataFrame, root: str, config: str, folders: tuple[str, ...] = FOLDERS, **options) -> DataFrame:
+    """The files (rel_path, length, token_count) after a batch of changes (rel_path, is_directory, is_removal) below root.
+
+    Changed folders are listed anew, changed files counted; a folder that has vanished meanwhile is left as it is known.
+    Use it in foreachBatch with the files as a table of versions: read the last, write the next.
+    """
+    spark = files.sparkSession
+    ship(spark)
+    spark.dataSource.register(FolderSource)
+    removals = changes.where("is_removal").select("rel_path")
+    asked = changes.where("not is_removal and is_directory").select("rel_path")
+    everything = spark.read.format("folder").option("folders", ",".join(folders)).load(root)
+    key = F.lower("rel_path")
+    steps = F.transform(F.sequence(F.lit(1), F.size(segments(F.col("rel_path")))), lambda k: F.lower(F.array_join(F.slice(segments(F.col("rel_path")), 1, k), "/")))
+    inside = everything.withColumn("_r", F.explode(steps)).join(asked.select(key.alias("_r")).distinct(), "_r", "left_semi")
+    found = inside.select("_r").distinct()
+    rescans = asked.withColumn("_r", key).join(found, "_r", "left_semi").select("rel_path")
+    listed = count_files(inside.drop("_r").distinct(), config, **options)
+    single = changes.where("not is_removal and not is_directory").select("rel_path")
+    path = F.concat(F.lit(root.removeprefix("file://").rstrip("/") + "/"), F.col("rel_path"))
+    known = single.join(everything.select(F.col("rel_path"), "length"), "rel_path", "left")
+    counted = count_files(known.select("rel_path", path.alias("full_path"), F.coalesce("length", F.lit(0)).alias("length")), config, **options)
+    return apply_changes(files, removals, rescans, listed, counted)
