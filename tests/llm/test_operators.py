@@ -115,6 +115,15 @@ def test_main_text():
     assert html_text.main_text("<div>" * 3000 + "deep") == "deep"
 
 
+def test_parts_by_name():
+    t = html_text.main_text
+    assert t("<article><div class='entry-header'><h1>T</h1></div><p>b</p><div class='site-footer'>f</div></article>") == "T\nb"
+    assert t("<div class='page-header'>H</div><p>b") == "b"
+    assert t("<p hidden>h</p><p class='visually-hidden-no'>v</p><a href='/hidden'>l</a><p style='display: none'>n</p>") == "v\nl"
+    assert t("<article>a<article class='comment'>c</article></article>") == "a"
+    assert t("<main><div role='navigation'>n</div>m</main>x") == "m"
+
+
 def test_site_templates(spark):
     pages = [(k, f"http://h.example/{k}", f"<body><div>Site slogan</div><p>Body number {k}</p><div>Call us</div></body>") for k in range(40)]
     pages += [(100 + k, f"http://h.example/c{k}", f"<!-- {k} --><body><p>Same copy</p></body>") for k in range(30)] + [(200, None, None), (201, "http://other.example/", "<p>Site slogan</p>")]

@@ -5,6 +5,7 @@ import pytest
 import corpus_pipeline
 import __spark_entry__ as entry
 from tokenloom.llm import queries
+from tokenloom.llm.common import stored
 
 
 def test_registered():
@@ -23,7 +24,7 @@ def test_stages(spark, data):
         assert out.columns == docs.columns, name
         found = {r["doc_id"] for r in out.select("doc_id").collect()}
         assert before is None or found <= before
-        before = found
+        before, docs = found, stored(out, "stage")
     out = corpus_pipeline.run(spark, data).collect()
     assert {r["doc_id"] for r in out} == before
     total = {}

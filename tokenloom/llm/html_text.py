@@ -61,6 +61,8 @@ TOKEN = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"""([A-Za-z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+QUOTED = re.compile(r"""=\s*(?:"[^"]*"|'[^']*')""")
+HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s/=]|$)", re.I)
 CUT = re.compile(r"<(?=[A-Za-z/!?])")
 WORDS = re.compile(r"[a-z]+")
 
@@ -145,14 +147,16 @@ class Page:
         given = attributes(rest)
         label = f"{given.get('class', '')} {given.get('id', '')}".lower()
         words = WORDS.findall(label)
-        gone = name in GONE or given.get("role", "").lower() in ROLES or given.get("aria-hidden") == "true" or bool(re.search(r"\bhidden\b(?!=)", rest.lower()) and "hidden" not in label)
+        gone = name in GONE or given.get("role", "").lower() in ROLES or given.get("aria-hidden") == "true"
+        gone |= "hidden" in rest.lower() and bool(HIDDEN.search(QUOTED.sub("", rest)))
         gone |= "display:none" in given.get("style", "").replace(" ", "").lower()
         gone |= name == "header" and not self.inside
         if name in ("html", "body", "main"):
             gone = False
-        elif not gone and words:
-            named = REMARKS if name == "article" else PARTS if name != "header" else frozenset()
-            gone = not named.isdisjoint(words)
+        elif not gone and words and name != "header":
+            named = REMARKS if name == "article" else PARTS
+            # An article's own heading may lie in a part called header.
+            gone = not named.isdisjoint(words) and not (self.inside and named.intersection(words) == {"header"})
         main = 0
         if not self.hidden and not gone:
             main = 1 if name == "article" else 2 if name == "main" or given.get("role") == "main" else 3 if name in ("div", "section", "td") and not MAIN.isdisjoint(words) else 0
