@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,6 +60,20 @@ def small_batches(spark: SparkSession, rows: int = 20_000, size: str = "6m") ->
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A kernel that gives freed memory back at its end: Python workers stay, and what one stage needed would pile up."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return wrapped
+
+
 def bucket_of(column: str, modulus: int) -> Column:
     """crc32 of a number written in decimal, modulo; the split that the contracts prescribe. Null: of the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

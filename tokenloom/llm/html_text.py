@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenloom.llm.common import salted_join, stored
+from tokenloom.llm.common import salted_join, stored, trimmed
 
 #: A subtree is template if it occurs in at least LEAST articles and this share of all articles of the host.
 LEAST, SHARE = 20, 0.8
@@ -238,7 +238,7 @@ def templates(df: DataFrame, url: str = "url", html: str = "html", least: int =
                 hashes.append(sorted(page.subtrees))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(articles, pa.binary()), pa.array(hashes, pa.list_(pa.binary()))], names=["host", "article", "subtrees"])
 
-    found = df.select(host_of(url).alias("host"), F.col(html).alias("_html")).mapInArrow(run, "host string, article binary, subtrees array<binary>")
+    found = df.select(host_of(url).alias("host"), F.col(html).alias("_html")).mapInArrow(trimmed(run), "host string, article binary, subtrees array<binary>")
     # Each article of a host counts once: of its copies, one stands for all.
     found = stored(found, "subtrees")
     totals = found.select("host", "article").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("articles")).where(F.col("articles") >= least)
@@ -268,4 +268,4 @@ def extract(df: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), url: str
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string())], names=names)
 
     schema = T.StructType([*rows.select(*keep).schema.fields, T.StructField("text", T.StringType())])
-    return joined.select(*keep, "_html", "template").mapInArrow(run, schema)
+    return joined.select(*keep, "_html", "template").mapInArrow(trimmed(run), schema)

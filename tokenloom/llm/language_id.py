@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenloom.llm.bpe import slices
-from tokenloom.llm.common import bucket_of, with_field
+from tokenloom.llm.common import bucket_of, trimmed, with_field
 from tokenloom.llm.shingles import mix
 
 DIMS = 512
@@ -128,7 +128,7 @@ def learn(df: DataFrame, lang: str = "lang", text: str = "text", sample: int = S
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([total.tolist()], pa.list_(pa.int64()))], names=["lang", "total"])
 
     rows = usable.where(F.xxhash64("_text") <= last)
-    parts = rows.mapInArrow(run, "lang string, total array<bigint>")
+    parts = rows.mapInArrow(trimmed(run), "lang string, total array<bigint>")
     summed = parts.select("lang", F.posexplode("total")).groupBy("lang", "pos").agg(F.sum("col").alias("n")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("pos", "n"))).alias("v"))
     found = {r["lang"]: np.array([x["n"] for x in r["v"]], np.float64) for r in summed.collect()}
     return {k: (v / max(np.linalg.norm(v), 1e-9)).astype(np.float32) for k, v in sorted(found.items())}
@@ -154,7 +154,7 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str, .
     out = [*keep, "lang_pred", "score"]
     source = df.select(*keep, df[text].alias("_text"))
     schema = with_field(with_field(source.select(*keep).schema, "lang_pred", T.StringType()), "score", T.DoubleType())
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(trimmed(run), schema)
 
 
 def may_learn(key: str = "doc_id", modulus: int = 4, held: int = 2):

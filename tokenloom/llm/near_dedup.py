@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenloom.llm.bpe import slices
-from tokenloom.llm.common import components, salted_join, stored
+from tokenloom.llm.common import components, salted_join, stored, trimmed
 from tokenloom.llm.shingles import bytes_of, randoms, shingle_sets
 
 HASHES, STEP = 130, 13
@@ -85,7 +85,7 @@ def sets_of(df: DataFrame, key: str, text: str, hashes: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0))):
+            for part in slices(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0)), 1_000_000):
                 rows = batch.slice(part.start, part.stop - part.start)
                 sets = shingle_sets(*bytes_of(rows.column(1)))
                 sizes = np.array([len(s) for s in sets], np.int64)
@@ -102,7 +102,7 @@ def sets_of(df: DataFrame, key: str, text: str, hashes: int) -> DataFrame:
     names = ["doc_id", "n_shingles", "digest", "signature" if hashes else "shingles"]
     kinds = [T.LongType(), T.LongType(), T.BinaryType(), T.ArrayType(T.IntegerType() if hashes else T.LongType())]
     schema = T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)])
-    return df.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text")).mapInArrow(run, schema)
+    return df.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text")).mapInArrow(trimmed(run), schema)
 
 
 def unlikely(matches: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -135,7 +135,7 @@ def likely_pairs(pairs: DataFrame, nodes: DataFrame, percent: int, miss: float,
     second = nodes.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("signature").alias("sb"))
     both = salted_join(pairs.join(first, "a"), second, ["b"], seed="a", counts=pairs.groupBy("b").count())
     sized = both.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return sized.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return sized.select("a", "b", "sa", "sb").mapInArrow(trimmed(run), "a long, b long")
 
 
 def sets_by_node(df: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
@@ -230,7 +230,7 @@ def cross_links(df: DataFrame, members: DataFrame, nodes: DataFrame, labels: Dat
             a, b = np.concatenate(found, axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return blocks.mapInArrow(run, "a long, b long").distinct()
+    return blocks.mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, percent: int = 80, miss: float = 1e-6, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenloom.llm.bpe import slices
-from tokenloom.llm.common import bucket_of, stored, with_field
+from tokenloom.llm.common import bucket_of, stored, trimmed, with_field
 from tokenloom.llm.shingles import IS_SPACE, bytes_of, mix, words
 
 SLOTS, DIMS, REACH = 1 << 14, 32, 2
@@ -44,7 +44,7 @@ def index_vectors(n: int, dims: int, seed: int) -> np.ndarray:
 INDEX = index_vectors(SLOTS, DIMS, 1)
 SHAPE_INDEX = index_vectors(1 << 12, SHAPES, 2)
 #: Kinds of bytes: other, lower, upper, digit, beyond ASCII, and marks.
-KIND = np.zeros(256, np.int64)
+KIND = np.zeros(256, np.uint8)
 KIND[97:123], KIND[65:91], KIND[48:58], KIND[128:] = 1, 2, 3, 4
 for _mark in b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~":
     KIND[_mark] = 5
@@ -69,7 +69,7 @@ def raw_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     if n > 1:
         same[1:] = (hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])
     if n:
-        first, second = kinds[starts], kinds[np.minimum(starts + 1, stops - 1)]
+        first, second = kinds[starts].astype(np.int64), kinds[np.minimum(starts + 1, stops - 1)].astype(np.int64)
         last, before = data[stops - 1].astype(np.int64), data[np.maximum(stops - 2, starts)].astype(np.int64)
         last, before = np.where(KIND[last] == 5, last, 0), np.where(KIND[before] == 5, before, 0)
         shape = mix((((first * 8 + second) * 256 + last) * 256 + before) .astype(_U) * _U(2) + same.astype(_U))
@@ -79,12 +79,9 @@ def raw_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
         sums = np.zeros((n_docs, SHAPES), np.float32)
     size = np.maximum(np.diff(offsets), 1).astype(np.float64)
     rate = np.zeros((n_docs, RATES), np.float64)
-    totals = np.concatenate([np.zeros((1, 7)), np.cumsum(np.stack([kinds == k for k in range(7)], axis=1), axis=0, dtype=np.float64)]) if len(data) <= 1 << 22 else None
-    if totals is not None:
-        rate[:, :7] = (totals[offsets[1:]] - totals[offsets[:-1]]) / size[:, None]
-    else:
-        for k in range(7):
-            rate[:, k] = [np.count_nonzero(kinds[a:b] == k) for a, b in zip(offsets[:-1], offsets[1:])] / size
+    for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+        rate[k, :7] = np.bincount(kinds[a:b], minlength=7)
+    rate[:, :7] /= size[:, None]
     runs = np.concatenate([[0], np.cumsum(same)])
     rate[:, 7] = (runs[bounds[1:]] - runs[bounds[:-1]]) / some
     rate[:, 8] = np.log1p(counts) / 10
@@ -105,8 +102,8 @@ def pooled(table: np.ndarray, slots: np.ndarray, bounds: np.ndarray) -> np.ndarr
     """Sums of the table's rows over each document's words, in pieces of bounded size."""
     out = np.zeros((len(bounds) - 1, table.shape[1]), np.float32)
     for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
-        for at in range(a, b, 1 << 16):
-            out[k] += table[slots[at : min(b, at + (1 << 16))]].sum(axis=0)
+        for at in range(a, b, 1 << 14):
+            out[k] += table[slots[at : min(b, at + (1 << 14))]].sum(axis=0)
     return out
 
 
@@ -196,7 +193,7 @@ def fit(features: np.ndarray, labels: np.ndarray, order: np.ndarray, table: np.n
 
 
 def featured(batch: pa.RecordBatch, column: int, table: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    for part in slices(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)), 1_000_000):
+    for part in slices(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)), 500_000):
         rows = batch.slice(part.start, part.stop - part.start)
         slots, bounds, rest = raw_features(*bytes_of(rows.column(column)))
         mean = pooled(table, slots, bounds) / np.maximum(np.diff(bounds), 1)[:, None]
@@ -212,13 +209,13 @@ def learn(df: DataFrame, labels: DataFrame, label: str = "quality", text: str =
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((SLOTS, DIMS), np.float32)
         for batch in batches:
-            for part in slices(np.asarray(pc.fill_null(pc.binary_length(batch.column(0)), 0)), 1_000_000):
+            for part in slices(np.asarray(pc.fill_null(pc.binary_length(batch.column(0)), 0)), 500_000):
                 found, bounds, _ = raw_features(*bytes_of(batch.column(0).slice(part.start, part.stop - part.start)))
                 total += context_sums(found, bounds)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
     # One table of SLOTS * DIMS numbers for each task; there are 8 tasks at most, whatever the sample.
-    sums = rows.select("_text").coalesce(8).mapInArrow(contexts, "sums binary").collect()
+    sums = rows.select("_text").coalesce(8).mapInArrow(trimmed(contexts), "sums binary").collect()
     table = np.sum([np.frombuffer(r["sums"], np.float32) for r in sums], axis=0).reshape(SLOTS, DIMS) + INDEX
     table = (table / (np.linalg.norm(table, axis=1, keepdims=True) + 1e-9)).astype(np.float32)
     held = df.sparkSession.sparkContext.broadcast(table)
@@ -228,7 +225,7 @@ def learn(df: DataFrame, labels: DataFrame, label: str = "quality", text: str =
             for some, x in featured(batch, 2, held.value):
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([v.tobytes() for v in x.astype(np.float32)], pa.binary())], names=["k", "y", "x"])
 
-    found = rows.select(F.xxhash64("_key").alias("k"), F.col("_y").alias("y"), "_text").mapInArrow(vectors, "k long, y int, x binary").collect()
+    found = rows.select(F.xxhash64("_key").alias("k"), F.col("_y").alias("y"), "_text").mapInArrow(trimmed(vectors), "k long, y int, x binary").collect()
     found.sort(key=lambda r: (r["k"], r["y"], r["x"]))
     x = np.array([np.frombuffer(r["x"], np.float32) for r in found]) if found else np.zeros((0, 1), np.float32)
     y, order = np.array([r["y"] for r in found]), np.array([r["k"] for r in found], np.int64)
@@ -246,7 +243,7 @@ def score(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text
 
     names = [*keep, "score"]
     source = df.select(*keep, df[text].alias("_text"))
-    return source.mapInArrow(run, with_field(source.select(*keep).schema, "score", T.DoubleType()))
+    return source.mapInArrow(trimmed(run), with_field(source.select(*keep).schema, "score", T.DoubleType()))
 
 
 def accepted(df: DataFrame, model: Model, least: float = 0.3, text: str = "text") -> DataFrame:
@@ -258,7 +255,7 @@ def accepted(df: DataFrame, model: Model, least: float = 0.3, text: str = "text"
             for some, x in featured(batch, at, held.value.table):
                 yield some.filter(pa.array(held.value.scores(x) >= least))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(trimmed(run), df.schema)
 
 
 def may_learn(key: str = "doc_id", modulus: int = 5):

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 WIDTH = 5
-CHUNK = 2_000_000
+CHUNK = 400_000
 _U = np.uint64
 
 
