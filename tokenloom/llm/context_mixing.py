@@ -1,7 +1,7 @@
 """Language-model scores by logistic mixing of hashed-context bit predictors.
 
 Text is read as lower-cased (A-Z) UTF-8 bytes with an end symbol. Each bit of a byte is predicted in contexts of the
-last 0 to 5 bytes; a context's counts of zeros and ones lie in a hashed slot of a table of fixed size, filled from all
+last 1 to 5 bytes, and of those of the last 5 that belong to its word; a context's counts of zeros and ones lie in a hashed slot of a table of fixed size, filled from all
 training rows. Weights, chosen by bit place and by how many contexts are well known (the gate), combine the predictors'
 log odds; they are learned online over windows of the corpus, each predicted before its own counts are known. An
 adaptive map from predicted to observed odds, one for each node of the byte tree, refines the mix. The product over all
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.llm.bpe import slices
-from tokenloom.llm.common import bucket_of, stored
+from tokenloom.llm.common import bucket_of, stored, trimmed
 from tokenloom.llm.shingles import LOWER, bytes_of, mix, words
 
 _U = np.uint64
@@ -42,7 +42,7 @@ SAMPLE = 120_000
 #: A word with at least this share of all training tokens is common; there are HOT such words at most.
 HOT = 1 << 18
 HOT_SLOTS = 1 << 20
-MEMORY_BITS = 22
+MEMORY_BITS = 21
 END_BYTE = 0xFF
 END_WORD = np.int64(0x5EED0E4D)
 PRIOR = 0.4
@@ -64,14 +64,22 @@ def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     body[starts[1:] - 1] = False
     flat[body] = LOWER_BYTE[data]
     keys = flat.astype(_U)
-    wide = flat.astype(_U)
     for k in range(1, ORDERS):
-        keys[k:] |= wide[:-k] << _U(8 * k)
+        keys[k:] |= flat[:-k].astype(_U) << _U(8 * k)
     return keys[keep], np.cumsum(sizes + 1) if n_docs else np.zeros(0, np.int64)
 
 
 def context_hash(keys: np.ndarray, order: int) -> np.ndarray:
-    return mix(((keys >> _U(8)) & _U((1 << (8 * order)) - 1)) * _U(8) + _U(order + 1))
+    """A hash of the last `order` bytes before the current one; for order 0, of those that belong to its word."""
+    if order:
+        context = (keys >> _U(8)) & _U((1 << (8 * order)) - 1)
+    else:
+        context, inside = np.zeros(len(keys), _U), np.ones(len(keys), bool)
+        for k in range(1, ORDERS):
+            byte = (keys >> _U(8 * k)) & _U(0xFF)
+            inside &= (byte != 32) & ((byte < 9) | (byte > 13)) & (byte != 0)
+            context |= np.where(inside, byte << _U(8 * (k - 1)), _U(0))
+    return mix(context * _U(8) + _U(order + 1))
 
 
 def slots_of(keys: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -121,7 +129,7 @@ def bins(s: np.ndarray) -> np.ndarray:
     return np.rint((np.clip(s, -8, 8) + 8) * ((BINS - 1) / 16)).astype(np.int64)
 
 
-def learn_mixer(zeros: np.ndarray, ones: np.ndarray, keys: np.ndarray, times: np.ndarray, passes: int = 2, batch: int = 2048) -> Mixer:
+def learn_mixer(zeros: np.ndarray, ones: np.ndarray, keys: np.ndarray, times: np.ndarray, passes: int = 3, batch: int = 256) -> Mixer:
     """Weights and refinement, online over the windows; each is predicted from the counts without itself."""
     weights = np.full((8, LEVELS, ORDERS), 0.3)
     refine_n = np.full((256, BINS), 4.0)
@@ -136,12 +144,12 @@ def learn_mixer(zeros: np.ndarray, ones: np.ndarray, keys: np.ndarray, times: np
             byte = (some & _U(0xFF)).astype(np.int64)
             each = [slots_of(some, k) for k in range(ORDERS)]
             step += 1
-            rate = 0.05 / (1 + 0.02 * step) + 0.002
+            rate = 0.15 / (1 + 0.01 * step) + 0.004
             for place in range(8):
                 inputs, level = np.empty((len(some), ORDERS)), np.full(len(some), -1)
                 for k in range(ORDERS):
                     _, slot, bit = next(each[k])
-                    n0, n1 = zeros[slot] - (bit == 0), ones[slot] - (bit == 1)
+                    n0, n1 = zeros[slot].astype(np.int64) - (bit == 0), ones[slot].astype(np.int64) - (bit == 1)
                     inputs[:, k] = np.log((n1 + PRIOR) / (n0 + PRIOR))
                     level += n0 + n1 >= 2
                 level = np.maximum(level, 0)
@@ -155,7 +163,12 @@ def learn_mixer(zeros: np.ndarray, ones: np.ndarray, keys: np.ndarray, times: np
                 np.add.at(refine_n, cell, weight)
                 np.add.at(refine_1, cell, weight * bit)
     refine = np.clip(refine_1 / refine_n, 1e-5, 1 - 1e-5)
-    return Mixer(np.log((ones + PRIOR) / (zeros + PRIOR)).astype(np.float32), (zeros + ones >= 2).astype(np.int8), weights.astype(np.float32), refine)
+    odds, known = np.empty(len(ones), np.float32), np.empty(len(ones), np.int8)
+    for at in range(0, len(ones), 1 << 18):
+        n0, n1 = zeros[at : at + (1 << 18)].astype(float), ones[at : at + (1 << 18)].astype(float)
+        odds[at : at + (1 << 18)] = np.log((n1 + PRIOR) / (n0 + PRIOR))
+        known[at : at + (1 << 18)] = n0 + n1 >= 2
+    return Mixer(odds, known, weights.astype(np.float32), refine)
 
 
 def text_parts(batch: pa.RecordBatch, column: int, most: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -169,7 +182,7 @@ def corpus_counts(df: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, offsets in text_parts(batch, 0, 8_000_000):
+            for rows, data, offsets in text_parts(batch, 0, 2_000_000):
                 found, _ = words(data, offsets)
                 for kind, keys in ((0, found), (1, windows(data, offsets)[0])):
                     kinds, n = np.unique(keys, return_counts=True)
@@ -177,7 +190,7 @@ def corpus_counts(df: DataFrame, text: str = "text") -> DataFrame:
                         kinds, n = np.append(kinds.view(np.int64), END_WORD), np.append(n, rows.num_rows)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int8)), pa.array(kinds.view(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
 
-    counts = df.select(F.col(text).alias("_text")).mapInArrow(run, "kind byte, key long, n long")
+    counts = df.select(F.col(text).alias("_text")).mapInArrow(trimmed(run), "kind byte, key long, n long")
     return counts.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
@@ -186,11 +199,11 @@ def slot_counts(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     Windows are cut to each order and summed; a context's rows meet in the task of its block, which fills its slots.
     """
-    every, cut = [grams.select(F.lit(ORDERS - 1).alias("order"), "key", "n")], grams
-    for order in range(ORDERS - 2, -1, -1):
+    every, cut = [grams.select(F.lit(k).alias("order"), "key", "n") for k in (0, ORDERS - 1)], grams
+    for order in range(ORDERS - 2, 0, -1):
         mask = F.lit((1 << (8 * (order + 1))) - 1).cast("long")
         cut = cut.groupBy(F.col("key").bitwiseAND(mask).alias("key")).agg(F.sum("n").alias("n"))
-        cut = stored(cut, "windows") if order else cut
+        cut = stored(cut, "windows") if order > 1 else cut
         every.append(cut.select(F.lit(order).alias("order"), "key", "n"))
 
     def block_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,16 +227,17 @@ def slot_counts(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                         table, here = tables.setdefault(block, np.zeros((2, 1 << BLOCK_BITS), np.int64)), home == block
                         np.add.at(table, (bit[here], slot[here] & ((1 << BLOCK_BITS) - 1)), n[rows][here])
         for block, table in tables.items():
+            table = np.minimum(table, np.iinfo(np.uint32).max).astype(np.uint32)
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([table.tobytes()], pa.binary())], names=["block", "counts"])
 
     rows = every[0]
     for more in every[1:]:
         rows = rows.unionByName(more)
-    dealt = rows.mapInArrow(block_of, "block int, order int, key long, n long").repartition(BLOCKS, "block")
-    out = np.zeros((2, BLOCKS << BLOCK_BITS), np.int64)
-    for r in dealt.mapInArrow(build, "block int, counts binary").collect():  # BLOCKS rows of a megabyte
+    dealt = rows.mapInArrow(trimmed(block_of), "block int, order int, key long, n long").repartition(BLOCKS, "block")
+    out = np.zeros((2, BLOCKS << BLOCK_BITS), np.uint32)
+    for r in dealt.mapInArrow(trimmed(build), "block int, counts binary").toLocalIterator():  # BLOCKS rows of half a megabyte
         at = r["block"] << BLOCK_BITS
-        out[:, at : at + (1 << BLOCK_BITS)] += np.frombuffer(r["counts"], np.int64).reshape(2, -1)
+        out[:, at : at + (1 << BLOCK_BITS)] = np.frombuffer(r["counts"], np.uint32).reshape(2, -1)
     return out[0], out[1]
 
 
@@ -269,7 +283,7 @@ def score(df: DataFrame, counts: DataFrame, mixer: Mixer, key: str = "doc_id", t
         model, hot = held.value
         tags, values = np.full(1 << MEMORY_BITS, ~_U(0)), np.zeros(1 << MEMORY_BITS, np.float32)
         for batch in batches:
-            for rows, data, offsets in text_parts(batch, 2, 4_000_000):
+            for rows, data, offsets in text_parts(batch, 2, 1_500_000):
                 n_docs = rows.num_rows
                 found, bounds = words(data, offsets)
                 owner = np.repeat(np.arange(n_docs), np.diff(bounds))
@@ -309,7 +323,7 @@ def score(df: DataFrame, counts: DataFrame, mixer: Mixer, key: str = "doc_id", t
 
     names = ["row", "key", "times", "doc_id", "n_tokens", "n_known", "n_bytes", "base", "score"]
     rows = df.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text")).withColumn("_row", F.monotonically_increasing_id())
-    said = rows.select("_row", "_key", "_text").mapInArrow(run, "row long, key long, times int, doc_id long, n_tokens long, n_known long, n_bytes long, base double, score double")
+    said = rows.select("_row", "_key", "_text").mapInArrow(trimmed(run), "row long, key long, times int, doc_id long, n_tokens long, n_known long, n_bytes long, base double, score double")
     # Words that are rare enough not to be at hand: each holds less than a HOT-th of all tokens, so none makes a task large.
     joined = said.join(known.hint("shuffle_hash"), "key", "left")
     log = F.log10(F.coalesce(F.col("n"), F.lit(0)) + 1.0) - scale
