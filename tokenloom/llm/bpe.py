@@ -26,14 +26,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tokenloom.llm.common import with_field
+from tokenloom.llm.common import trimmed, with_field
 
 #: White space as Unicode defines it; Python's own class has four control characters more.
 WS = r"\t-\r \x85\xa0  -     　"
 NEVER = np.int64(1 << 40)
 SHIFT, NO_MERGE = 24, 1 << 62
 WHOLE = (1 << SHIFT) - 1
-KEPT, KEPT_CHARS = 600_000, 48
+KEPT, KEPT_CHARS = 900_000, 48
 
 
 def byte_glyphs() -> list[str]:
@@ -74,9 +74,8 @@ class Merges:
         self.key_ranks = np.fromiter((c >> SHIFT for c in self.coded.values()), np.int64, len(keys))[order]
         symbols = {*GLYPH, *(g + self.suffix for g in GLYPH)}
         self.proposable = {t: i for t, i in self.vocab.items() if i in made or t in symbols}
-        self.trie: list | None = None
         self.doubtful = {i for i, n in made.items() if n > 1}
-        self.own: dict[int, bool] = {}
+        self.within: np.ndarray | None = None
 
     def rank_of(self, l: np.ndarray, r: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -85,12 +84,6 @@ class Merges:
         at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
         return np.where(self.keys[at] == want, self.key_ranks[at], NEVER)
 
-    def is_own(self, token: int, text: str, last: bool) -> bool:
-        """Whether the merges make this token of its own symbols, through the split that the arrays record."""
-        if token not in self.own:
-            self.own[token] = token not in self.doubtful and self.merge(text, last) == [token]
-        return self.own[token]
-
     def compatible(self, l: np.ndarray, r: np.ndarray) -> np.ndarray:
         """For each pair of tokens, whether no merge crosses the border between them.
 
@@ -155,64 +148,153 @@ class Merges:
                     heapq.heappush(heap, (c >> SHIFT, x, c & WHOLE, ids[x], ids[y]))
         return [i for i in ids if i >= 0]
 
-    def build_trie(self) -> list:
-        """Nodes are [token, token at a word's end, children by symbol]."""
-        root: list = [None, None, {}]
+    def build_trie(self) -> None:
+        """Transitions as a sorted array of (node, byte), and for each node its token within and at the end of a word."""
+        edges: dict[int, int] = {}
+        within, at_end = [-1], [-1]
         for t, i in self.proposable.items():
             last = bool(self.suffix) and t.endswith(self.suffix)
-            node = root
+            node = 0
             for c in t[: -len(self.suffix)] if last else t:
-                node = node[2].setdefault(c, [None, None, {}])
+                key = (node << 8) | TO_BYTE[c]
+                if (child := edges.get(key)) is None:
+                    child = edges[key] = len(within)
+                    within.append(-1)
+                    at_end.append(-1)
+                node = child
             if last or not self.suffix:
-                node[1] = i
+                at_end[node] = i
             if not last:
-                node[0] = i
-        return root
-
-    def propose(self, word: str) -> list[int] | None:
-        """Greedy longest match; None if some symbol isn't in the vocabulary."""
-        if self.trie is None:
-            self.trie = self.build_trie()
-        root, own, end = self.trie[2], self.own, len(word)
-        start, out = 0, []
-        while start < end:
-            token, stop, children, at = None, start, root, start
-            while at < end and (node := children.get(word[at])) is not None:
-                at += 1
-                found = node[0] if at < end else node[1]
-                if found is not None:
-                    token, stop = found, at
-                children = node[2]
-            if token is None:
-                return None
-            if stop - start > 1 and not own.get(token, False) and not self.is_own(token, word[start:stop], stop == end):
-                return None
-            out.append(token)
-            start = stop
+                within[node] = i
+        keys = np.fromiter(edges, np.int64, len(edges))
+        order = np.argsort(keys)
+        self.edges, self.children = keys[order], np.fromiter(edges.values(), np.int64, len(edges))[order]
+        self.within, self.at_end = np.array(within), np.array(at_end)
+        self.own = np.full(len(self.rank), -1, np.int8)
+        names = {i: t for t, i in self.proposable.items()}
+        self.name_of = names
+        self.single = np.array([self.vocab.get(g, -1) for g in GLYPH]), np.array([self.vocab.get(g + self.suffix, -1) for g in GLYPH])
+        self.made_by_rank = np.zeros(max((c >> SHIFT for c in self.coded.values()), default=0) + 1, np.int64)
+        for c in self.coded.values():
+            self.made_by_rank[c >> SHIFT] = c & WHOLE
+
+    def propose(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Greedy longest match of all words at once, a byte of each at a time: words, tokens, and which words failed."""
+        failed = np.zeros(len(starts), bool)
+        words, places, tokens = [], [], []
+        live = np.flatnonzero(ends > starts)
+        first, at = starts[live].copy(), starts[live].copy()
+        node, token, stop = (np.zeros(len(live), np.int64), np.full(len(live), -1), first.copy())
+        end = ends[live]
+        while len(live):
+            key = (node << 8) | data[np.minimum(at, end - 1)]
+            k = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+            on = (at < end) & (self.edges[k] == key)
+            node = np.where(on, self.children[k], 0)
+            at = at + on
+            found = np.where(on, np.where(at == end, self.at_end[node], self.within[node]), -1)
+            token, stop = np.where(found >= 0, found, token), np.where(found >= 0, at, stop)
+            off = ~on
+            if off.any():
+                words.append(live[off])
+                places.append(first[off])
+                tokens.append(token[off])
+                failed[live[off & (token < 0)]] = True
+                keep = on | ((token >= 0) & (stop < end))
+                at, first, token = np.where(off, stop, at), np.where(off, stop, first), np.where(off, -1, token)
+                live, first, at, node, token, stop, end = (x[keep] for x in (live, first, at, node, token, stop, end))
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), failed
+        order = np.argsort(np.concatenate(places), kind="stable")
+        return np.concatenate(words)[order], np.concatenate(tokens)[order], failed
+
+    def owned(self, tokens: np.ndarray) -> np.ndarray:
+        """Whether the merges make each token of its own symbols, through the split that the arrays record."""
+        for i in np.unique(tokens[self.own[tokens] < 0]).tolist():
+            text = self.name_of[i]
+            last = bool(self.suffix) and text.endswith(self.suffix)
+            self.own[i] = i not in self.doubtful and self.merge(text.removesuffix(self.suffix) if last else text, last) == [i]
+        return self.own[tokens] > 0
+
+    def merge_many(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[list[int]]:
+        """The merges of many words at once, each making one merge at a time; all symbols must be known."""
+        sizes = ends - starts
+        place = np.arange(int(sizes.max()))
+        ids = self.single[0][data[np.minimum(starts[:, None] + place, len(data) - 1)]]
+        ids[place >= sizes[:, None]] = -1
+        ids[np.arange(len(sizes)), sizes - 1] = self.single[1 if self.suffix else 0][data[ends - 1]]
+        out: list[list[int]] = [[]] * len(sizes)
+        rows = np.arange(len(sizes))
+        ranks = self.rank_of(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(sizes), -1) if ids.shape[1] > 1 else np.full((len(sizes), 1), NEVER)
+        ranks[:, : ids.shape[1] - 1][ids[:, 1:] < 0] = NEVER
+        while len(rows):
+            k = ranks.argmin(axis=1)
+            each = np.arange(len(rows))
+            best = ranks[each, k]
+            done = best >= NEVER
+            for r, n, found in zip(rows[done].tolist(), sizes[done].tolist(), ids[done].tolist()):
+                out[r] = found[:n]
+            if done.all():
+                break
+            on = ~done
+            rows, sizes, k, best, ids, ranks = rows[on], sizes[on] - 1, k[on], best[on], ids[on], ranks[on]
+            each, width = each[: len(rows)], ids.shape[1]
+            moved = np.minimum(place[:width] + (place[:width] > k[:, None]), width - 1)
+            ids = np.take_along_axis(ids, moved, axis=1)
+            ids[each, k] = self.made_by_rank[best]
+            ids[place[:width] >= sizes[:, None]] = -1
+            ranks = np.take_along_axis(ranks, np.minimum(moved[:, : width - 1], width - 2), axis=1)
+            ranks[:, -1] = np.where(k < width - 2, NEVER, ranks[:, -1])
+            for x in (k - 1, k):
+                ok = (x >= 0) & (x + 1 < sizes)
+                new = np.full(len(rows), NEVER)
+                new[ok] = self.rank_of(ids[each[ok], x[ok]], ids[each[ok], x[ok] + 1])
+                ranks[each[x >= 0], np.minimum(x, width - 2)[x >= 0]] = new[x >= 0]
+            # Fewer columns once the words are short.
+            if width > 2 and (short := max(2, int(sizes.max()))) < width:
+                ids, ranks = ids[:, :short], ranks[:, : short - 1]
         return out
 
-    def encode_words(self, words: list[str]) -> tuple[list[list[int]], int]:
+    def encode_words(self, words: list[bytes]) -> tuple[list[list[int]], int]:
         """Ids of each word, and how many words failed the test and were merged exactly."""
-        proposals = [self.propose(w) for w in words]
-        failing = {k for k, p in enumerate(proposals) if p is None}
-        sizes = np.fromiter((len(p or ()) for p in proposals), np.int64, len(words))
-        flat = np.fromiter(chain.from_iterable(p or () for p in proposals), np.int64, int(sizes.sum()))
-        owner = np.repeat(np.arange(len(words)), sizes)
-        if len(flat) > 1:
-            inside = owner[1:] == owner[:-1]
-            pairs, back = np.unique((flat[:-1][inside] << 32) | flat[1:][inside], return_inverse=True)
+        if self.within is None:
+            self.build_trie()
+        data = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        starts = np.concatenate([[0], ends[:-1]]) if len(words) else ends
+        owner, tokens, failed = self.propose(data, starts, ends)
+        known = np.flatnonzero(tokens >= 0)
+        failed[owner[known[~self.owned(tokens[known])]]] = True
+        if len(tokens) > 1:
+            inside = np.flatnonzero((owner[1:] == owner[:-1]) & ~failed[owner[1:]])
+            pairs, back = np.unique((tokens[inside] << 32) | tokens[inside + 1], return_inverse=True)
             good = self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)
-            failing |= set(owner[:-1][inside][~good[back]].tolist())
-        for k in failing:
-            proposals[k] = self.merge(words[k])
-        return proposals, len(failing)
+            failed[owner[inside[~good[back]]]] = True
+        bounds = np.searchsorted(owner, np.arange(len(words) + 1)).tolist()
+        flat = tokens.tolist()
+        out = [flat[a:b] for a, b in zip(bounds, bounds[1:])]
+        left = np.flatnonzero(failed)
+        # By length, so that words merged together are alike; long words and unknown symbols go one by one.
+        unknown = (self.single[0][data] < 0) | (self.single[1][data] < 0)
+        odd = np.concatenate([[0], np.cumsum(unknown)])
+        plain = (odd[ends[left]] == odd[starts[left]]) & (ends[left] - starts[left] <= 64)
+        for k in left[~plain].tolist():
+            out[k] = self.merge(words[k].decode("latin-1").translate(TO_GLYPH))
+        some = left[plain]
+        some = some[np.argsort(ends[some] - starts[some], kind="stable")]
+        for at in range(0, len(some), 2048):
+            part = some[at : at + 2048]
+            for k, found in zip(part.tolist(), self.merge_many(data, starts[part], ends[part])):
+                out[k] = found
+        return out, len(left)
 
 
 class Bpe:
     """A tokenizer.json of the byte-level BPE kind: added tokens, normalizer, pre-tokenizer and merges."""
 
-    def __init__(self, config: str):
+    def __init__(self, config: str, kept: int = KEPT):
         spec = json.loads(config)
+        self.kept = kept
         self.merges = Merges(spec["model"])
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
@@ -253,9 +335,10 @@ class Bpe:
     def learn(self, words: set[str], cache: dict[str, int], lead: str) -> None:
         """Encodes words that the cache lacks: each distinct piece of them once."""
         split, pieces, flat = self.pattern.findall, self.pieces, self.flat
-        parts = [split(lead + w) for w in words]
+        # A word of letters alone is one piece in either pattern.
+        parts = [[lead + w] if w.isalpha() else split(lead + w) for w in words]
         new = list(set(chain.from_iterable(parts)).difference(pieces))
-        found, _ = self.merges.encode_words([p.encode("utf-8").decode("latin-1").translate(TO_GLYPH) for p in new])
+        found, _ = self.merges.encode_words([p.encode("utf-8") for p in new])
         pieces.update(zip(new, map(tuple, found)))
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         ids = list(map(pieces.__getitem__, chain.from_iterable(parts)))
@@ -267,12 +350,12 @@ class Bpe:
 
     def spare(self) -> None:
         """Bounds what is remembered. The words met first tend to be the common ones; they stay."""
-        if len(self.pieces) > KEPT:
-            self.pieces = dict(islice(((p, i) for p, i in self.pieces.items() if len(p) <= KEPT_CHARS), KEPT * 3 // 4))
-        if len(self.flat) > 8 * KEPT:
+        if len(self.pieces) > self.kept // 3:
+            self.pieces = dict(islice(((p, i) for p, i in self.pieces.items() if len(p) <= KEPT_CHARS), self.kept // 4))
+        if len(self.flat) > 8 * self.kept:
             self.forget()
-        elif len(self.starts) > KEPT:
-            n = KEPT * 3 // 4
+        elif len(self.starts) > self.kept:
+            n = self.kept * 3 // 4
             self.first = {w: k for w, k in self.first.items() if k < n}
             self.later = {w: k for w, k in self.later.items() if k < n}
             del self.flat[self.starts[n] :], self.starts[n:], self.sizes[n:]
@@ -341,15 +424,21 @@ class Bpe:
 _LOADED: dict[int, Bpe] = {}
 
 
-def load(config: str) -> Bpe:
-    """One tokenizer for each configuration in a Python worker."""
+def load(config: str, kept: int = KEPT) -> Bpe:
+    """One tokenizer for each configuration in a Python worker. kept: words that it remembers at most."""
     key = hash(config)
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = Bpe(config)
+        _LOADED[key] = Bpe(config, kept)
+    _LOADED[key].kept = kept
     return _LOADED[key]
 
 
+def unload() -> None:
+    """Forgets the loaded tokenizer, where memory matters more than loading it again."""
+    _LOADED.clear()
+
+
 def slices(sizes: np.ndarray, most: int = 2_000_000) -> Iterator[slice]:
     """Runs of rows of about `most` in size together, one row at least."""
     start, total = 0, 0
@@ -381,7 +470,7 @@ def encode(df: DataFrame, config: str, text: str = "text", keep: tuple[str, ...]
                 yield pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], lists], names=[*keep, ids])
 
     source = df.select(*keep, df[text].alias("_text"))
-    return source.mapInArrow(run, with_field(source.select(*keep).schema, ids, T.ArrayType(T.IntegerType())))
+    return source.mapInArrow(trimmed(run), with_field(source.select(*keep).schema, ids, T.ArrayType(T.IntegerType())))
 
 
 def decode(df: DataFrame, config: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -397,4 +486,4 @@ def decode(df: DataFrame, config: str, ids: str = "ids", out: str = "decoded") -
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*kept, out])
 
     source = df.select(*kept)
-    return source.mapInArrow(run, with_field(source.schema, out, T.StringType()))
+    return source.mapInArrow(trimmed(run), with_field(source.schema, out, T.StringType()))

@@ -23,19 +23,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenloom.llm.bpe import load, slices, texts_of
-from tokenloom.llm.common import stored, with_field
+from tokenloom.llm.bpe import KEPT, load, slices, texts_of, unload
+from tokenloom.llm.common import stored, trimmed, with_field
 
 #: Pieces of one length are ranked in buckets of about ROWS, of which there are MOST at most.
 ROWS, MOST = 1000, 4096
 
 
-def pieces(df: DataFrame, config: str, size: int = 2048, end_id: int = 1, text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
+def pieces(df: DataFrame, config: str, size: int = 2048, end_id: int = 1, text: str = "text", key: str = "doc_id", with_ids: bool = False, kept: int = KEPT) -> DataFrame:
     """Each document's tokens and the end id, cut every `size` tokens: key, start, length, ids_crc32, doc_tokens and, if wanted, ids."""
     held = df.sparkSession.sparkContext.broadcast(config)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(held.value)
+        bpe = load(held.value, kept)
         for batch in batches:
             sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0))
             for part in slices(sizes):
@@ -57,6 +57,8 @@ def pieces(df: DataFrame, config: str, size: int = 2048, end_id: int = 1, text:
                 if with_ids:
                     columns.append(pa.array(ids, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        if kept < KEPT:
+            unload()
 
     source = df.select(key, df[text].alias("_text"))
     schema = T.StructType([source.schema[0]])
@@ -64,7 +66,7 @@ def pieces(df: DataFrame, config: str, size: int = 2048, end_id: int = 1, text:
         schema = with_field(schema, name, T.LongType())
     if with_ids:
         schema = with_field(schema, "ids", T.ArrayType(T.IntegerType()))
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(trimmed(run), schema)
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -138,6 +140,6 @@ def pack(df: DataFrame, size: int = 2048, key: str = "doc_id") -> DataFrame:
     return found.select(*df.columns, (F.col("_sequence") + F.col("_rank") - F.col("_lo")).alias("sequence_id"), "offset")
 
 
-def pack_documents(df: DataFrame, config: str, size: int = 2048, end_id: int = 1, text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
+def pack_documents(df: DataFrame, config: str, size: int = 2048, end_id: int = 1, text: str = "text", key: str = "doc_id", with_ids: bool = False, kept: int = KEPT) -> DataFrame:
     """Documents tokenized, cut and packed; the pieces are written once to the shared folder and read from there."""
-    return pack(stored(pieces(df, config, size, end_id, text, key, with_ids), "pieces"), size, key)
+    return pack(stored(pieces(df, config, size, end_id, text, key, with_ids, kept), "pieces"), size, key)
