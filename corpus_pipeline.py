@@ -42,8 +42,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 tokens."""
-    small_batches(spark)
-    return packing.pack_documents(docs, tokenizer("word_bpe_49k.json"))
+    # Smaller batches and fewer remembered words than alone: the workers live on beside those of the other stages.
+    small_batches(spark, size="3m")
+    return packing.pack_documents(docs, tokenizer("word_bpe_49k.json"), kept=100_000)
 
 
 STAGES = [
