@@ -373,6 +373,44 @@ def test_mixer_is_a_distribution(docs):
         assert abs(p.sum() - 1) < 1e-4
 
 
+def test_each_context_has_counts_of_its_own(spark):
+    """Scores agree with plain counts of all windows, so no two contexts share any, however many there are."""
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abcde \n") for _ in range(60)) for _ in range(40)] + ["a", "", " b"]
+    held = context_mixing.corpus_counts(spark.createDataFrame([(t,) for t in texts], "text string"))
+    more = spark.range(600_000).select(F.lit(1).cast("byte").alias("kind"), F.xxhash64("id").bitwiseAND(F.lit((1 << 48) - 1)).alias("key"), F.lit(1).cast("long").alias("n"))
+    counts = stored(held.unionByName(more).groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    mixer = context_mixing.learn(counts)
+    found = counts.where("kind = 1").toArrow()
+    keys, n = np.asarray(found["key"].combine_chunks()).astype(np.uint64), np.asarray(found["n"].combine_chunks())
+    apart = [0, 32, *range(9, 14)]
+    inside = np.cumprod([~np.isin((keys >> np.uint64(8 * k)) & np.uint64(255), apart) for k in range(1, 6)], axis=0).sum(axis=0)
+
+    def seen(w, order):
+        """Zeros and ones of each bit of w's byte in its context of this order."""
+        if order == 0:
+            word = next((k for k in range(5) if w[4 - k] in apart), 5)
+            rows, mask = inside == word, (1 << (8 * word)) - 1
+        else:
+            rows, mask = True, (1 << (8 * order)) - 1
+        rows = np.flatnonzero(rows & ((keys >> np.uint64(8)) & np.uint64(mask) == int.from_bytes(w[:5], "big") & mask))
+        byte, times = (keys[rows] & np.uint64(255)).astype(int), n[rows]
+        return [tuple(times[(byte >> (7 - p)) == (w[5] >> (8 - p)) * 2 + bit].sum() for bit in (0, 1)) for p in range(8)]
+
+    asked = [int(k).to_bytes(6, "big") for k in np.sort(keys)[:: len(keys) // 25]] + [b"zzzzza", b"abcde\xff", b"\0\0\0\0\0z", b"a bcda", b"cde ab"]
+    want = []
+    for w in asked:
+        total, each = 0, [seen(w, order) for order in range(6)]
+        for p in range(8):
+            bit, pairs = (w[5] >> (7 - p)) & 1, [e[p] for e in each]
+            gate = max(sum(a + b >= 2 for a, b in pairs) - 1, 0)
+            s = sum(x * math.log((b + 0.4) / (a + 0.4)) for x, (a, b) in zip(mixer.weights[p, gate], pairs))
+            one = 0.5 * (1 / (1 + math.exp(-s)) + mixer.refine[(w[5] >> (8 - p)) | (1 << p), context_mixing.bins(np.array([s]))[0]])
+            total += math.log10(one if bit else 1 - one)
+        want.append(total)
+    assert np.allclose(mixer.log10(np.array([int.from_bytes(w, "big") for w in asked], np.uint64)), want, atol=1e-3)
+
+
 def test_windows_are_those_of_the_text():
     data, offsets = np.frombuffer(b"aBcde", np.uint8), np.array([0, 2, 2, 5])
     keys, ends = context_mixing.windows(data, offsets)

@@ -1,17 +1,19 @@
-"""Language-model scores by logistic mixing of hashed-context bit predictors.
+"""Language-model scores by logistic mixing of context bit predictors.
 
 Text is read as lower-cased (A-Z) UTF-8 bytes with an end symbol. Each bit of a byte is predicted in contexts of the
-last 1 to 5 bytes, and of those of the last 5 that belong to its word; a context's counts of zeros and ones lie in a hashed slot of a table of fixed size, filled from all
-training rows. Weights, chosen by bit place and by how many contexts are well known (the gate), combine the predictors'
-log odds; they are learned online over windows of the corpus, each predicted before its own counts are known. An
-adaptive map from predicted to observed odds, one for each node of the byte tree, refines the mix. The product over all
-bits is the probability of the text.
+last 1 to 5 bytes, and of those of the last 5 that belong to its word; each context has exact counts of zeros and ones
+of its own, from all training rows. Weights, chosen by bit place and by how many contexts are well known (the gate),
+combine the predictors' log odds; they are learned over windows of the corpus, each predicted from the counts without
+itself. An adaptive map from predicted to observed odds, one for each node of the byte tree, refines the mix. The
+product over all bits is the probability of the text.
 
 Beside it stands the plain unigram score with add-one smoothing over words.
 
-All training rows are counted in Spark. What one window is worth depends on its six bytes only, so each Python worker
-remembers the windows that it has met. Counts of common words (at most HOT of them, whatever the corpus) go to the
-workers; rarer words meet their counts in a join by the word's hash.
+All training rows are counted in Spark, and the counts of windows stay there: windows with the same last two bytes of
+context meet in one task, which counts their longer contexts exactly. What one window is worth depends on its six bytes
+only, so the distinct windows of each chunk of rows are joined with the counts, and their worths meet the chunk's texts.
+Counts of common words (at most HOT of them, whatever the corpus) go to the workers; rarer words meet their counts in a
+join by the word's hash.
 
 Null texts count as empty; an empty text has the end alone. Without training rows all counts are zero and every bit has
 odds of one. Repeated rows are scored each on its own. Only the columns asked for are read.
@@ -34,7 +36,13 @@ from tokenloom.llm.shingles import LOWER, bytes_of, mix, words
 
 _U = np.uint64
 ORDERS = 6
-BLOCKS, BLOCK_BITS = 64, 16
+#: By order: the bytes of a window that its context and the current byte take.
+MASKS = np.array([(1 << (8 * (k + 1))) - 1 for k in range(ORDERS)], _U)
+SHORT = 1 << 16
+#: Windows in a task, in the mean.
+TASK_WINDOWS = 250_000
+#: Rows that share their windows' scores, as a power of two.
+CHUNK_BITS = 13
 LEVELS = 6
 BINS = 33
 #: Windows that the weights are learned from, at most in the mean; the counts cover all rows.
@@ -69,28 +77,62 @@ def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[keep], np.cumsum(sizes + 1) if n_docs else np.zeros(0, np.int64)
 
 
-def context_hash(keys: np.ndarray, order: int) -> np.ndarray:
-    """A hash of the last `order` bytes before the current one; for order 0, of those that belong to its word."""
-    if order:
-        context = (keys >> _U(8)) & _U((1 << (8 * order)) - 1)
-    else:
-        context, inside = np.zeros(len(keys), _U), np.ones(len(keys), bool)
-        for k in range(1, ORDERS):
-            byte = (keys >> _U(8 * k)) & _U(0xFF)
-            inside &= (byte != 32) & ((byte < 9) | (byte > 13)) & (byte != 0)
-            context |= np.where(inside, byte << _U(8 * (k - 1)), _U(0))
-    return mix(context * _U(8) + _U(order + 1))
+def word_bytes(keys: np.ndarray) -> np.ndarray:
+    """How many of the five bytes before the current one belong to its word."""
+    count, inside = np.zeros(len(keys), np.int64), np.ones(len(keys), bool)
+    for k in range(1, ORDERS):
+        byte = (keys >> _U(8 * k)) & _U(0xFF)
+        inside &= (byte != 32) & ((byte < 9) | (byte > 13)) & (byte != 0)
+        count += inside
+    return count
+
+
+def path_counts(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """values: sorted and distinct, a context and a byte each. How often the context occurs, with each number of the byte's bits."""
+    sums, out = np.concatenate([[0], np.cumsum(n)]), np.zeros((9, len(values)), np.int64)
+    for place in range(9 if len(values) else 0):
+        part = values >> _U(8 - place)
+        firsts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        ends = np.append(firsts[1:], len(values))
+        out[place] = np.repeat(sums[ends] - sums[firsts], ends - firsts)
+    return out
+
+
+def odds_of(paths: np.ndarray, without: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each value and bit place: log odds of the byte's own bit, and whether its context was seen at least twice."""
+    own, other = paths[1:] - without, paths[:-1] - paths[1:]
+    return np.log((own + PRIOR) / (other + PRIOR)).astype(np.float32).T.copy(), (paths[:-1] - without >= 2).astype(np.int8).T.copy()
+
 
+def predictors(keys: np.ndarray, n: np.ndarray, short: np.ndarray, asked: np.ndarray, without: int, most: int = 50_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For the windows at the places `asked`: their places, the inputs by bit place and order, and the gate by bit place.
 
-def slots_of(keys: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each bit place: the place, the slot of the context of this order, and the bit."""
-    byte = keys & _U(0xFF)
-    h = context_hash(keys, order)
-    block = (h >> _U(58)) << _U(BLOCK_BITS)
-    for place in range(8):
-        node = (byte >> _U(8 - place)) | _U(1 << place)
-        slot = block | (((h ^ (node * _U(0x9E3779B97F4A7C15))) * _U(0xD6E8FEB86659FD93)) >> _U(64 - BLOCK_BITS))
-        yield place, slot.astype(np.int64), ((byte >> _U(7 - place)) & _U(1)).astype(np.int64)
+    keys and n hold all windows whose contexts end in the same two bytes as one of theirs, so that the counts of contexts
+    of two bytes and more are whole; short: counts of the shorter ones. without: occurrences of a window itself to leave out.
+    """
+    inside, every = word_bytes(keys), np.arange(SHORT).astype(_U)
+    # Values that don't occur can't be asked for.
+    small = [odds_of(np.maximum(path_counts(every, short[k]), [[without]]), without) for k in range(2)]
+    found = []
+    for order in range(ORDERS):
+        at = np.minimum(inside, 1) if order == 0 else 1
+        if order == 1:
+            found.append((*small[1], (keys & _U(0xFFFF)).astype(np.int64)))
+            continue
+        long = inside >= 2 if order == 0 else np.ones(len(keys), bool)
+        values, place = np.unique(keys[long] & MASKS[inside[long] if order == 0 else order], return_inverse=True)
+        odds, known = odds_of(np.maximum(path_counts(values, np.bincount(place, n[long], len(values)).astype(np.int64)), without), without)
+        where = np.empty(len(keys), np.int64)
+        where[long] = place
+        if order == 0:
+            where[~long] = (keys & MASKS[at])[~long].astype(np.int64) + len(values)
+            odds, known = np.concatenate([odds, small[0][0]]), np.concatenate([known, small[0][1]])
+        found.append((odds, known, where))
+    for at in range(0, len(asked), most):
+        rows = asked[at : at + most]
+        inputs = np.stack([odds[where[rows]] for odds, _, where in found], axis=2)
+        level = np.sum([known[where[rows]] for _, known, where in found], axis=0, dtype=np.int64) - 1
+        yield rows, inputs, np.maximum(level, 0)
 
 
 def squash(x: np.ndarray) -> np.ndarray:
@@ -99,76 +141,55 @@ def squash(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Mixer:
-    """The tables that scoring needs, of the same size whatever the corpus."""
+    """What scoring needs: the table of window counts, which stays in Spark, and tables of bounded size."""
 
-    odds: np.ndarray  # log odds of a one, by slot
-    known: np.ndarray  # whether the slot was seen at least twice
+    grams: DataFrame  # key and n of all windows
+    tasks: int
+    short: np.ndarray  # counts of contexts of less than two bytes: of the word so far, and of order 1
     weights: np.ndarray  # by bit place and gate: a weight for each order
     refine: np.ndarray  # by node and bin of the mix: the observed probability
 
+    def worth(self, asked: DataFrame) -> DataFrame:
+        """key and worth (log10 of the probability of the last byte in the context of the others) of the distinct windows asked for (key)."""
+        short, weights, refine = self.short, self.weights, self.refine
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys, n = gathered(batches)
+            for rows, inputs, level in predictors(keys, n, short, np.flatnonzero(n == 0), 0):
+                byte, total = (keys[rows] & _U(0xFF)).astype(np.int64), np.zeros(len(rows))
+                for place in range(8):
+                    bit = (byte >> (7 - place)) & 1
+                    s = (inputs[:, place] * weights[place, level[:, place]]).sum(axis=1) * (2 * bit - 1)
+                    p = 0.5 * (squash(s) + refine[(byte >> (8 - place)) | (1 << place), bins(s)])
+                    total += np.log10(np.where(bit == 1, p, 1 - p))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[rows].view(np.int64)), pa.array(total)], names=["key", "worth"])
+
+        # Counts are one at least: a row with none is a question.
+        rows = self.grams.unionByName(asked.select("key", F.lit(0).cast("long").alias("n")))
+        return by_context(rows, self.tasks).mapInArrow(trimmed(run), "key long, worth double")
+
     def log10(self, keys: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each window's last byte in the context of the others."""
-        total = np.zeros(len(keys))
+        """log10 of the probability of each of a few windows' last byte in the context of the others."""
         if not len(keys):
-            return total
-        byte = (keys & _U(0xFF)).astype(np.int64)
-        each = [slots_of(keys, k) for k in range(ORDERS)]
-        for place in range(8):
-            inputs, level = np.empty((len(keys), ORDERS), np.float32), np.full(len(keys), -1)
-            for k in range(ORDERS):
-                _, slot, bit = next(each[k])
-                inputs[:, k] = self.odds[slot]
-                level += self.known[slot]
-            s = (inputs * self.weights[place, np.maximum(level, 0)]).sum(axis=1)
-            p = 0.5 * (squash(s) + self.refine[(byte >> (8 - place)) | (1 << place), bins(s)])
-            total += np.log10(np.where(bit == 1, p, 1 - p))
-        return total
+            return np.zeros(0)
+        kinds, place = np.unique(keys, return_inverse=True)
+        found = self.worth(self.grams.sparkSession.createDataFrame([(int(k),) for k in kinds.view(np.int64)], "key long")).toArrow()
+        got, worth = np.asarray(found["key"].combine_chunks()).view(_U), np.asarray(found["worth"].combine_chunks())
+        return worth[np.argsort(got)][place]
 
 
-def bins(s: np.ndarray) -> np.ndarray:
-    return np.rint((np.clip(s, -8, 8) + 8) * ((BINS - 1) / 16)).astype(np.int64)
+def by_context(rows: DataFrame, tasks: int) -> DataFrame:
+    """Windows dealt out so that those with the same last two bytes of context meet."""
+    return rows.select("key", "n").repartition(tasks, F.col("key").bitwiseAND(F.lit(0xFFFF00).cast("long")))
 
 
-def learn_mixer(zeros: np.ndarray, ones: np.ndarray, keys: np.ndarray, times: np.ndarray, passes: int = 3, batch: int = 256) -> Mixer:
-    """Weights and refinement, online over the windows; each is predicted from the counts without itself."""
-    weights = np.full((8, LEVELS, ORDERS), 0.3)
-    refine_n = np.full((256, BINS), 4.0)
-    refine = np.tile(squash(np.linspace(-8, 8, BINS)), (256, 1))
-    refine_1 = refine * refine_n
-    order = np.argsort(mix(keys + _U(77)))
-    step = 0
-    for _ in range(passes):
-        for at in range(0, len(keys), batch):
-            part = order[at : at + batch]
-            some, weight = keys[part], np.minimum(times[part], 1000).astype(float)
-            byte = (some & _U(0xFF)).astype(np.int64)
-            each = [slots_of(some, k) for k in range(ORDERS)]
-            step += 1
-            rate = 0.15 / (1 + 0.01 * step) + 0.004
-            for place in range(8):
-                inputs, level = np.empty((len(some), ORDERS)), np.full(len(some), -1)
-                for k in range(ORDERS):
-                    _, slot, bit = next(each[k])
-                    n0, n1 = zeros[slot].astype(np.int64) - (bit == 0), ones[slot].astype(np.int64) - (bit == 1)
-                    inputs[:, k] = np.log((n1 + PRIOR) / (n0 + PRIOR))
-                    level += n0 + n1 >= 2
-                level = np.maximum(level, 0)
-                s = (inputs * weights[place, level]).sum(axis=1)
-                error = (bit - squash(s)) * weight
-                for g in range(LEVELS):
-                    rows = level == g
-                    if rows.any():
-                        weights[place, g] += rate * (error[rows] @ inputs[rows]) / weight[rows].sum()
-                cell = ((byte >> (8 - place)) | (1 << place), bins(s))
-                np.add.at(refine_n, cell, weight)
-                np.add.at(refine_1, cell, weight * bit)
-    refine = np.clip(refine_1 / refine_n, 1e-5, 1 - 1e-5)
-    odds, known = np.empty(len(ones), np.float32), np.empty(len(ones), np.int8)
-    for at in range(0, len(ones), 1 << 18):
-        n0, n1 = zeros[at : at + (1 << 18)].astype(float), ones[at : at + (1 << 18)].astype(float)
-        odds[at : at + (1 << 18)] = np.log((n1 + PRIOR) / (n0 + PRIOR))
-        known[at : at + (1 << 18)] = n0 + n1 >= 2
-    return Mixer(odds, known, weights.astype(np.float32), refine)
+def gathered(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    parts = [(np.asarray(b.column(0)).view(_U), np.asarray(b.column(1))) for b in batches]
+    return (np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts])) if parts else (np.zeros(0, _U), np.zeros(0, np.int64))
+
+
+def bins(s: np.ndarray) -> np.ndarray:
+    return np.rint((np.clip(s, -8, 8) + 8) * ((BINS - 1) / 16)).astype(np.int64)
 
 
 def text_parts(batch: pa.RecordBatch, column: int, most: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -194,60 +215,97 @@ def corpus_counts(df: DataFrame, text: str = "text") -> DataFrame:
     return counts.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def slot_counts(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones of every slot, from the stored window counts: two arrays of fixed size.
+def short_counts(grams: DataFrame) -> np.ndarray:
+    """Counts by context and byte, of the word so far where it has less than two bytes, and of the last byte."""
+    byte = [F.shiftright("key", 8 * k).bitwiseAND(F.lit(0xFF).cast("long")) for k in range(3)]
+    out = np.zeros((2, SHORT), np.int64)
+    apart = (byte[2] == 32) | byte[2].between(9, 13) | (byte[2] == 0)
+    for r in grams.groupBy(F.col("key").bitwiseAND(F.lit(SHORT - 1).cast("long")).alias("key"), apart.alias("apart")).agg(F.sum("n").alias("n")).toLocalIterator():
+        out[1, r["key"]] += r["n"]
+        before = r["key"] >> 8
+        if before in (0, 32) or 9 <= before <= 13:
+            out[0, r["key"] & 0xFF] += r["n"]
+        elif r["apart"]:
+            out[0, r["key"]] += r["n"]
+    return out
+
+
+def summed(rows: DataFrame, tasks: int, size: int, measure) -> np.ndarray:
+    """The sum over all tasks of the `size` numbers that measure(keys, n) gives for a task's windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n = gathered(batches)
+        if len(keys):
+            v = measure(keys, n)
+            some = np.flatnonzero(v)
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(v[some])], names=["i", "v"])
+
+    out = np.zeros(size)
+    found = by_context(rows, tasks).mapInArrow(trimmed(run), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+    out[np.asarray(found["i"].combine_chunks())] = np.asarray(found["v"].combine_chunks())
+    return out
+
+
+def learn(counts: DataFrame, sample: int = SAMPLE, rounds: int = 5) -> Mixer:
+    """The mixer from stored corpus counts. Each window is predicted from the counts without itself.
 
-    Windows are cut to each order and summed; a context's rows meet in the task of its block, which fills its slots.
+    Weights are those of the least log loss, by Newton's method: in each round the gradients and curvatures of all tasks
+    are summed. The weights are learned from about `sample` windows, drawn by hash.
     """
-    every, cut = [grams.select(F.lit(k).alias("order"), "key", "n") for k in (0, ORDERS - 1)], grams
-    for order in range(ORDERS - 2, 0, -1):
-        mask = F.lit((1 << (8 * (order + 1))) - 1).cast("long")
-        cut = cut.groupBy(F.col("key").bitwiseAND(mask).alias("key")).agg(F.sum("n").alias("n"))
-        cut = stored(cut, "windows") if order > 1 else cut
-        every.append(cut.select(F.lit(order).alias("order"), "key", "n"))
-
-    def block_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            order, keys = np.asarray(batch.column(0)), np.asarray(batch.column(1)).view(_U)
-            block = np.zeros(len(keys), np.int32)
-            for k in range(ORDERS):
-                rows = order == k
-                block[rows] = context_hash(keys[rows], k) >> _U(58)
-            yield pa.RecordBatch.from_arrays([pa.array(block), *batch.columns], names=["block", "order", "key", "n"])
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[int, np.ndarray] = {}
-        for batch in batches:
-            order, keys, n = np.asarray(batch.column(1)), np.asarray(batch.column(2)).view(_U), np.asarray(batch.column(3))
-            for k in range(ORDERS):
-                rows = order == k
-                for _, slot, bit in slots_of(keys[rows], k) if rows.any() else ():
-                    home = slot >> BLOCK_BITS
-                    for block in np.unique(home).tolist():
-                        table, here = tables.setdefault(block, np.zeros((2, 1 << BLOCK_BITS), np.int64)), home == block
-                        np.add.at(table, (bit[here], slot[here] & ((1 << BLOCK_BITS) - 1)), n[rows][here])
-        for block, table in tables.items():
-            table = np.minimum(table, np.iinfo(np.uint32).max).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([table.tobytes()], pa.binary())], names=["block", "counts"])
-
-    rows = every[0]
-    for more in every[1:]:
-        rows = rows.unionByName(more)
-    dealt = rows.mapInArrow(trimmed(block_of), "block int, order int, key long, n long").repartition(BLOCKS, "block")
-    out = np.zeros((2, BLOCKS << BLOCK_BITS), np.uint32)
-    for r in dealt.mapInArrow(trimmed(build), "block int, counts binary").toLocalIterator():  # BLOCKS rows of half a megabyte
-        at = r["block"] << BLOCK_BITS
-        out[:, at : at + (1 << BLOCK_BITS)] = np.frombuffer(r["counts"], np.uint32).reshape(2, -1)
-    return out[0], out[1]
-
-
-def learn(counts: DataFrame, sample: int = SAMPLE) -> Mixer:
-    """The mixer from stored corpus counts. The weights are learned from about `sample` windows, drawn by hash."""
     grams = counts.where("kind = 1").select("key", "n")
-    zeros, ones = slot_counts(grams)
     total = grams.count()
-    drawn = grams.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < F.lit(int(min(1.0, sample / max(total, 1)) * (1 << 30)))).toArrow()
-    return learn_mixer(zeros, ones, np.asarray(drawn["key"].combine_chunks()).view(_U), np.asarray(drawn["n"].combine_chunks()))
+    tasks, short = max(8, -(-total // TASK_WINDOWS)), short_counts(grams)
+    share = _U(int(min(1.0, sample / max(total, 1)) * (1 << 30)))
+
+    def drawn(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.flatnonzero((mix(keys + _U(77)) & _U((1 << 30) - 1)) < share), np.minimum(n, 1000)
+
+    def slopes(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """By bit place and gate: the log loss, its gradient and its curvature."""
+        out = np.zeros((8, LEVELS, 1 + ORDERS + ORDERS * ORDERS))
+        asked, times = drawn(keys, n)
+        for rows, inputs, level in predictors(keys, n, short, asked, 1):
+            for place in range(8):
+                for g in range(LEVELS):
+                    of = level[:, place] == g
+                    if of.any():
+                        x, weight = inputs[of, place].astype(float), times[rows[of]].astype(float)
+                        p = squash(x @ weights[place, g])
+                        out[place, g, 0] -= weight @ np.log(p)
+                        out[place, g, 1 : ORDERS + 1] += (weight * (1 - p)) @ x
+                        out[place, g, ORDERS + 1 :] += ((x * (weight * p * (1 - p))[:, None]).T @ x).ravel()
+        return out.ravel()
+
+    def cells(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """By node and bin: the windows, and those with a one."""
+        out = np.zeros((2, 256 * BINS))
+        asked, times = drawn(keys, n)
+        for rows, inputs, level in predictors(keys, n, short, asked, 1):
+            byte, weight = (keys[rows] & _U(0xFF)).astype(np.int64), times[rows].astype(float)
+            for place in range(8):
+                bit = (byte >> (7 - place)) & 1
+                s = (inputs[:, place] * weights[place, level[:, place]]).sum(axis=1) * (2 * bit - 1)
+                cell = ((byte >> (8 - place)) | (1 << place)) * BINS + bins(s)
+                out[0] += np.bincount(cell, weight, 256 * BINS)
+                out[1] += np.bincount(cell, weight * bit, 256 * BINS)
+        return out.ravel()
+
+    weights = np.full((8, LEVELS, ORDERS), 0.3)
+    best, least, step = weights.copy(), np.full((8, LEVELS), np.inf), np.zeros_like(weights)
+    for _ in range(rounds if total else 0):
+        found = summed(grams, tasks, 8 * LEVELS * (1 + ORDERS + ORDERS * ORDERS), slopes).reshape(8, LEVELS, -1)
+        for place, g in np.ndindex(8, LEVELS):
+            loss = found[place, g, 0] + 0.5 * np.sum((weights[place, g] - 0.3) ** 2)
+            if loss <= least[place, g]:
+                least[place, g], best[place, g] = loss, weights[place, g]
+                slope = found[place, g, 1 : ORDERS + 1] - (weights[place, g] - 0.3)
+                step[place, g] = np.linalg.solve(found[place, g, ORDERS + 1 :].reshape(ORDERS, ORDERS) + np.eye(ORDERS), slope)
+            else:  # too far
+                step[place, g] /= 4
+        weights = best + step
+    seen, ones = summed(grams, tasks, 2 * 256 * BINS, cells).reshape(2, 256, BINS) if total else np.zeros((2, 256, BINS))
+    start = np.tile(squash(np.linspace(-8, 8, BINS)), (256, 1))
+    return Mixer(grams, tasks, short, weights, np.clip((ones + 4 * start) / (seen + 4), 1e-5, 1 - 1e-5))
 
 
 @dataclass
@@ -264,6 +322,36 @@ class Words:
         return (mix(keys) >> _U(44)).astype(np.int64)
 
 
+class Worths:
+    """What each window of a chunk is worth."""
+
+    def __init__(self, keys: np.ndarray, worth: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.worth = keys[order], worth[order]
+        self.tags, self.values = np.full(1 << MEMORY_BITS, ~_U(0)), np.zeros(1 << MEMORY_BITS)
+        slot = self.slot(self.keys)
+        self.tags[slot], self.values[slot] = self.keys, self.worth
+
+    @staticmethod
+    def slot(keys: np.ndarray) -> np.ndarray:
+        return (mix(keys) >> _U(64 - MEMORY_BITS)).astype(np.int64)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        slot = self.slot(keys)
+        out, lost = self.values[slot], np.flatnonzero(self.tags[slot] != keys)
+        at = np.searchsorted(self.keys, keys[lost])
+        if not np.array_equal(self.keys[np.minimum(at, len(self.keys) - 1)], keys[lost]):
+            raise ValueError("a window of a text isn't among those of its chunk")
+        out[lost] = self.worth[at]
+        return out
+
+
+def runs_of(values: np.ndarray) -> list[slice]:
+    """Stretches of equal values."""
+    ends = [*(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)] if len(values) else []
+    return [slice(a, b) for a, b in zip([0, *ends], ends)]
+
+
 def score(df: DataFrame, counts: DataFrame, mixer: Mixer, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every row."""
     known = counts.where("kind = 0").select("key", "n")
@@ -277,53 +365,88 @@ def score(df: DataFrame, counts: DataFrame, mixer: Mixer, key: str = "doc_id", t
     found.keys[at] = hot_keys
     # Where two words want one slot the last wins; it alone is found there, for its key is compared.
     found.logs[at] = np.log10(np.asarray(common["n"].combine_chunks()) + 1.0) - scale
-    held = df.sparkSession.sparkContext.broadcast((mixer, found))
+    held = df.sparkSession.sparkContext.broadcast(found)
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The windows of each chunk."""
+        now, met = None, []
+
+        def emitted(met: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            keys = np.unique(np.concatenate(met)) if met else np.zeros(0, _U)
+            for at in range(0, len(keys), 200_000):
+                some = keys[at : at + 200_000].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), now)), pa.array(some)], names=["chunk", "key"])
+
+        for batch in batches:
+            for run in runs_of(np.asarray(batch.column(0))):
+                chunk = batch.column(0)[run.start].as_py()
+                if chunk != now:
+                    yield from emitted(met)
+                    now, met = chunk, []
+                for _, data, offsets in text_parts(batch.slice(run.start, run.stop - run.start), 1, 2_000_000):
+                    met.append(np.unique(windows(data, offsets)[0]))
+                    if len(met) > 1 and sum(map(len, met[1:])) > max(500_000, len(met[0])):
+                        met = [np.unique(np.concatenate(met))]
+        yield from emitted(met)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, hot = held.value
-        tags, values = np.full(1 << MEMORY_BITS, ~_U(0)), np.zeros(1 << MEMORY_BITS, np.float32)
+        hot = held.value
+        now, parts, table = None, [], None
         for batch in batches:
-            for rows, data, offsets in text_parts(batch, 2, 1_500_000):
-                n_docs = rows.num_rows
-                found, bounds = words(data, offsets)
-                owner = np.repeat(np.arange(n_docs), np.diff(bounds))
-                place = hot.slot(found)
-                hit = hot.keys[place] == found
-                base = np.bincount(owner[hit], hot.logs[place[hit]], n_docs) + hot.end
-                seen = np.bincount(owner[hit], minlength=n_docs) + hot.end_known
-                keys, ends = windows(data, offsets)
-                logs = np.empty(len(keys))
-                slot = (mix(keys) >> _U(64 - MEMORY_BITS)).astype(np.int64)
-                met = tags[slot] == keys
-                logs[met] = values[slot[met]]
-                new = np.unique(keys[~met])
-                worth = np.concatenate([model.log10(new[k : k + 100_000]) for k in range(0, len(new), 100_000)]) if len(new) else np.zeros(0)
-                logs[~met] = worth[np.searchsorted(new, keys[~met])]
-                kept = (mix(new) >> _U(64 - MEMORY_BITS)).astype(np.int64)
-                tags[kept] = new
-                values[kept] = worth
-                total = np.add.reduceat(logs, np.concatenate([[0], ends[:-1]])) if n_docs else np.zeros(0)
-                ids = np.asarray(rows.column(0))
-                rare = found[~hit]
-                n, m = n_docs, len(rare)
-                blank = pa.nulls(m, pa.float64())
-                gap = pa.nulls(m, pa.int64())
-                columns = [
-                    pa.array(np.concatenate([ids, ids[owner[~hit]]])),
-                    pa.array(np.concatenate([mix(ids.view(_U) + _U(5)), rare]).view(np.int64)),
-                    pa.array(np.concatenate([np.zeros(n, np.int32), np.ones(m, np.int32)])),
-                    pa.concat_arrays([rows.column(1), gap]),
-                    pa.concat_arrays([pa.array(np.diff(bounds) + 1), gap]),
-                    pa.concat_arrays([pa.array(seen.astype(np.int64)), gap]),
-                    pa.concat_arrays([pa.array(np.diff(offsets) + 1), gap]),
-                    pa.concat_arrays([pa.array(base), blank]),
-                    pa.concat_arrays([pa.array(total), blank]),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+            chunks = np.asarray(batch.column(0))
+            for some in runs_of(chunks * 2 + np.asarray(batch.column(1))):
+                part = batch.slice(some.start, some.stop - some.start)
+                if chunks[some.start] != now:
+                    now, parts, table = chunks[some.start], [], None
+                if part.column(1)[0].as_py() == 0:
+                    parts.append((np.asarray(part.column(2)).view(_U), np.asarray(part.column(3))))
+                    continue
+                if table is None:
+                    table, parts = Worths(*map(np.concatenate, zip(*parts))), []
+                for rows, data, offsets in text_parts(part, 6, 1_500_000):
+                    yield scored(rows, data, offsets, hot, table)
+
+    def scored(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, hot: Words, table: Worths) -> pa.RecordBatch:
+        n_docs = rows.num_rows
+        found, bounds = words(data, offsets)
+        owner = np.repeat(np.arange(n_docs), np.diff(bounds))
+        place = hot.slot(found)
+        hit = hot.keys[place] == found
+        base = np.bincount(owner[hit], hot.logs[place[hit]], n_docs) + hot.end
+        seen = np.bincount(owner[hit], minlength=n_docs) + hot.end_known
+        keys, ends = windows(data, offsets)
+        total = np.add.reduceat(table.of(keys), np.concatenate([[0], ends[:-1]])) if n_docs else np.zeros(0)
+        ids = np.asarray(rows.column(4))
+        rare = found[~hit]
+        n, m = n_docs, len(rare)
+        blank = pa.nulls(m, pa.float64())
+        gap = pa.nulls(m, pa.int64())
+        columns = [
+            pa.array(np.concatenate([ids, ids[owner[~hit]]])),
+            pa.array(np.concatenate([mix(ids.view(_U) + _U(5)), rare]).view(np.int64)),
+            pa.array(np.concatenate([np.zeros(n, np.int32), np.ones(m, np.int32)])),
+            pa.concat_arrays([rows.column(5), gap]),
+            pa.concat_arrays([pa.array(np.diff(bounds) + 1), gap]),
+            pa.concat_arrays([pa.array(seen.astype(np.int64)), gap]),
+            pa.concat_arrays([pa.array(np.diff(offsets) + 1), gap]),
+            pa.concat_arrays([pa.array(base), blank]),
+            pa.concat_arrays([pa.array(total), blank]),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     names = ["row", "key", "times", "doc_id", "n_tokens", "n_known", "n_bytes", "base", "score"]
-    rows = df.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text")).withColumn("_row", F.monotonically_increasing_id())
-    said = rows.select("_row", "_key", "_text").mapInArrow(trimmed(run), "row long, key long, times int, doc_id long, n_tokens long, n_known long, n_bytes long, base double, score double")
+    # Stored, so that a row has the same number whenever it is read.
+    rows = stored(df.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text")).withColumn("_row", F.monotonically_increasing_id()), "scored-rows")
+    rows = rows.withColumn("_chunk", F.shiftright("_row", CHUNK_BITS))
+    pairs = stored(rows.select("_chunk", "_text").mapInArrow(trimmed(distinct), "chunk long, key long"), "chunk-windows")
+    priced = pairs.join(mixer.worth(pairs.select("key").distinct()), "key")
+    none = F.lit(None)
+    both = priced.select("chunk", F.lit(0).alias("kind"), "key", "worth", none.cast("long").alias("_row"), none.cast("long").alias("_key"), none.cast("string").alias("_text")).unionByName(
+        rows.select(F.col("_chunk").alias("chunk"), F.lit(1).alias("kind"), none.cast("long").alias("key"), none.cast("double").alias("worth"), "_row", "_key", "_text")
+    )
+    # A chunk's windows come before its texts.
+    met = both.repartition("chunk").sortWithinPartitions("chunk", "kind")
+    said = met.mapInArrow(trimmed(run), "row long, key long, times int, doc_id long, n_tokens long, n_known long, n_bytes long, base double, score double")
     # Words that are rare enough not to be at hand: each holds less than a HOT-th of all tokens, so none makes a task large.
     joined = said.join(known.hint("shuffle_hash"), "key", "left")
     log = F.log10(F.coalesce(F.col("n"), F.lit(0)) + 1.0) - scale
