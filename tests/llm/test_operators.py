@@ -411,6 +411,28 @@ def test_each_context_has_counts_of_its_own(spark):
     assert np.allclose(mixer.log10(np.array([int.from_bytes(w, "big") for w in asked], np.uint64)), want, atol=1e-3)
 
 
+def test_mixer_learns_from_every_window_as_often_as_it_occurs(spark):
+    """The refinement holds every occurrence: the bits that follow no others, whose node all windows share, add up."""
+    times = {b"the caX": 50_000, b"the caY": 7}
+    rows = [(1, int.from_bytes(w[1:], "big"), n) for w, n in times.items()]
+    many = spark.range(300_000).select(F.lit(1).cast("byte").alias("kind"), (F.col("id") * 65536 + 0x20000000000 + F.col("id") % 2 * 255).alias("key"), F.lit(1).cast("long").alias("n"))
+    counts = stored(spark.createDataFrame(rows, "kind byte, key long, n long").unionByName(many), "counts")
+    seen = []
+    whole = context_mixing.summed
+
+    def watched(rows, tasks, size, measure):
+        seen.append(whole(rows, tasks, size, measure))
+        return seen[-1]
+
+    context_mixing.summed = watched
+    try:
+        context_mixing.learn(counts)
+    finally:
+        context_mixing.summed = whole
+    n, ones = seen[-1].reshape(2, 256, -1)[:, 1].sum(axis=1)
+    assert (n, ones) == (350_007, 150_000)
+
+
 def test_windows_are_those_of_the_text():
     data, offsets = np.frombuffer(b"aBcde", np.uint8), np.array([0, 2, 2, 5])
     keys, ends = context_mixing.windows(data, offsets)

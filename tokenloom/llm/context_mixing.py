@@ -3,7 +3,7 @@
 Text is read as lower-cased (A-Z) UTF-8 bytes with an end symbol. Each bit of a byte is predicted in contexts of the
 last 1 to 5 bytes, and of those of the last 5 that belong to its word; each context has exact counts of zeros and ones
 of its own, from all training rows. Weights, chosen by bit place and by how many contexts are well known (the gate),
-combine the predictors' log odds; they are learned over windows of the corpus, each predicted from the counts without
+combine the predictors' log odds; they are learned over all windows of the corpus, each predicted from the counts without
 itself. An adaptive map from predicted to observed odds, one for each node of the byte tree, refines the mix. The
 product over all bits is the probability of the text.
 
@@ -45,8 +45,6 @@ TASK_WINDOWS = 250_000
 CHUNK_BITS = 13
 LEVELS = 6
 BINS = 33
-#: Windows that the weights are learned from, at most in the mean; the counts cover all rows.
-SAMPLE = 120_000
 #: A word with at least this share of all training tokens is common; there are HOT such words at most.
 HOT = 1 << 18
 HOT_SLOTS = 1 << 20
@@ -246,30 +244,25 @@ def summed(rows: DataFrame, tasks: int, size: int, measure) -> np.ndarray:
     return out
 
 
-def learn(counts: DataFrame, sample: int = SAMPLE, rounds: int = 5) -> Mixer:
+def learn(counts: DataFrame, rounds: int = 5) -> Mixer:
     """The mixer from stored corpus counts. Each window is predicted from the counts without itself.
 
     Weights are those of the least log loss, by Newton's method: in each round the gradients and curvatures of all tasks
-    are summed. The weights are learned from about `sample` windows, drawn by hash.
+    are summed. Every window counts as often as it occurs.
     """
     grams = counts.where("kind = 1").select("key", "n")
     total = grams.count()
     tasks, short = max(8, -(-total // TASK_WINDOWS)), short_counts(grams)
-    share = _U(int(min(1.0, sample / max(total, 1)) * (1 << 30)))
-
-    def drawn(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.flatnonzero((mix(keys + _U(77)) & _U((1 << 30) - 1)) < share), np.minimum(n, 1000)
 
     def slopes(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
         """By bit place and gate: the log loss, its gradient and its curvature."""
         out = np.zeros((8, LEVELS, 1 + ORDERS + ORDERS * ORDERS))
-        asked, times = drawn(keys, n)
-        for rows, inputs, level in predictors(keys, n, short, asked, 1):
+        for rows, inputs, level in predictors(keys, n, short, np.arange(len(keys)), 1):
             for place in range(8):
                 for g in range(LEVELS):
                     of = level[:, place] == g
                     if of.any():
-                        x, weight = inputs[of, place].astype(float), times[rows[of]].astype(float)
+                        x, weight = inputs[of, place].astype(float), n[rows[of]].astype(float)
                         p = squash(x @ weights[place, g])
                         out[place, g, 0] -= weight @ np.log(p)
                         out[place, g, 1 : ORDERS + 1] += (weight * (1 - p)) @ x
@@ -279,9 +272,8 @@ def learn(counts: DataFrame, sample: int = SAMPLE, rounds: int = 5) -> Mixer:
     def cells(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
         """By node and bin: the windows, and those with a one."""
         out = np.zeros((2, 256 * BINS))
-        asked, times = drawn(keys, n)
-        for rows, inputs, level in predictors(keys, n, short, asked, 1):
-            byte, weight = (keys[rows] & _U(0xFF)).astype(np.int64), times[rows].astype(float)
+        for rows, inputs, level in predictors(keys, n, short, np.arange(len(keys)), 1):
+            byte, weight = (keys[rows] & _U(0xFF)).astype(np.int64), n[rows].astype(float)
             for place in range(8):
                 bit = (byte >> (7 - place)) & 1
                 s = (inputs[:, place] * weights[place, level[:, place]]).sum(axis=1) * (2 * bit - 1)
