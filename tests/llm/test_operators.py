@@ -136,6 +136,17 @@ def test_site_templates(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_templates_of_small_and_of_mixed_hosts(spark):
+    pages = [(k, f"http://small.example/{k}", f"<body><div>Slogan</div><p>Small {k}</p></body>") for k in range(4)]
+    # Two sections, each with its own notice; and a sentence quoted in few articles.
+    pages += [(100 + k, f"http://mixed.example/{k}", f"<body><div>Notice {k % 2}</div><p>Mixed {k}</p></body>") for k in range(80)]
+    pages += [(200 + k, f"http://quotes.example/{k}", f"<article><p>Quoted</p><p>Own {k}</p></article>") for k in range(5)]
+    found = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(found[k] == f"Small {k}" for k in range(4))
+    assert all(found[100 + k] == f"Mixed {k}" for k in range(80))
+    assert all(found[200 + k] == f"Quoted\nOwn {k}" for k in range(5))
+
+
 def test_quality_model(spark):
     rng = random.Random(2)
     rows, labels = [], []

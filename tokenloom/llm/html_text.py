@@ -1,7 +1,8 @@
 """The main text of web pages, with site templates found by counting element subtrees per host.
 
 A first pass hashes the subtrees of every page; Spark counts, for each host, in how many different articles each
-occurs. Subtrees that recur across most of a host's articles are its template, and the second pass deletes them. What
+occurs. Subtrees that recur are the host's template, and the second pass deletes them; within a marked article, where
+a host's own text may be quoted again, they must recur in more articles than elsewhere. What
 names itself as navigation, header, footer, sidebar, notice, advert, form, script, style or comments goes in any case,
 and of the rest the article is taken, if the page marks one.
 
@@ -25,8 +26,11 @@ from pyspark.sql import types as T
 
 from tokenloom.llm.common import salted_join, stored, trimmed
 
-#: A subtree is template if it occurs in at least LEAST articles and this share of all articles of the host.
-LEAST, SHARE = 20, 0.8
+#: A subtree is template if it occurs in at least LEAST articles; outside of marked articles on hosts with few pages in
+#: half of them, but FEW at least. The small share keeps the number of subtrees of a large host's template bounded.
+LEAST, SHARE, FEW = 20, 0.01, 3
+#: What follows the hash of a subtree within, and outside of, a part marked as the article.
+INNER, OUTER = b"\1", b"\0"
 #: Hosts with templates are broadcast up to this number of subtree hashes; beyond it a salted join brings them.
 BROADCAST_HASHES = 500_000
 
@@ -89,7 +93,7 @@ class Page:
         self.subtrees: set[bytes] = set()
         self.regions: list[tuple[int, int, int]] = []  # rank, first block, end
         self.stack: list[Element] = [Element("", False, 0, 0, "")]
-        self.hidden, self.open_p, self.inside = 0, 0, 0
+        self.hidden, self.open_p, self.inside, self.body = 0, 0, 0, 0
         self.read(html)
 
     def read(self, html: str) -> None:
@@ -164,6 +168,7 @@ class Page:
         self.hidden += gone
         self.open_p += name == "p"
         self.inside += main in (1, 2)
+        self.body += main > 0
 
     def end(self, name: str) -> None:
         for k in range(len(self.stack) - 1, max(0, len(self.stack) - 512), -1):
@@ -191,6 +196,7 @@ class Page:
         self.stack.pop()
         self.open_p -= e.name == "p"
         self.inside -= e.main in (1, 2)
+        self.body -= e.main > 0
         if e.gone:
             self.hidden -= 1
             self.line.clear()
@@ -200,10 +206,11 @@ class Page:
         if self.hashing and e.hashed:
             digest = hashlib.blake2b(b"\0".join([e.name.encode("utf-8", "replace"), e.label.encode("utf-8", "replace"), *e.hashed]), digest_size=8).digest()
             if e.name not in ("html", "body", "main", "article") and not e.main:
-                if digest in self.template:
+                placed = digest + (INNER if self.body else OUTER)
+                if placed in self.template:
                     del self.blocks[e.start :]
                     return
-                self.subtrees.add(digest)
+                self.subtrees.add(placed)
             self.stack[-1].hashed.append(digest)
         if e.main:
             self.regions.append((e.main, e.start, len(self.blocks)))
@@ -241,10 +248,12 @@ def templates(df: DataFrame, url: str = "url", html: str = "html", least: int =
     found = df.select(host_of(url).alias("host"), F.col(html).alias("_html")).mapInArrow(trimmed(run), "host string, article binary, subtrees array<binary>")
     # Each article of a host counts once: of its copies, one stands for all.
     found = stored(found, "subtrees")
-    totals = found.select("host", "article").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("articles")).where(F.col("articles") >= least)
+    totals = found.select("host", "article").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("articles")).where(F.col("articles") >= FEW)
     seen = found.select("host", "article", F.explode("subtrees").alias("subtree")).distinct()
-    counted = seen.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    wide = salted_join(counted, totals, ["host"], seed="subtree").where(F.col("n") >= share * F.col("articles"))
+    counted = seen.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FEW)
+    few = F.greatest(F.lit(FEW), F.least(F.lit(least), F.ceil(F.col("articles") / 2)))
+    enough = F.when(F.substring("subtree", -1, 1) == F.lit(INNER), F.lit(least)).otherwise(few)
+    wide = salted_join(counted, totals, ["host"], seed="subtree").where((F.col("n") >= enough) & (F.col("n") >= share * F.col("articles")))
     # At most the mean number of subtrees in an article divided by the share: bounded for each host.
     return stored(wide.groupBy("host").agg(F.collect_set("subtree").alias("template")), "templates")
 
