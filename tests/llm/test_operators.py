@@ -136,6 +136,12 @@ def test_site_templates(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_templates_with_text_and_blocks():
+    parts = ["<div>Contact us <p>Call 555</p></div>", "<section>Related <ul><li>a</li></ul></section>"]
+    template = frozenset(html_text.Page("".join(parts)).subtrees)
+    assert html_text.main_text(f"<body>{parts[0]}<p>Own</p>{parts[1]}</body>", template) == "Own"
+
+
 def test_templates_of_small_and_of_mixed_hosts(spark):
     pages = [(k, f"http://small.example/{k}", f"<body><div>Slogan</div><p>Small {k}</p></body>") for k in range(4)]
     # Two sections, each with its own notice; and a sentence quoted in few articles.

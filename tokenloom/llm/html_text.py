@@ -209,6 +209,8 @@ class Page:
                 placed = digest + (INNER if self.body else OUTER)
                 if placed in self.template:
                     del self.blocks[e.start :]
+                    # The parent is hashed as it was counted.
+                    self.stack[-1].hashed.append(digest)
                     return
                 self.subtrees.add(placed)
             self.stack[-1].hashed.append(digest)
