@@ -8,13 +8,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tokenloom.llm import bpe, context_mixing, exact_dedup, html_text, language_id, near_dedup, packing, quality_model, quality_rules, warc
 from tokenloom.llm.common import bucket_of, components, salted_join, small_batches, stored
 from tokenloom.llm.queries import tokenizer
-from tokenloom.llm.shingles import bytes_of, shingle_sets
+from tokenloom.llm.shingles import bytes_of, shingle_sets, words
 
 tokenizers = pytest.importorskip("tokenizers")
 DOCS = "doc_id long, text string, Text_ string, n_tokens int, ids string"
@@ -173,6 +174,17 @@ def test_quality_model(spark):
     assert quality_model.score(df.limit(0), model).count() == 0
 
 
+def test_word_vectors_come_from_all_texts(spark):
+    """Texts without labels count, and the slots grow with the words."""
+    df = spark.createDataFrame([(1, "a b"), (2, "x y " * 5), *((10 + k, " ".join(f"w{k}v{j}" for j in range(1000))) for k in range(20))], "doc_id long, text string")
+    table = quality_model.learn(df, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).table
+    assert len(table) >= 2 * 20_004 * 0.9
+    bare = quality_model.index_vectors(len(table), quality_model.DIMS, 1)
+    hashes, _ = words(*bytes_of(pa.array(["x"])))
+    at = int(hashes[0] >> np.uint64(24)) & (len(table) - 1)
+    assert not np.allclose(table[at], bare[at] / np.linalg.norm(bare[at]))
+
+
 def brute_components(rows, percent):
     sets = []
     for key, text in rows:

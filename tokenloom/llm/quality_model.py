@@ -1,12 +1,13 @@
 """A quality classifier: random-indexing word vectors pooled per document, a two-layer network, calibrated scores.
 
 Every word has a sparse random index vector that its hash determines. A word's context vector is the sum of the index
-vectors of its neighbours over the training texts; words are kept in SLOTS hashed slots, so the table is bounded. A
+vectors of its neighbours over all texts, labelled or not; words are kept in hashed slots, twice as many at least as
+there are distinct words, so the table grows with the vocabulary. A
 document is the mean of its words' context vectors, the mean of index vectors of its words' shapes (case, digits,
 trailing marks, repetition), and a few rates. A two-layer network on these is trained in numpy, and a temperature
 fitted on rows apart from the training ones turns its outputs into probabilities.
 
-The model is fitted on a bounded sample of labelled rows: the `sample` rows with the smallest hashes of their
+The network and its temperature are fitted on a bounded sample of labelled rows: the `sample` rows with the smallest hashes of their
 identifiers, of those that may be learned from. Every row is scored on its whole text. Null and empty texts get the
 score of a document without words. Repeated rows are scored alike; where an identifier has several labels, each pair
 counts as a row. Without any labelled row, or with labels of one kind only, scores are that kind's share (0.5 without
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,19 +31,27 @@ from tokenloom.llm.bpe import slices
 from tokenloom.llm.common import bucket_of, stored, trimmed, with_field
 from tokenloom.llm.shingles import IS_SPACE, bytes_of, mix, words
 
+#: SLOTS: of the smallest table.
 SLOTS, DIMS, REACH = 1 << 14, 32, 2
 SHAPES, RATES = 64, 12
 SAMPLE = 12_000
 _U = np.uint64
 
 
-def index_vectors(n: int, dims: int, seed: int) -> np.ndarray:
+def index_vectors(n: int, dims: int, seed: int, start: int = 0) -> np.ndarray:
     """Sparse ternary vectors: a quarter of the entries are +1 or -1."""
-    x = mix(np.arange(n * dims, dtype=_U) + _U(seed << 32))
+    x = mix(np.arange(start * dims, (start + n) * dims, dtype=_U) + _U(seed << 32))
     return np.where(x & _U(3), 0, np.where(x & _U(4), 1, -1)).astype(np.float32).reshape(n, dims)
 
 
-INDEX = index_vectors(SLOTS, DIMS, 1)
+@lru_cache(2)
+def word_index(slots: int) -> np.ndarray:
+    out = np.empty((slots, DIMS), np.int8)
+    for at in range(0, slots, SLOTS):
+        out[at : at + SLOTS] = index_vectors(SLOTS, DIMS, 1, at)
+    return out
+
+
 SHAPE_INDEX = index_vectors(1 << 12, SHAPES, 2)
 #: Kinds of bytes: other, lower, upper, digit, beyond ASCII, and marks.
 KIND = np.zeros(256, np.uint8)
@@ -51,11 +61,15 @@ for _mark in b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~":
 KIND[IS_SPACE] = 6
 
 
-def raw_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def slots_of(hashes: np.ndarray, slots: int) -> np.ndarray:
+    return ((hashes >> _U(24)) & _U(slots - 1)).astype(np.int64)
+
+
+def raw_features(data: np.ndarray, offsets: np.ndarray, table_slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Slots of all words in turn, words before each offset, and each document's shape means and rates."""
     hashes, bounds = words(data, offsets)
     n_docs, n = len(offsets) - 1, len(hashes)
-    slots = (hashes >> _U(40)).astype(np.int64) & (SLOTS - 1)
+    slots = slots_of(hashes, table_slots)
     counts = np.diff(bounds).astype(np.float64)
     some = np.maximum(counts, 1)
     kinds = KIND[data]
@@ -107,9 +121,9 @@ def pooled(table: np.ndarray, slots: np.ndarray, bounds: np.ndarray) -> np.ndarr
     return out
 
 
-def context_sums(slots: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """For each slot, the sum of the index vectors of its words' neighbours, each place turned its own way."""
-    out = np.zeros((SLOTS, DIMS), np.float32)
+def context_sums(slots: np.ndarray, bounds: np.ndarray, out: np.ndarray) -> None:
+    """Adds to each slot the sum of the index vectors of its words' neighbours, each place turned its own way."""
+    index = word_index(len(out))
     owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     for step in range(1, REACH + 1):
         together = np.flatnonzero(owner[step:] == owner[:-step])
@@ -118,13 +132,12 @@ def context_sums(slots: np.ndarray, bounds: np.ndarray) -> np.ndarray:
             key = slots[one][order]
             if len(key):
                 firsts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                out[key[firsts]] += np.add.reduceat(np.roll(INDEX, turn, axis=1)[slots[other][order]], firsts, axis=0)
-    return out
+                out[key[firsts]] += np.add.reduceat(np.roll(index[slots[other][order]], turn, axis=1), firsts, axis=0, dtype=np.int32)
 
 
 @dataclass
 class Model:
-    """Everything that scoring needs; a few megabytes at most."""
+    """Everything that scoring needs; its table grows with the vocabulary."""
 
     table: np.ndarray
     mean: np.ndarray
@@ -195,28 +208,49 @@ def fit(features: np.ndarray, labels: np.ndarray, order: np.ndarray, table: np.n
 def featured(batch: pa.RecordBatch, column: int, table: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     for part in slices(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)), 500_000):
         rows = batch.slice(part.start, part.stop - part.start)
-        slots, bounds, rest = raw_features(*bytes_of(rows.column(column)))
+        slots, bounds, rest = raw_features(*bytes_of(rows.column(column)), len(table))
         mean = pooled(table, slots, bounds) / np.maximum(np.diff(bounds), 1)[:, None]
         yield rows, np.concatenate([mean, rest], axis=1)
 
 
+def context_table(texts: DataFrame) -> np.ndarray:
+    """The index vector and the context sums of every slot, over all texts (the only column)."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in batches:
+            for part in slices(np.asarray(pc.fill_null(pc.binary_length(batch.column(0)), 0)), 500_000):
+                yield words(*bytes_of(batch.column(0).slice(part.start, part.stop - part.start)))
+
+    def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found, _ in parts(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(found).view(np.int64))], names=["word"])
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((slots, DIMS), np.int32)
+        for found, bounds in parts(batches):
+            context_sums(slots_of(found, slots), bounds, total)
+        some = np.flatnonzero(total.any(axis=1))
+        for at in range(0, len(some), 20_000):
+            rows = some[at : at + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), *(pa.array(total[rows, k].astype(float)) for k in range(DIMS))], names=["slot", *names])
+
+    distinct = texts.mapInArrow(trimmed(vocabulary), "word long").agg(F.approx_count_distinct("word", 0.02)).first()[0]
+    slots = max(SLOTS, 1 << int(2 * distinct).bit_length())
+    names = [f"d{k}" for k in range(DIMS)]
+    summed = texts.mapInArrow(trimmed(contexts), "slot int, " + ", ".join(f"{c} double" for c in names)).groupBy("slot").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
+    table = word_index(slots).astype(np.float32)
+    # Sums of whole numbers: the same in any order.
+    table[np.asarray(summed["slot"].combine_chunks())] += np.stack([np.asarray(summed[c].combine_chunks()).astype(np.float32) for c in names], axis=1)
+    return table
+
+
 def learn(df: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """A model from at most `sample` labelled rows of df. df: only rows that may be learned from."""
+    """A model from the texts of df, and at most `sample` of its labelled rows. labels: only those that may be learned from."""
     usable = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_y")).where("_key is not null and _y is not null")
     chosen = usable.orderBy(F.xxhash64("_key"), "_key", "_y").limit(sample)
     rows = stored(df.select(key, text).join(F.broadcast(chosen), F.col(key) == F.col("_key")).select("_key", "_y", F.col(text).alias("_text")), "quality-sample")
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((SLOTS, DIMS), np.float32)
-        for batch in batches:
-            for part in slices(np.asarray(pc.fill_null(pc.binary_length(batch.column(0)), 0)), 500_000):
-                found, bounds, _ = raw_features(*bytes_of(batch.column(0).slice(part.start, part.stop - part.start)))
-                total += context_sums(found, bounds)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
-
-    # One table of SLOTS * DIMS numbers for each task; there are 8 tasks at most, whatever the sample.
-    sums = rows.select("_text").coalesce(8).mapInArrow(trimmed(contexts), "sums binary").collect()
-    table = np.sum([np.frombuffer(r["sums"], np.float32) for r in sums], axis=0).reshape(SLOTS, DIMS) + INDEX
+    table = context_table(df.select(F.col(text).alias("_text")))
     table = (table / (np.linalg.norm(table, axis=1, keepdims=True) + 1e-9)).astype(np.float32)
     held = df.sparkSession.sparkContext.broadcast(table)
 
