@@ -17,7 +17,7 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
-from itertools import chain, islice, repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -216,14 +216,14 @@ class Merges:
             self.own[i] = i not in self.doubtful and self.merge(text.removesuffix(self.suffix) if last else text, last) == [i]
         return self.own[tokens] > 0
 
-    def merge_many(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[list[int]]:
-        """The merges of many words at once, each making one merge at a time; all symbols must be known."""
+    def merge_many(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The merges of many words at once, each making one merge at a time; all symbols must be known. Ids, and how many each has."""
         sizes = ends - starts
         place = np.arange(int(sizes.max()))
         ids = self.single[0][data[np.minimum(starts[:, None] + place, len(data) - 1)]]
         ids[place >= sizes[:, None]] = -1
         ids[np.arange(len(sizes)), sizes - 1] = self.single[1 if self.suffix else 0][data[ends - 1]]
-        out: list[list[int]] = [[]] * len(sizes)
+        out, counts = np.empty(ids.shape, np.int32), np.empty(len(sizes), np.int64)
         rows = np.arange(len(sizes))
         ranks = self.rank_of(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(sizes), -1) if ids.shape[1] > 1 else np.full((len(sizes), 1), NEVER)
         ranks[:, : ids.shape[1] - 1][ids[:, 1:] < 0] = NEVER
@@ -232,8 +232,7 @@ class Merges:
             each = np.arange(len(rows))
             best = ranks[each, k]
             done = best >= NEVER
-            for r, n, found in zip(rows[done].tolist(), sizes[done].tolist(), ids[done].tolist()):
-                out[r] = found[:n]
+            out[rows[done], : ids.shape[1]], counts[rows[done]] = ids[done], sizes[done]
             if done.all():
                 break
             on = ~done
@@ -253,10 +252,10 @@ class Merges:
             # Fewer columns once the words are short.
             if width > 2 and (short := max(2, int(sizes.max()))) < width:
                 ids, ranks = ids[:, :short], ranks[:, : short - 1]
-        return out
+        return out[place < counts[:, None]], counts
 
-    def encode_words(self, words: list[bytes]) -> tuple[list[list[int]], int]:
-        """Ids of each word, and how many words failed the test and were merged exactly."""
+    def encode_flat(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
+        """Ids of all words in turn, how many each has, and how many words failed the test and were merged exactly."""
         if self.within is None:
             self.build_trie()
         data = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
@@ -270,23 +269,33 @@ class Merges:
             pairs, back = np.unique((tokens[inside] << 32) | tokens[inside + 1], return_inverse=True)
             good = self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)
             failed[owner[inside[~good[back]]]] = True
-        bounds = np.searchsorted(owner, np.arange(len(words) + 1)).tolist()
-        flat = tokens.tolist()
-        out = [flat[a:b] for a, b in zip(bounds, bounds[1:])]
         left = np.flatnonzero(failed)
+        if not len(left):
+            return tokens.astype(np.int32), np.bincount(owner, minlength=len(words)), 0
         # By length, so that words merged together are alike; long words and unknown symbols go one by one.
         unknown = (self.single[0][data] < 0) | (self.single[1][data] < 0)
         odd = np.concatenate([[0], np.cumsum(unknown)])
         plain = (odd[ends[left]] == odd[starts[left]]) & (ends[left] - starts[left] <= 64)
+        passed = ~failed[owner]
+        owners, parts = [owner[passed]], [tokens[passed].astype(np.int32)]
         for k in left[~plain].tolist():
-            out[k] = self.merge(words[k].decode("latin-1").translate(TO_GLYPH))
+            parts.append(np.array(self.merge(words[k].decode("latin-1").translate(TO_GLYPH)), np.int32))
+            owners.append(np.full(len(parts[-1]), k))
         some = left[plain]
         some = some[np.argsort(ends[some] - starts[some], kind="stable")]
         for at in range(0, len(some), 2048):
             part = some[at : at + 2048]
-            for k, found in zip(part.tolist(), self.merge_many(data, starts[part], ends[part])):
-                out[k] = found
-        return out, len(left)
+            found, counts = self.merge_many(data, starts[part], ends[part])
+            owners.append(np.repeat(part, counts))
+            parts.append(found)
+        owner = np.concatenate(owners)
+        return np.concatenate(parts)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words)), len(left)
+
+    def encode_words(self, words: list[bytes]) -> tuple[list[list[int]], int]:
+        """Ids of each word, and how many words failed the test and were merged exactly."""
+        ids, counts, failed = self.encode_flat(words)
+        flat, ends = ids.tolist(), np.cumsum(counts).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)], failed
 
 
 class Bpe:
@@ -307,14 +316,20 @@ class Bpe:
         self.spaces = regex.compile(f"[{WS}]+")
         self.controls = re.compile(r"[\x1c-\x1f]")
         self.odd = re.compile(r"\s | \s")
+        # In texts that hold none of these, single spaces or plain white space part the words.
+        space = f"[{WS}\x1c-\x1f]"
+        doubtful = ["[\x1c-\x1f]"] if self.words_only else ["^ ", " $", f"{space} ", f" {space}"]
+        if not self.words_only and (self.nfc or self.lower):
+            doubtful = [""]
+        self.unusual = "|".join([*map(re.escape, self.added), *doubtful])
         names = {i: t for t, i in self.merges.vocab.items()}
         self.bytes = {i: bytes(map(TO_BYTE.__getitem__, t)) if all(c in TO_BYTE for c in t) else t.encode() for i, t in names.items()}
         self.bytes |= {i: t.encode() for t, i in self.added.items()}
         self.forget()
 
     def forget(self) -> None:
-        """What is remembered: ids of pieces, and by number the ids of words at a text's start and behind a space."""
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        """What is remembered: the numbers of pieces, of words at a text's start and of words behind a space, and the ids by number."""
+        self.pieces: dict[str, int] = {}
         self.first: dict[str, int] = {}
         self.later: dict[str, int] = {}
         self.flat, self.starts, self.sizes = array("i"), array("q"), array("q")
@@ -326,92 +341,145 @@ class Bpe:
             text = text.replace("Σ", "σ").lower()
         return text
 
-    def remember(self, ids: tuple[int, ...]) -> int:
-        self.starts.append(len(self.flat))
-        self.sizes.append(len(ids))
-        self.flat.extend(ids)
-        return len(self.starts) - 1
-
-    def learn(self, words: set[str], cache: dict[str, int], lead: str) -> None:
-        """Encodes words that the cache lacks: each distinct piece of them once."""
-        split, pieces, flat = self.pattern.findall, self.pieces, self.flat
+    def remember(self, ids: np.ndarray, sizes: np.ndarray) -> range:
+        """Keeps ids of so many sizes in turn; their numbers."""
+        first = len(self.starts)
+        self.starts.frombytes((np.cumsum(sizes) - sizes + len(self.flat)).astype(np.int64).tobytes())
+        self.sizes.frombytes(sizes.astype(np.int64).tobytes())
+        self.flat.frombytes(ids.astype(np.int32).tobytes())
+        return range(first, len(self.starts))
+
+    def ids_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids behind the numbers in turn, and how many each has."""
+        sizes, starts = np.frombuffer(self.sizes, np.int64)[numbers], np.frombuffer(self.starts, np.int64)[numbers]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return np.frombuffer(self.flat, np.int32)[np.repeat(starts - ends + sizes, sizes) + np.arange(total)], sizes
+
+    def learn(self, words: list[str], cache: dict[str, int], lead: str) -> None:
+        """Encodes words that the cache lacks: each distinct piece of them once. Of a word that is one piece the number is the piece's."""
+        shaped = words
+        if self.words_only and (self.nfc or self.lower):
+            shaped = [w.lower() if self.lower and w.isascii() else self.normalized(w) for w in words]
+        split, pieces = self.pattern.findall, self.pieces
         # A word of letters alone is one piece in either pattern.
-        parts = [[lead + w] if w.isalpha() else split(lead + w) for w in words]
-        new = list(set(chain.from_iterable(parts)).difference(pieces))
-        found, _ = self.merges.encode_words([p.encode("utf-8") for p in new])
-        pieces.update(zip(new, map(tuple, found)))
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        ids = list(map(pieces.__getitem__, chain.from_iterable(parts)))
-        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])[np.concatenate([[0], np.cumsum(sizes)])]
-        cache.update(zip(words, range(len(self.starts), len(self.starts) + len(parts))))
-        self.starts.frombytes((ends[:-1] + len(flat)).tobytes())
-        self.sizes.frombytes(np.diff(ends).tobytes())
-        flat.extend(chain.from_iterable(ids))
+        whole = [w.isalpha() for w in shaped]
+        plain = [lead + w for w, one in zip(shaped, whole) if one]
+        parts = [split(lead + w) for w, one in zip(shaped, whole) if not one]
+        new = list(set(chain(plain, chain.from_iterable(parts))).difference(pieces))
+        ids, sizes, _ = self.merges.encode_flat([p.encode("utf-8") for p in new])
+        pieces.update(zip(new, self.remember(ids, sizes)))
+        cache.update(zip((w for w, one in zip(words, whole) if one), map(pieces.__getitem__, plain)))
+        if parts:
+            ids, sizes = self.ids_of(np.fromiter(map(pieces.__getitem__, chain.from_iterable(parts)), np.int64))
+            ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, parts)])]
+            cache.update(zip((w for w, one in zip(words, whole) if not one), self.remember(ids, np.diff(ends))))
 
     def spare(self) -> None:
         """Bounds what is remembered. The words met first tend to be the common ones; they stay."""
-        if len(self.pieces) > self.kept // 3:
-            self.pieces = dict(islice(((p, i) for p, i in self.pieces.items() if len(p) <= KEPT_CHARS), self.kept // 4))
         if len(self.flat) > 8 * self.kept:
             self.forget()
         elif len(self.starts) > self.kept:
             n = self.kept * 3 // 4
-            self.first = {w: k for w, k in self.first.items() if k < n}
-            self.later = {w: k for w, k in self.later.items() if k < n}
+            self.pieces, self.first, self.later = ({w: k for w, k in d.items() if k < n and len(w) <= KEPT_CHARS} for d in (self.pieces, self.first, self.later))
             del self.flat[self.starts[n] :], self.starts[n:], self.sizes[n:]
 
-    def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and where each text's end. Where single spaces part the words, each word is looked up with its space."""
-        runs: list[tuple[list[str], bool, np.ndarray]] = []  # words, whether they start a text, their numbers
-        counts = []
+    def numbered(self, words: list[str], head: bool, lead: str) -> np.ndarray:
+        """The numbers of distinct words; those not met before are learned."""
+        cache = self.first if head else self.later
+        numbers = np.fromiter(map(cache.get, words, repeat(-1)), np.int64, len(words))
+        lost = np.flatnonzero(numbers < 0)
+        if len(lost):
+            missing = [words[k] for k in lost.tolist()]
+            self.learn(missing, cache, lead)
+            numbers[lost] = np.fromiter(map(cache.__getitem__, missing), np.int64, len(missing))
+        return numbers
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a string array, and where each text's end; null counts as empty.
+
+        Where only white space parts the words and none of it is a token, Arrow splits the texts and numbers their
+        distinct words, so that each is looked up once. Other texts take the way of encode_batch.
+        """
+        if not len(column):
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
+        column = pc.fill_null(column, "")
+        odd = np.asarray(pc.match_substring_regex(column, self.unusual))
+        counts, numbers = np.zeros(len(column), np.int64), []
+        lead = "" if self.words_only else " "
+        rows = np.flatnonzero(~odd)
+        if len(rows):
+            some = column if len(rows) == len(column) else column.take(pa.array(rows))
+            lists = pc.utf8_split_whitespace(some) if self.words_only else pc.split_pattern(some, " ")
+            sizes, coded = np.asarray(pc.list_value_length(lists)).astype(np.int64), lists.flatten().dictionary_encode()
+            codes, words = np.asarray(coded.indices), coded.dictionary.to_pylist()
+            if self.words_only:
+                found = self.numbered(words, False, lead)[codes]
+            else:
+                head = np.zeros(len(codes), bool)
+                head[np.cumsum(sizes) - sizes] = True
+                found = np.empty(len(codes), np.int64)
+                for place in (True, False):
+                    used = np.unique(codes[head == place])
+                    known = np.full(len(words), -1, np.int64)
+                    known[used] = self.numbered([words[k] for k in used.tolist()], place, "" if place else lead)
+                    found[head == place] = known[codes[head == place]]
+            counts[rows] = sizes
+            numbers.append(found)
+        if len(rows) < len(column):
+            found, counts[odd] = self.numbers_of(column.filter(pa.array(odd)).to_pylist())
+            numbers.append(found)
+        every = np.concatenate(numbers)
+        if len(numbers) > 1:
+            every = every[np.argsort(np.concatenate([np.repeat(rows, counts[rows]), np.repeat(np.flatnonzero(odd), counts[odd])]), kind="stable")]
+        return self.coded(every, counts)
+
+    def numbers_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all words of the texts in turn, and how many each text has."""
+        runs: list[tuple[list[str], bool | None]] = []  # words, and whether they start a text
+        numbers, counts = [], []
         lead = "" if self.words_only else " "
-        missing: dict[bool, set[str]] = {True: set(), False: set()}
-
-        def look(words: list[str], head: bool) -> int:
-            numbers = np.fromiter(map((self.first if head else self.later).get, words, repeat(-1)), np.int64, len(words))
-            if (numbers < 0).any():
-                missing[head].update(words[k] for k in np.flatnonzero(numbers < 0).tolist())
-            runs.append((words, head, numbers))
-            return len(words)
-
         for text in texts:
-            n = 0
+            before = len(runs)
             for k, part in enumerate(self.cut.split(text) if self.cut and self.cut.search(text) else [text]):
                 if k % 2:
-                    if (number := self.first.get(special := (part,))) is None:
-                        number = self.first[special] = self.remember((self.added[part],))
-                    runs.append(([], True, np.array([number], np.int64)))
-                    n += 1
+                    runs.append(([part], None))
                     continue
-                if self.words_only or self.nfc or self.lower:
+                if not self.words_only and (self.nfc or self.lower):
                     part = self.normalized(part)
                 if not part:
                     continue
                 if self.words_only:
                     # White space is dropped; str.split() takes four control characters for it too.
-                    n += look(self.spaces.split(part) if self.controls.search(part) else part.split(), False)
+                    runs.append(([w for w in self.spaces.split(part) if w] if self.controls.search(part) else part.split(), False))
                 elif part[0] == " " or part[-1] == " " or self.odd.search(part):
-                    n += look([part], True)
+                    runs.append(([part], True))
                 else:
                     words = part.split(" ")
-                    n += look(words[:1], True) + look(words[1:], False)
-            counts.append(n)
-        if missing[True]:
-            self.learn(missing[True], self.first, "")
-        if missing[False]:
-            self.learn(missing[False], self.later, lead)
-        for words, head, numbers in runs:
-            lost = np.flatnonzero(numbers < 0)
-            if len(lost):
-                get = (self.first if head else self.later).__getitem__
-                numbers[lost] = [get(words[k]) for k in lost.tolist()]
-        every = np.concatenate([r[2] for r in runs]) if runs else np.zeros(0, np.int64)
-        sizes, starts = np.array(self.sizes, np.int64)[every], np.array(self.starts, np.int64)[every]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = np.array(self.flat, np.int32)[np.repeat(starts - ends + sizes, sizes) + np.arange(total)]
+                    runs += [(words[:1], True), (words[1:], False)]
+            counts.append(sum(len(w) for w, _ in runs[before:]))
+        for head in (True, False):
+            words = list(dict.fromkeys(chain.from_iterable(w for w, h in runs if h is head)))
+            self.numbered(words, head, "" if head else lead)
+        for words, head in runs:
+            if head is None:
+                special = (words[0],)
+                if special not in self.first:
+                    self.first[special] = self.remember(np.array([self.added[words[0]]]), np.ones(1, np.int64))[0]
+                numbers.append(self.first[special])
+            else:
+                numbers.extend(map((self.first if head else self.later).__getitem__, words))
+        return np.array(numbers, np.int64), np.array(counts, np.int64)
+
+    def coded(self, numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids, sizes = self.ids_of(numbers)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
         self.spare()
-        return ids, np.concatenate([[0], ends])[np.cumsum([0, *counts])]
+        return ids, ends
+
+    def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and where each text's end."""
+        return self.coded(*self.numbers_of(texts))
 
     def decode(self, ids: list[int]) -> str:
         """The bytes of the ids in turn; unknown ids vanish, invalid UTF-8 becomes U+FFFD."""
@@ -465,7 +533,7 @@ def encode(df: DataFrame, config: str, text: str = "text", keep: tuple[str, ...]
             column = batch.column(len(keep))
             for part in slices(np.asarray(pc.fill_null(pc.binary_length(column), 0))):
                 rows = batch.slice(part.start, part.stop - part.start)
-                found, ends = bpe.encode_batch(texts_of(rows.column(len(keep))))
+                found, ends = bpe.encode_column(rows.column(len(keep)))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found))
                 yield pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], lists], names=[*keep, ids])
 

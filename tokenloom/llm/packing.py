@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenloom.llm.bpe import KEPT, load, slices, texts_of, unload
+from tokenloom.llm.bpe import KEPT, load, slices, unload
 from tokenloom.llm.common import stored, trimmed, with_field
 
 #: Pieces of one length are ranked in buckets of about ROWS, of which there are MOST at most.
@@ -40,22 +40,23 @@ def pieces(df: DataFrame, config: str, size: int = 2048, end_id: int = 1, text:
             sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0))
             for part in slices(sizes):
                 rows = batch.slice(part.start, part.stop - part.start)
-                owner, start, length, crc, total, ids = [], [], [], [], [], []
-                every, ends = bpe.encode_batch(texts_of(rows.column(1)))
-                for k in range(rows.num_rows):
-                    found = np.append(every[ends[k] : ends[k + 1]], end_id).astype("<u4")
-                    for at in range(0, len(found), size):
-                        piece = found[at : at + size]
-                        owner.append(k)
-                        start.append(at)
-                        length.append(len(piece))
-                        crc.append(zlib.crc32(piece.tobytes()))
-                        total.append(len(found))
-                        if with_ids:
-                            ids.append(piece.astype(np.int32))
-                columns = [rows.column(0).take(pa.array(owner, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
+                every, ends = bpe.encode_column(rows.column(1))
+                total = np.diff(ends) + 1
+                stops = np.cumsum(total)
+                flat = np.full(int(stops[-1]), end_id, "<u4")
+                own = np.ones(len(flat), bool)
+                own[stops - 1] = False
+                flat[own] = every
+                n = -(-total // size)
+                owner = np.repeat(np.arange(rows.num_rows), n)
+                start = (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)) * size
+                length = np.minimum(size, total[owner] - start)
+                at = (stops - total)[owner] + start
+                raw = memoryview(flat).cast("B")
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist())]
+                columns = [rows.column(0).take(pa.array(owner)), *(pa.array(x, pa.int64()) for x in (start, length, crc, total[owner]))]
                 if with_ids:
-                    columns.append(pa.array(ids, pa.list_(pa.int32())))
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, stops[-1]), pa.int32()), pa.array(flat.view("<i4"))))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
         if kept < KEPT:
             unload()
