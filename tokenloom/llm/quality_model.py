@@ -1,11 +1,11 @@
 """A quality classifier: random-indexing word vectors pooled per document, a two-layer network, calibrated scores.
 
-Every word has a sparse random index vector that its hash determines. A word's context vector is the sum of the index
-vectors of its neighbours over all texts, labelled or not; words are kept in hashed slots, twice as many at least as
-there are distinct words, so the table grows with the vocabulary. A
-document is the mean of its words' context vectors, the mean of index vectors of its words' shapes (case, digits,
-trailing marks, repetition), and a few rates. A two-layer network on these is trained in numpy, and a temperature
-fitted on rows apart from the training ones turns its outputs into probabilities.
+Texts are read as words: runs of letters and digits, and runs of marks, each in its own case. Every word has a sparse
+random index vector that its hash determines. A word's context vector is the sum of the index vectors of its neighbours
+over all texts, labelled or not; words that make up at least a COMMON-th of all words of the corpus have one, so the
+table has COMMON rows at most, and what rarer words say is in their index vectors. A document is the mean of its words'
+context vectors, of their index vectors, and of the products of adjacent words' index vectors, and the number pooled. A two-layer network on these is trained in
+numpy, and a temperature fitted on rows apart from the training ones turns its outputs into probabilities.
 
 The network and its temperature are fitted on a bounded sample of labelled rows: the `sample` rows with the smallest hashes of their
 identifiers, of those that may be learned from. Every row is scored on its whole text. Null and empty texts get the
@@ -18,7 +18,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,116 +28,94 @@ from pyspark.sql import types as T
 
 from tokenloom.llm.bpe import slices
 from tokenloom.llm.common import bucket_of, stored, trimmed, with_field
-from tokenloom.llm.shingles import IS_SPACE, bytes_of, mix, words
+from tokenloom.llm.shingles import IS_SPACE, bytes_of, mix, randoms, spans
 
-#: SLOTS: of the smallest table.
-SLOTS, DIMS, REACH = 1 << 14, 32, 2
-SHAPES, RATES = 64, 12
+#: A word with at least this share of all words has a context vector; there are COMMON such words at most.
+COMMON = 1 << 17
+DIMS, REACH, ENTRIES = 32, 2, 4
 SAMPLE = 12_000
 _U = np.uint64
+#: Kinds of bytes: white space, letters and digits (and all beyond ASCII), marks.
+KIND = np.ones(256, np.uint8)
+KIND[[b for b in range(128) if not chr(b).isalnum()]] = 2
+KIND[IS_SPACE] = 0
+BYTE, PLACE = randoms(256, 31), randoms(64, 37) | _U(1)
 
 
-def index_vectors(n: int, dims: int, seed: int, start: int = 0) -> np.ndarray:
-    """Sparse ternary vectors: a quarter of the entries are +1 or -1."""
-    x = mix(np.arange(start * dims, (start + n) * dims, dtype=_U) + _U(seed << 32))
-    return np.where(x & _U(3), 0, np.where(x & _U(4), 1, -1)).astype(np.float32).reshape(n, dims)
-
-
-@lru_cache(2)
-def word_index(slots: int) -> np.ndarray:
-    out = np.empty((slots, DIMS), np.int8)
-    for at in range(0, slots, SLOTS):
-        out[at : at + SLOTS] = index_vectors(SLOTS, DIMS, 1, at)
-    return out
-
-
-SHAPE_INDEX = index_vectors(1 << 12, SHAPES, 2)
-#: Kinds of bytes: other, lower, upper, digit, beyond ASCII, and marks.
-KIND = np.zeros(256, np.uint8)
-KIND[97:123], KIND[65:91], KIND[48:58], KIND[128:] = 1, 2, 3, 4
-for _mark in b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~":
-    KIND[_mark] = 5
-KIND[IS_SPACE] = 6
-
-
-def slots_of(hashes: np.ndarray, slots: int) -> np.ndarray:
-    return ((hashes >> _U(24)) & _U(slots - 1)).astype(np.int64)
-
-
-def raw_features(data: np.ndarray, offsets: np.ndarray, table_slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of all words in turn, words before each offset, and each document's shape means and rates."""
-    hashes, bounds = words(data, offsets)
-    n_docs, n = len(offsets) - 1, len(hashes)
-    slots = slots_of(hashes, table_slots)
-    counts = np.diff(bounds).astype(np.float64)
-    some = np.maximum(counts, 1)
-    kinds = KIND[data]
-    inside = kinds != 6
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in turn, and how many lie before each offset."""
+    hashes, begins = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
     border = np.zeros(len(data) + 1, bool)
     border[offsets] = True
-    starts = np.flatnonzero(inside & (np.concatenate([[True], ~inside[:-1]]) | border[:-1])) if len(data) else np.zeros(0, np.int64)
-    stops = np.flatnonzero(inside & (np.concatenate([~inside[1:], [True]]) | border[1:])) + 1 if len(data) else starts
-    owner = np.repeat(np.arange(n_docs), np.diff(bounds))
-    same = np.zeros(n, bool)
-    if n > 1:
-        same[1:] = (hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])
-    if n:
-        first, second = kinds[starts].astype(np.int64), kinds[np.minimum(starts + 1, stops - 1)].astype(np.int64)
-        last, before = data[stops - 1].astype(np.int64), data[np.maximum(stops - 2, starts)].astype(np.int64)
-        last, before = np.where(KIND[last] == 5, last, 0), np.where(KIND[before] == 5, before, 0)
-        shape = mix((((first * 8 + second) * 256 + last) * 256 + before) .astype(_U) * _U(2) + same.astype(_U))
-        shape = (shape >> _U(30)).astype(np.int64) & (len(SHAPE_INDEX) - 1)
-        sums = pooled(SHAPE_INDEX, shape, bounds)
-    else:
-        sums = np.zeros((n_docs, SHAPES), np.float32)
-    size = np.maximum(np.diff(offsets), 1).astype(np.float64)
-    rate = np.zeros((n_docs, RATES), np.float64)
-    for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-        rate[k, :7] = np.bincount(kinds[a:b], minlength=7)
-    rate[:, :7] /= size[:, None]
-    runs = np.concatenate([[0], np.cumsum(same)])
-    rate[:, 7] = (runs[bounds[1:]] - runs[bounds[:-1]]) / some
-    rate[:, 8] = np.log1p(counts) / 10
-    rate[:, 9] = counts < 50
-    length = np.concatenate([[0], np.cumsum(stops - starts)])
-    rate[:, 10] = (length[bounds[1:]] - length[bounds[:-1]]) / some / 10
-    # Of three-word windows, the share that occurred before.
-    if n >= 3:
-        window = mix(hashes[:-2] + hashes[1:-1] * _U(3) + hashes[2:] * _U(5))
-        for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
-            if b - a >= 3:
-                x = np.sort(window[a : b - 2])
-                rate[k, 11] = np.count_nonzero(x[1:] == x[:-1]) / (b - a)
-    return slots, bounds, np.concatenate([sums / some[:, None], rate], axis=1).astype(np.float32)
-
-
-def pooled(table: np.ndarray, slots: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Sums of the table's rows over each document's words, in pieces of bounded size."""
+    for at, end in spans(data):
+        part = data[at:end]
+        kind = KIND[part]
+        starts = np.flatnonzero(border[at:end] | np.concatenate([[True], kind[1:] != kind[:-1]]))
+        inner = np.arange(len(part)) - np.repeat(starts, np.diff(np.append(starts, len(part))))
+        sums = np.add.reduceat(BYTE[part] * PLACE[inner & 63] + (inner >> 6).astype(_U), starts)
+        on = kind[starts] != 0
+        hashes.append(mix(sums[on]))
+        begins.append(starts[on] + at)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(begins), offsets)
+
+
+def index_entries(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the entries of each word's index vector, and their signs."""
+    bits = hashes[:, None] >> (_U(8) * np.arange(ENTRIES, dtype=_U) + _U(16))
+    return (bits & _U(DIMS - 1)).astype(np.int64), np.where(bits & _U(DIMS), 1, -1).astype(np.int32)
+
+
+def pooled(table: np.ndarray, rows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums of the table's rows over each document's words, in pieces of bounded size; no row: -1."""
     out = np.zeros((len(bounds) - 1, table.shape[1]), np.float32)
     for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
         for at in range(a, b, 1 << 14):
-            out[k] += table[slots[at : min(b, at + (1 << 14))]].sum(axis=0)
+            some = rows[at : min(b, at + (1 << 14))]
+            out[k] += table[some[some >= 0]].sum(axis=0)
+    return out
+
+
+def index_pools(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums of the index vectors of each document's words, and of the products of those of adjacent words."""
+    places, signs = index_entries(hashes)
+    vectors, every = np.zeros((len(hashes), DIMS), np.int8), np.arange(len(hashes))
+    for k in range(ENTRIES):
+        vectors[every, places[:, k]] += signs[:, k].astype(np.int8)
+    products = vectors.copy()
+    products[:-1] *= vectors[1:]
+    products[bounds[1:][np.diff(bounds) > 0] - 1] = 0  # a document's last word has no successor
+    out, some = np.zeros((len(bounds) - 1, 2 * DIMS), np.float32), np.flatnonzero(np.diff(bounds))
+    if len(some):
+        out[some, :DIMS] = np.add.reduceat(vectors, bounds[some], axis=0, dtype=np.int32)
+        out[some, DIMS:] = np.add.reduceat(products, bounds[some], axis=0, dtype=np.int32)
     return out
 
 
-def context_sums(slots: np.ndarray, bounds: np.ndarray, out: np.ndarray) -> None:
-    """Adds to each slot the sum of the index vectors of its words' neighbours, each place turned its own way."""
-    index = word_index(len(out))
-    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+def rows_of(keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The places of the hashes among the sorted keys; -1 where a key is missing."""
+    if not len(keys):
+        return np.full(len(hashes), -1)
+    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+    return np.where(keys[at] == hashes, at, -1)
+
+
+def context_sums(hashes: np.ndarray, bounds: np.ndarray, rows: np.ndarray, out: np.ndarray) -> None:
+    """Adds to each row of out the index vectors of its word's neighbours, each place turned its own way."""
+    places, signs = index_entries(hashes)
+    owner, flat = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), out.reshape(-1)
     for step in range(1, REACH + 1):
         together = np.flatnonzero(owner[step:] == owner[:-step])
         for one, other, turn in ((together, together + step, step), (together + step, together, -step)):
-            order = np.argsort(slots[one], kind="stable")
-            key = slots[one][order]
-            if len(key):
-                firsts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                out[key[firsts]] += np.add.reduceat(np.roll(index[slots[other][order]], turn, axis=1), firsts, axis=0, dtype=np.int32)
+            on = rows[one] >= 0
+            one, other = one[on], other[on]
+            np.add.at(flat, (rows[one][:, None] * DIMS + ((places[other] + turn) & (DIMS - 1))).ravel(), signs[other].ravel())
 
 
 @dataclass
 class Model:
-    """Everything that scoring needs; its table grows with the vocabulary."""
+    """Everything that scoring needs: the common words with their vectors, the network and its temperature."""
 
+    keys: np.ndarray
     table: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
@@ -186,15 +163,15 @@ def train(x: np.ndarray, y: np.ndarray, width: int = 24, rounds: int = 60, batch
 
 def calibrated(z: np.ndarray, y: np.ndarray) -> float:
     """The temperature of the smallest log loss, on a grid."""
-    grid = np.exp(np.linspace(np.log(0.25), np.log(16), 60))
+    grid = np.exp(np.linspace(np.log(0.1), np.log(16), 80))
     loss = [np.mean(np.logaddexp(0, np.where(y == 1, -z, z) / t)) for t in grid]
     return float(grid[int(np.argmin(loss))])
 
 
-def fit(features: np.ndarray, labels: np.ndarray, order: np.ndarray, table: np.ndarray) -> Model:
+def fit(features: np.ndarray, labels: np.ndarray, order: np.ndarray, keys: np.ndarray, table: np.ndarray) -> Model:
     """order: numbers that deal the rows out; every sixth is kept for the temperature."""
     if len(labels) == 0 or labels.min() == labels.max():
-        return Model(table, np.zeros(1), np.ones(1), [], 1.0, float(labels.mean()) if len(labels) else 0.5)
+        return Model(keys, table, np.zeros(1), np.ones(1), [], 1.0, float(labels.mean()) if len(labels) else 0.5)
     mean, scale = features.mean(axis=0), features.std(axis=0) + 1e-3
     x, y = (features - mean) / scale, labels.astype(np.float64)
     apart = order % 6 == 0
@@ -202,46 +179,64 @@ def fit(features: np.ndarray, labels: np.ndarray, order: np.ndarray, table: np.n
         apart[:] = False
     layers = train(x[~apart], y[~apart])
     held = apart if apart.any() else ~apart
-    return Model(table, mean, scale, layers, max(1.0, calibrated(forward(layers, x[held])[0], y[held])))
+    return Model(keys, table, mean, scale, layers, calibrated(forward(layers, x[held])[0], y[held]))
 
 
-def featured(batch: pa.RecordBatch, column: int, table: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+def text_parts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     for part in slices(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)), 500_000):
         rows = batch.slice(part.start, part.stop - part.start)
-        slots, bounds, rest = raw_features(*bytes_of(rows.column(column)), len(table))
-        mean = pooled(table, slots, bounds) / np.maximum(np.diff(bounds), 1)[:, None]
-        yield rows, np.concatenate([mean, rest], axis=1)
+        yield rows, *tokens(*bytes_of(rows.column(column)))
 
 
-def context_table(texts: DataFrame) -> np.ndarray:
-    """The index vector and the context sums of every slot, over all texts (the only column)."""
+def featured(batch: pa.RecordBatch, column: int, keys: np.ndarray, table: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    for rows, hashes, bounds in text_parts(batch, column):
+        n = np.diff(bounds)
+        sums = np.concatenate([pooled(table, rows_of(keys, hashes), bounds), index_pools(hashes, bounds)], axis=1)
+        yield rows, np.concatenate([sums / np.maximum(n, 1)[:, None], np.log1p(n)[:, None]], axis=1).astype(np.float32)
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+
+def common_words(texts: DataFrame, common: int = COMMON) -> np.ndarray:
+    """Hashes of the words with at least a `common`-th of all words of the texts (the only column), sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counts = np.zeros(0, _U), np.zeros(0, np.int64)
         for batch in batches:
-            for part in slices(np.asarray(pc.fill_null(pc.binary_length(batch.column(0)), 0)), 500_000):
-                yield words(*bytes_of(batch.column(0).slice(part.start, part.stop - part.start)))
+            for _, hashes, _ in text_parts(batch, 0):
+                words, back = np.unique(np.concatenate([words, hashes]), return_inverse=True)
+                counts = np.bincount(back, np.concatenate([counts, np.ones(len(hashes))]), len(words)).astype(np.int64)
+                if len(words) > 1 << 18:
+                    yield emitted(words, counts)
+                    words, counts = words[:0], counts[:0]
+        yield emitted(words, counts)
 
-    def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found, _ in parts(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(found).view(np.int64))], names=["word"])
+    def emitted(words: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], names=["word", "n"])
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((slots, DIMS), np.int32)
-        for found, bounds in parts(batches):
-            context_sums(slots_of(found, slots), bounds, total)
+    counts = stored(texts.mapInArrow(trimmed(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = counts.where(F.col("n") * common >= total).select("word").toArrow()
+    return np.sort(np.asarray(found["word"].combine_chunks()).view(_U))
+
+
+def context_table(texts: DataFrame, keys: np.ndarray) -> np.ndarray:
+    """The context vector, at unit length, of each word of keys over all texts (the only column)."""
+    held, names = texts.sparkSession.sparkContext.broadcast(keys), [f"d{k}" for k in range(DIMS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(held.value), DIMS), np.int32)
+        for batch in batches:
+            for _, hashes, bounds in text_parts(batch, 0):
+                context_sums(hashes, bounds, rows_of(held.value, hashes), total)
         some = np.flatnonzero(total.any(axis=1))
         for at in range(0, len(some), 20_000):
             rows = some[at : at + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), *(pa.array(total[rows, k].astype(float)) for k in range(DIMS))], names=["slot", *names])
+            yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), *(pa.array(total[rows, k]) for k in range(DIMS))], names=["row", *names])
 
-    distinct = texts.mapInArrow(trimmed(vocabulary), "word long").agg(F.approx_count_distinct("word", 0.02)).first()[0]
-    slots = max(SLOTS, 1 << int(2 * distinct).bit_length())
-    names = [f"d{k}" for k in range(DIMS)]
-    summed = texts.mapInArrow(trimmed(contexts), "slot int, " + ", ".join(f"{c} double" for c in names)).groupBy("slot").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
-    table = word_index(slots).astype(np.float32)
+    summed = texts.mapInArrow(trimmed(run), "row int, " + ", ".join(f"{c} int" for c in names)).groupBy("row").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
+    table = np.zeros((len(keys), DIMS), np.float64)
     # Sums of whole numbers: the same in any order.
-    table[np.asarray(summed["slot"].combine_chunks())] += np.stack([np.asarray(summed[c].combine_chunks()).astype(np.float32) for c in names], axis=1)
-    return table
+    table[np.asarray(summed["row"].combine_chunks())] = np.stack([np.asarray(summed[c].combine_chunks()).astype(np.float64) for c in names], axis=1)
+    return (table / (np.linalg.norm(table, axis=1, keepdims=True) + 1e-9)).astype(np.float32)
 
 
 def learn(df: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> Model:
@@ -250,20 +245,21 @@ def learn(df: DataFrame, labels: DataFrame, label: str = "quality", text: str =
     chosen = usable.orderBy(F.xxhash64("_key"), "_key", "_y").limit(sample)
     rows = stored(df.select(key, text).join(F.broadcast(chosen), F.col(key) == F.col("_key")).select("_key", "_y", F.col(text).alias("_text")), "quality-sample")
 
-    table = context_table(df.select(F.col(text).alias("_text")))
-    table = (table / (np.linalg.norm(table, axis=1, keepdims=True) + 1e-9)).astype(np.float32)
-    held = df.sparkSession.sparkContext.broadcast(table)
+    texts = df.select(F.col(text).alias("_text"))
+    keys = common_words(texts)
+    table = context_table(texts, keys)
+    held = df.sparkSession.sparkContext.broadcast((keys, table))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some, x in featured(batch, 2, held.value):
+            for some, x in featured(batch, 2, *held.value):
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([v.tobytes() for v in x.astype(np.float32)], pa.binary())], names=["k", "y", "x"])
 
     found = rows.select(F.xxhash64("_key").alias("k"), F.col("_y").alias("y"), "_text").mapInArrow(trimmed(vectors), "k long, y int, x binary").collect()
     found.sort(key=lambda r: (r["k"], r["y"], r["x"]))
     x = np.array([np.frombuffer(r["x"], np.float32) for r in found]) if found else np.zeros((0, 1), np.float32)
     y, order = np.array([r["y"] for r in found]), np.array([r["k"] for r in found], np.int64)
-    return fit(x, y, order, table)
+    return fit(x, y, order, keys, table)
 
 
 def score(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -272,7 +268,7 @@ def score(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some, x in featured(batch, len(keep), held.value.table):
+            for some, x in featured(batch, len(keep), held.value.keys, held.value.table):
                 yield pa.RecordBatch.from_arrays([*some.columns[: len(keep)], pa.array(held.value.scores(x), pa.float64())], names=names)
 
     names = [*keep, "score"]
@@ -286,7 +282,7 @@ def accepted(df: DataFrame, model: Model, least: float = 0.3, text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some, x in featured(batch, at, held.value.table):
+            for some, x in featured(batch, at, held.value.keys, held.value.table):
                 yield some.filter(pa.array(held.value.scores(x) >= least))
 
     return df.mapInArrow(trimmed(run), df.schema)

@@ -6,6 +6,8 @@ that no word is ever made a Python object. A-Z are lower-cased; words are runs o
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -60,16 +62,12 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in turn, and how many words lie before each offset."""
-    n = len(data)
-    hashes, begins = [], []
-    at = 0
-    border = np.zeros(n + 1, bool)
-    border[offsets] = True
+def spans(data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Consecutive stretches of about CHUNK bytes that don't end within a word."""
+    at, n = 0, len(data)
     while at < n:
         end = min(at + CHUNK, n)
-        if end < n:  # not within a word
+        if end < n:
             gaps = np.flatnonzero(IS_SPACE[data[at:end]])
             if len(gaps):
                 end = at + int(gaps[-1]) + 1
@@ -79,6 +77,16 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
                     end = min(n, end + (int(gaps[0]) + 1 if len(gaps) else CHUNK))
                     if len(gaps):
                         break
+        yield at, end
+        at = end
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in turn, and how many words lie before each offset."""
+    hashes, begins = [], []
+    border = np.zeros(len(data) + 1, bool)
+    border[offsets] = True
+    for at, end in spans(data):
         part = data[at:end]
         inside = ~IS_SPACE[part]
         before = np.concatenate([[False], inside[:-1]])
@@ -89,7 +97,6 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         np.cumsum(BYTE[part] * powers("up", len(part))[: len(part)], out=sums[1:])
         hashes.append(mix((sums[stop] - sums[start]) * powers("down", len(part))[start] + (stop - start).astype(_U)))
         begins.append(start + at)
-        at = end
     found = np.concatenate(hashes) if hashes else np.zeros(0, _U)
     where = np.concatenate(begins) if begins else np.zeros(0, np.int64)
     return found, np.searchsorted(where, offsets)
