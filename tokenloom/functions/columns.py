@@ -101,10 +101,22 @@ def from_glyphs(glyphs: Column) -> Column:
     return F.when(F.length(glyphs) > 0, F.make_valid_utf8(F.unhex(F.array_join(hexes, "")).cast("string"))).otherwise(F.lit(""))
 
 
+#: Pieces whose offsets are summed up in one go; blocks of them are then moved to where they begin.
+BLOCK = 512
+
+
+def running(sizes: Column) -> Column:
+    """Sums of a short array up to and with each entry."""
+    return F.aggregate(sizes, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x)))
+
+
 def running_bytes(pieces: Column) -> Column:
     """(start, end) of each piece in bytes, of pieces that cover a text."""
-    ends = F.aggregate(pieces, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1), F.lit(0)) + F.octet_length(x))))
-    return F.transform(pieces, lambda x, k: F.struct((ends[k] - F.octet_length(x)).alias("start"), ends[k].alias("end")))
+    sizes = F.transform(pieces, F.octet_length)
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(pieces) / BLOCK).cast("int") - 1, F.lit(0))), lambda b: F.slice(sizes, b * BLOCK + 1, F.lit(BLOCK)))
+    ends = running(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x)))
+    moved = F.flatten(F.zip_with(blocks, ends, lambda b, end: F.transform(running(b), lambda x: x + end - F.aggregate(b, F.lit(0), lambda a, y: a + y))))
+    return F.zip_with(moved, sizes, lambda end, n: F.struct((end - n).alias("start"), end.alias("end")))
 
 
 # -- normalizers

@@ -140,13 +140,11 @@ def truncate_pair(a: Encoding, b: Encoding | None, most: int, stride: int, strat
         if b is None:
             a.truncate(most, stride, direction)
             return
-        small, large = sorted((len(a), len(b)))
-        large = max(small, most - small) if small <= most else small
-        if small + large > most:
-            small = most // 2
-            large = small + most % 2
-        for e, n in ((a, large if len(a) > len(b) else small), (b, small if len(a) > len(b) else large)):
-            e.truncate(n, stride, direction)
+        # The shorter one keeps its tokens as far as half of the room goes; the other has the rest.
+        kept = min(len(a), len(b), most // 2)
+        first = most - kept if len(a) > len(b) else kept
+        a.truncate(first, stride, direction)
+        b.truncate(most - first, stride, direction)
         return
     target = a if strategy == "onlyfirst" else b
     if target is None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 import random
 from heapq import nlargest
@@ -97,20 +98,36 @@ class Bpe:
         return out + [pending] if pending else out
 
     def merged(self, word: str) -> list[Token]:
-        s, rules, dropout = self.symbols(word), self.rules, self.dropout or 0.0
-        none = (1 << 60, 0)
-        found = [rules.get((a[0], b[0]), none) for a, b in zip(s, s[1:])]
-        while found:
-            best = min(found) if not dropout else min((f for f in found if f is not none and self.random.random() >= dropout), default=none)
-            if best is none or best[0] == none[0]:
+        """The merges in order of rank, leftmost first; what may be merged next waits in a heap, so long words take no longer than their share."""
+        s, dropout = self.symbols(word), self.dropout or 0.0
+        after, before = list(range(1, len(s) + 1)), list(range(-1, len(s) - 1))
+        waiting: list[tuple[int, int, int, int, int]] = []  # rank, place, what it makes, and the ids it was found for
+
+        def offer(k: int) -> None:
+            if 0 <= k and after[k] < len(s) and (rule := self.rules.get((s[k][0], s[after[k]][0]))):
+                heapq.heappush(waiting, (rule[0], k, rule[1], s[k][0], s[after[k]][0]))
+
+        for k in range(len(s)):
+            offer(k)
+        while waiting:
+            skipped = []
+            while dropout and waiting and self.random.random() < dropout:
+                skipped.append(heapq.heappop(waiting))
+            if not waiting:
                 break
-            k = found.index(best)
-            s[k] = [best[1], s[k][1], s[k + 1][2]]
-            del s[k + 1], found[k]
-            for j in (k - 1, k):
-                if 0 <= j < len(found):
-                    found[j] = rules.get((s[j][0], s[j + 1][0]), none)
-        return [(i, self.names[i], a, b) for i, a, b in s]
+            _, k, made, left, right = heapq.heappop(waiting)
+            for x in skipped:
+                heapq.heappush(waiting, x)
+            j = after[k]
+            if s[k] is None or s[k][0] != left or j >= len(s) or s[j][0] != right:
+                continue  # one of the two has gone into another merge
+            s[k] = [made, s[k][1], s[j][2]]
+            s[j], after[k] = None, after[j]
+            if after[k] < len(s):
+                before[after[k]] = k
+            offer(before[k])
+            offer(k)
+        return [(x[0], self.names[x[0]], x[1], x[2]) for x in s if x is not None]
 
     def tokens(self, word: str) -> list[Token]:
         if self.whole and (found := self.vocab.get(word)) is not None:

@@ -83,7 +83,9 @@ def unicode_form(form: str) -> Callable[[Text], Text]:
 
 
 def simple_lower(c: str) -> str:
-    return c.lower()
+    """One character for one: where lower case takes two (U+0130), the character stays."""
+    low = c.lower()
+    return low if len(low) == 1 else c
 
 
 def bert(config: dict) -> Callable[[Text], Text]:

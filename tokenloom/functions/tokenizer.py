@@ -86,6 +86,22 @@ class Spec:
     def with_(self, **changes) -> Spec:
         return replace(self, **changes)
 
+    def adding(self, *tokens: AddedToken | str, special: bool = False) -> Spec:
+        """The same with more added tokens; those whose content is known already stay as they are."""
+        known = {t.content for t in self.added_tokens}
+        made = [t if isinstance(t, AddedToken) else AddedToken(t, special=special, normalized=not special) for t in tokens]
+        fresh = {t.content: t for t in reversed(made) if t.content and t.content not in known}
+        return self.with_(added_tokens=self.added_tokens + tuple(fresh[c] for c in dict.fromkeys(t.content for t in made) if c in fresh))
+
+    def save(self, path: str, pretty: bool = True) -> None:
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(self.json(pretty))
+
+    @staticmethod
+    def load(path: str) -> Spec:
+        with open(path, encoding="utf-8") as f:
+            return Spec.parse(f.read())
+
 
 class Vocabulary:
     """Added tokens beside the model's: their ids, and where they stand in a text."""
@@ -150,6 +166,23 @@ class Tokenizer:
         self.post, self.decoded = Processor(spec.post_processor), decoder(spec.decoder)
         self.added = Vocabulary(spec, self.model.vocab, self.normal)
         self.model_names = {i: t for t, i in self.model.vocab.items()}
+        self._words, self._bytes = None, {}
+
+    def words(self):
+        """What encodes whole columns by their distinct words, or None if this tokenizer isn't one for it."""
+        from tokenloom.functions.batches import WordBatches
+
+        if self._words is None and WordBatches.serves(self):
+            self._words = WordBatches(self)
+        return self._words
+
+    def id_bytes(self, skip_special: bool):
+        """What decodes whole columns of ids, or None if the decoder isn't one for it."""
+        from tokenloom.functions.batches import IdBytes
+
+        if skip_special not in self._bytes:
+            self._bytes[skip_special] = IdBytes(self, skip_special) if IdBytes.serves(self) else None
+        return self._bytes[skip_special]
 
     # -- vocabulary
 
@@ -245,32 +278,37 @@ class Tokenizer:
         tokens = [t for t in map(self.id_to_token, ids) if t is not None and not (skip_special and t in self.added.special)]
         return "".join(self.decoded(tokens)) if self.decoded else " ".join(tokens)
 
+    def decode_chain(self, ids: list[int], skip_special: bool = True) -> list[str]:
+        """The pieces that the decoder makes of the ids' tokens, before they are joined."""
+        tokens = [t for t in map(self.id_to_token, ids) if t is not None and not (skip_special and t in self.added.special)]
+        return self.decoded(tokens) if self.decoded else tokens
+
     def stream(self, skip_special: bool = True) -> StreamDecoder:
         return StreamDecoder(self, skip_special)
 
 
 class StreamDecoder:
-    """Text as its ids come in one by one; nothing while the end may still be an incomplete character."""
+    """Text as its ids come in one by one; nothing while the end may still be an incomplete character.
+
+    `pending` are the ids whose text has not been given out. Decoders may treat what begins a text in another way, so
+    they are decoded behind `context`, the ids of the last text given out, and its part is taken off.
+    """
 
-    def __init__(self, tokenizer: Tokenizer, skip_special: bool = True, ids: list[int] | None = None, prefix: str = "", index: int = 0):
-        self.tokenizer, self.skip, self.ids, self.prefix, self.index = tokenizer, skip_special, ids or [], prefix, index
+    def __init__(self, tokenizer: Tokenizer, skip_special: bool = True, context: list[int] | None = None, pending: list[int] | None = None):
+        self.tokenizer, self.skip, self.context, self.pending = tokenizer, skip_special, context or [], pending or []
 
     def step(self, i: int) -> str | None:
-        decode = self.tokenizer.decode
-        if not self.prefix and self.ids:
-            new = decode(self.ids, self.skip)
-            if not new.endswith("�"):
-                self.prefix, self.index = new, len(self.ids)
-        self.ids.append(i)
-        text = decode(self.ids, self.skip)
-        if len(text) <= len(self.prefix) or text.endswith("�"):
+        self.pending.append(i)
+        both = self.tokenizer.decode(self.context + self.pending, self.skip)
+        if both.endswith("\ufffd"):
             return None
-        if not text.startswith(self.prefix):
+        seen = self.tokenizer.decode(self.context, self.skip) if self.context else ""
+        fresh = both.removeprefix(seen)
+        if seen and fresh == both:
             raise ValueError("the decoded text no longer begins with what was given out")
-        out = text[len(self.prefix) :]
-        self.ids = self.ids[self.index :]
-        self.prefix, self.index = decode(self.ids, self.skip), len(self.ids)
-        return out
+        if fresh:
+            self.context, self.pending = self.pending, []
+        return fresh or None
 
 
 def place(text: str, unit: str):
@@ -303,6 +341,17 @@ def pad_to(encodings: list[Encoding], p: dict) -> None:
         e.pad(n, p.get("pad_id", 0), p.get("pad_type_id", 0), p.get("pad_token", "[PAD]"), p.get("direction", "Right").lower())
 
 
+def parts_of(sizes: list[int], most: int = 2_000_000) -> list[tuple[int, int]]:
+    """Runs of rows of about `most` bytes together, one row at least."""
+    out, start, total = [], 0, 0
+    for k, n in enumerate(sizes):
+        if k > start and total + n > most:
+            out.append((start, k))
+            start, total = k, 0
+        total += n
+    return out + [(start, len(sizes))] if start < len(sizes) else out
+
+
 _COMPILED: dict[int, Tokenizer] = {}
 
 

@@ -50,9 +50,17 @@ def pattern(source: str) -> regex.Pattern:
 
 #: Scripts that text is split by; other characters count as common.
 SCRIPTS = (
-    "Latin Greek Cyrillic Armenian Hebrew Arabic Syriac Thaana Devanagari Bengali Gurmukhi Gujarati Oriya Tamil Telugu Kannada Malayalam "
-    "Sinhala Thai Lao Tibetan Myanmar Georgian Hangul Ethiopic Cherokee Khmer Mongolian Hiragana Katakana Bopomofo Han Yi Gothic Braille "
-    "Coptic Glagolitic Tifinagh Runic Ogham Inherited"
+    "Adlam Ahom AnatolianHieroglyphs Arabic Armenian Avestan Balinese Bamum BassaVah Batak Bengali Bhaiksuki Bopomofo "
+    "Brahmi Braille Buginese Buhid CanadianAboriginal Carian CaucasianAlbanian Chakma Cham Cherokee Coptic Cuneiform "
+    "Cypriot Cyrillic Deseret Devanagari Duployan EgyptianHieroglyphs Elbasan Ethiopic Georgian Glagolitic Gothic Grantha "
+    "Greek Gujarati Gurmukhi Han Hangul Hanunoo Hatran Hebrew Hiragana ImperialAramaic Inherited InscriptionalPahlavi "
+    "InscriptionalParthian Javanese Kaithi Kannada Katakana KayahLi Kharoshthi Khmer Khojki Khudawadi Lao Latin Lepcha "
+    "Limbu LinearA LinearB Lisu Lycian Lydian Mahajani Malayalam Mandaic Manichaean Marchen MeeteiMayek MendeKikakui "
+    "MeroiticCursive MeroiticHieroglyphs Miao Modi Mongolian Mro Multani Myanmar Nabataean NewTaiLue Newa Nko Ogham OlChiki "
+    "OldHungarian OldItalic OldNorthArabian OldPermic OldPersian OldSouthArabian OldTurkic Oriya Osage Osmanya PahawhHmong "
+    "Palmyrene PauCinHau PhagsPa Phoenician PsalterPahlavi Rejang Runic Samaritan Saurashtra Sharada Shavian Siddham "
+    "SignWriting Sinhala SoraSompeng Sundanese SylotiNagri Syriac Tagalog Tagbanwa TaiLe TaiTham TaiViet Takri Tamil Tangut "
+    "Telugu Thaana Thai Tibetan Tifinagh Tirhuta Ugaritic Vai WarangCiti Yi"
 ).split()
 _SCRIPT = [(s, regex.compile(rf"\p{{Script={s}}}")) for s in SCRIPTS]
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenloom.functions import columns
-from tokenloom.functions.tokenizer import Spec, Tokenizer, compiled
+from tokenloom.functions.tokenizer import Spec, Tokenizer, compiled, parts_of
 from tokenloom.session import ship
 
 SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
@@ -24,6 +27,10 @@ ARROW = {
 }
 
 
+def text_parts(column: pa.Array) -> list[tuple[int, int]]:
+    return parts_of(pc.fill_null(pc.binary_length(column), 0).to_pylist())
+
+
 def encode(df: DataFrame, config: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), pair: str | None = None, add_special: bool = True, unit: str = "byte", want: tuple[str, ...] = tuple(PARTS)) -> DataFrame:
     """keep, part_no and the wanted lists. Part 0 is the encoding, the next ones what overflowed it. Null counts as empty.
 
@@ -37,7 +44,14 @@ def encode(df: DataFrame, config: str, text: str = "text", keep: tuple[str, ...]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = compiled(held.value)
+        fast = tokenizer.words() if not pair and want == ("ids",) and (not add_special or tokenizer.post.added(False) == 0) else None
         for batch in batches:
+            if fast and pa.types.is_string(batch.column(n).type):
+                for a, b in text_parts(batch.column(n)):
+                    ids, counts = fast.encode(batch.column(n).slice(a, b - a))
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids))
+                    yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:n]), pa.array(np.zeros(b - a, np.int32)), lists], names=names)
+                continue
             first = batch.column(n).to_pylist()
             second = batch.column(n + 1).to_pylist() if pair else [None] * len(first)
             owner, part_no, lists = [], [], {w: [] for w in want}
@@ -68,8 +82,13 @@ def count_tokens(df: DataFrame, config: str, text: str = "text", keep: tuple[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = compiled(held.value)
+        fast, more = tokenizer.words(), tokenizer.post.added(False) if add_special else 0
         for batch in batches:
-            found = [tokenizer.count(x, add_special) for x in batch.column(n).to_pylist()]
+            if fast:
+                found = [fast.count(batch.column(n).slice(a, b - a)) + more for a, b in text_parts(batch.column(n))]
+                found = np.concatenate(found) if found else np.zeros(0, np.int64)
+            else:
+                found = [tokenizer.count(x, add_special) for x in batch.column(n).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(found, pa.int32())], names=[*keep, out])
 
     source = df.select(*keep, t.alias("_text"))
@@ -102,8 +121,13 @@ def decode(df: DataFrame, config: str, ids: str = "ids", out: str = "decoded", s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = compiled(held.value)
         for batch in batches:
-            texts = [tokenizer.decode(x or [], skip_special) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*kept, out])
+            if table := tokenizer.id_bytes(skip_special):
+                lists = batch.column(at)
+                found = [table.texts(lists.slice(a, b - a)) for a, b in parts_of(pc.fill_null(pc.list_value_length(lists), 0).to_pylist(), 500_000)]
+                texts = pa.concat_arrays(found) if found else pa.array([], pa.string())
+            else:
+                texts = pa.array([tokenizer.decode(x or [], skip_special) for x in batch.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*kept, out])
 
     source = df.select(*kept)
     return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField(out, T.StringType())]))
@@ -133,14 +157,62 @@ def vocabulary(spark: SparkSession, config: str) -> DataFrame:
     return spark.createDataFrame(rows, "token string, id int, added boolean, special boolean")
 
 
+#: Line breaks.
+BREAK = re.compile("\r\n|\n|\r")
+
+
 def lines(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """line_no, line, start and end in characters; a trailing line break is followed by an empty line."""
-    t = F.coalesce(df[text], F.lit(""))
-    parts = F.regexp_extract_all(t, F.lit(r"([^\r\n]*)(\r\n|\n|\r|$)"), F.lit(0))
-    rows = df.select(*keep, F.posexplode(parts).alias("line_no", "_raw"), F.length(t).alias("_all"))
-    w = Window.partitionBy(*keep).orderBy("line_no")
-    rows = rows.withColumn("end_all", F.sum(F.length("_raw")).over(w)).withColumn("start", F.col("end_all") - F.length("_raw"))
-    before = F.lag("_raw").over(w)
-    rows = rows.withColumn("_open", F.coalesce(before.rlike(r"[\r\n]\z"), F.lit(True))).where("_open")
-    line = F.regexp_replace("_raw", r"[\r\n]+\z", "")
-    return rows.select(*keep, "line_no", line.alias("line"), "start", (F.col("start") + F.length(line)).alias("end"))
+    """line_no, line, start and end in characters; a trailing line break is followed by an empty line. No shuffle: rows are independent."""
+    ship(df.sparkSession)
+    n, names = len(keep), [*keep, "line_no", "line", "start", "end"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, number, line, start, end = [], [], [], [], []
+            for k, t in enumerate(batch.column(n).to_pylist()):
+                t = t or ""
+                at = 0
+                ends = [(m.start(), m.end()) for m in BREAK.finditer(t)] + [(len(t), len(t))]
+                for i, (stop, after) in enumerate(ends):
+                    owner.append(k)
+                    number.append(i)
+                    line.append(t[at:stop])
+                    start.append(at)
+                    end.append(stop)
+                    at = after
+            at = pa.array(owner, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[:n]), pa.array(number, pa.int32()), pa.array(line, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=names)
+
+    source = df.select(*keep, df[text].alias("_text"))
+    fields = [T.StructField("line_no", T.IntegerType()), T.StructField("line", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]
+    return source.mapInArrow(run, T.StructType([*source.select(*keep).schema.fields, *fields]))
+
+
+def line_tokens(df: DataFrame, config: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Each line with the first and the last token that lie in it, wholly or in part (null: none), found in one walk over both."""
+    ship(df.sparkSession)
+    held = df.sparkSession.sparkContext.broadcast(config)
+    n, names = len(keep), [*keep, "line_no", "start", "end", "first_token", "last_token"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = compiled(held.value)
+        for batch in batches:
+            rows = []
+            for k, t in enumerate(batch.column(n).to_pylist()):
+                t = t or ""
+                places = tokenizer.encode(t, add_special=False, unit="char").offsets
+                begin, low = 0, 0
+                for i, m in enumerate([*BREAK.finditer(t), None]):
+                    stop, after = (m.start(), m.end()) if m else (len(t), len(t))
+                    while low < len(places) and places[low][1] <= begin:
+                        low += 1
+                    high = low
+                    while high < len(places) and places[high][0] < stop:
+                        high += 1
+                    rows.append((k, i, begin, stop, low if high > low else None, high - 1 if high > low else None))
+                    begin, low = after, max(low, high - 1)
+            owner, *rest = zip(*rows) if rows else [()] * 6
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(owner, pa.int64())) for c in batch.columns[:n]), *(pa.array(c, pa.int32()) for c in rest)], names=names)
+
+    source = df.select(*keep, df[text].alias("_text"))
+    return source.mapInArrow(run, T.StructType([*source.select(*keep).schema.fields, *(T.StructField(c, T.IntegerType()) for c in names[n:])]))
