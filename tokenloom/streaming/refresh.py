@@ -57,15 +57,17 @@ def refreshed(files: DataFrame, changes: DataFrame, root: str, config: str, fold
     spark.dataSource.register(FolderSource)
     removals = changes.where("is_removal").select("rel_path")
     asked = changes.where("not is_removal and is_directory").select("rel_path")
-    everything = spark.read.format("folder").option("folders", ",".join(folders)).load(root)
+    # The changes of one batch are few: their paths are what the listing is told. Only changed folders are listed, none twice.
+    paths = sorted(r["rel_path"] for r in asked.distinct().collect())
+    tops = [p for k, p in enumerate(paths) if not any(p.lower().startswith(q.lower() + "/") for q in paths if q != p)]
+    source = spark.read.format("folder").option("folders", ",".join(folders)).option("below", "\n".join(tops))
+    inside = source.load(root)
     key = F.lower("rel_path")
     steps = F.transform(F.sequence(F.lit(1), F.size(segments(F.col("rel_path")))), lambda k: F.lower(F.array_join(F.slice(segments(F.col("rel_path")), 1, k), "/")))
-    inside = everything.withColumn("_r", F.explode(steps)).join(asked.select(key.alias("_r")).distinct(), "_r", "left_semi")
-    found = inside.select("_r").distinct()
+    found = inside.select(F.explode(steps).alias("_r")).join(asked.select(key.alias("_r")).distinct(), "_r", "left_semi").distinct()
     rescans = asked.withColumn("_r", key).join(found, "_r", "left_semi").select("rel_path")
-    listed = count_files(inside.drop("_r").distinct(), config, **options)
+    listed = count_files(inside, config, **options)
     single = changes.where("not is_removal and not is_directory").select("rel_path")
     path = F.concat(F.lit(root.removeprefix("file://").rstrip("/") + "/"), F.col("rel_path"))
-    known = single.join(everything.select(F.col("rel_path"), "length"), "rel_path", "left")
-    counted = count_files(known.select("rel_path", path.alias("full_path"), F.coalesce("length", F.lit(0)).alias("length")), config, **options)
+    counted = count_files(single.select("rel_path", path.alias("full_path"), F.lit(None).cast("long").alias("length")), config, **options)
     return apply_changes(files, removals, rescans, listed, counted)
