@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tokenloom.functions import columns as c
 from tokenloom.operators import encode as e
 from tokenloom.plans import tree
-from tokenloom.streaming import refresh
+from tokenloom.sources import files
+from tokenloom.streaming import decode, refresh
 
 FLAGSHIP = "count_tokens_by_document"
 QUERIES: dict = {}
@@ -156,9 +157,9 @@ def byte_glyphs(spark, sf_dir):
     return g.select("doc_id", F.length("g").alias("n_glyphs"), F.md5(c.from_glyphs(F.col("g"))).alias("back"))
 
 
-@query(r"SELECT doc_id, CAST(len(p) AS INTEGER) AS n_pieces, CAST(list_sum(list_transform(p, lambda x: strlen(x))) AS BIGINT) AS n_bytes, CAST(list_sum(list_transform(p, lambda x: length(x))) AS BIGINT) AS n_chars FROM (SELECT doc_id, regexp_extract_all(text, '\p{N}+|\P{N}+') AS p FROM documents WHERE text <> '')")
+@query(r"SELECT doc_id, CAST(len(p) AS INTEGER) AS n_pieces, CAST(coalesce(list_sum(list_transform(p, lambda x: strlen(x))), 0) AS BIGINT) AS n_bytes, CAST(coalesce(list_sum(list_transform(p, lambda x: length(x))), 0) AS BIGINT) AS n_chars FROM (SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN [] ELSE regexp_extract_all(text, '\p{N}+|\P{N}+') END AS p FROM documents)")
 def piece_offsets(spark, sf_dir):
-    rows = load(spark, sf_dir).where("text <> ''").select("doc_id", c.digits(F.col("text")).alias("p"))
+    rows = load(spark, sf_dir).select("doc_id", c.digits(text()).alias("p"))
     rows = rows.select("doc_id", "p", F.aggregate("p", F.lit(0), lambda a, x: a + F.octet_length(x)).alias("end"))
     return rows.select("doc_id", F.size("p").alias("n_pieces"), F.col("end").cast("long").alias("n_bytes"), F.aggregate("p", F.lit(0), lambda a, x: a + F.length(x)).cast("long").alias("n_chars"))
 
@@ -253,16 +254,154 @@ def byte_level_round_trip(spark, sf_dir):
 
 @query()
 def byte_level_spans(spark, sf_dir):
-    return e.spans(load(spark, sf_dir, "benchmark"), byte_level(), keep=("item_id",))
+    """Spans of all tokens; tested against the kernels on small texts, for SQL has no such merges."""
+    return e.spans(load(spark, sf_dir), byte_level())
 
 
-@query(f"SELECT item_id, CAST(len(p) AS INTEGER) AS n_words FROM (SELECT item_id, {SPLIT_WS} AS p FROM benchmark)")
+@query(f"SELECT doc_id, CAST(len(p) AS INTEGER) AS n_words FROM (SELECT doc_id, {SPLIT_WS} AS p FROM documents)")
 def words_of_encodings(spark, sf_dir):
-    found = e.encode(load(spark, sf_dir, "benchmark"), word_level(), keep=("item_id",), want=("words",))
-    return found.select("item_id", F.size("words").alias("n_words"))
+    found = e.encode(load(spark, sf_dir), word_level(), want=("words",))
+    return found.select("doc_id", F.size("words").alias("n_words"))
 
 
-@query(r"SELECT item_id, CAST(len(string_split(coalesce(text, ''), chr(10))) AS INTEGER) AS n_lines, CAST(length(coalesce(text, '')) AS INTEGER) AS n_chars FROM benchmark")
+@query(r"SELECT doc_id, CAST(k - 1 AS INTEGER) AS line_no, md5(l[k]) AS line, CAST(coalesce(list_sum(list_transform(list_slice(l, 1, k - 1), lambda x: length(x) + 1)), 0) AS INTEGER) AS start FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS k FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))")
 def text_lines(spark, sf_dir):
-    rows = e.lines(load(spark, sf_dir, "benchmark"), keep=("item_id",))
-    return rows.groupBy("item_id").agg(F.count(F.lit(1)).cast("int").alias("n_lines"), F.max("end").cast("int").alias("n_chars"))
+    return e.lines(load(spark, sf_dir)).select("doc_id", "line_no", F.md5("line").alias("line"), "start")
+
+
+def merging() -> str:
+    """Byte-level BPE with two merges, o n and then on e."""
+    config = json.loads(byte_level())
+    from tokenloom.functions.unicode import GLYPHS
+
+    config["model"] |= {"vocab": {g: i for i, g in enumerate([*GLYPHS, "on", "one"])}, "merges": ["o n", "on e"]}
+    return json.dumps(config)
+
+
+@query(r"SELECT doc_id, CAST(strlen(t) - len(string_split(t, 'on')) - len(string_split(t, 'one')) + 2 AS INTEGER) AS n_tokens FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
+def bpe_counts(spark, sf_dir):
+    """Byte-level BPE tokens, counted without laying out ids."""
+    return e.count_tokens(load(spark, sf_dir), merging())
+
+
+@query(r"SELECT doc_id, CAST(len(string_split(t, 'on')) - len(string_split(t, 'one')) AS INTEGER) AS n_on, CAST(len(string_split(t, 'one')) - 1 AS INTEGER) AS n_one, CAST(strlen(t) - 2 * (len(string_split(t, 'on')) - 1) - (len(string_split(t, 'one')) - 1) AS INTEGER) AS n_bytes FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
+def bpe_ids(spark, sf_dir):
+    ids = e.encode(load(spark, sf_dir), merging(), unit="none", want=("ids",)).select("doc_id", "ids")
+    return ids.select("doc_id", *[F.size(F.filter("ids", test)).alias(n) for n, test in (("n_on", lambda x: x == 256), ("n_one", lambda x: x == 257), ("n_bytes", lambda x: x < 256))])
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: Texts of lower-case letters and single spaces, on which models with a vocabulary of letters can be told by SQL.
+PLAIN_SQL = r"trim(regexp_replace(coalesce(text, ''), '[^a-z]+', ' ', 'g'))"
+
+
+def plain(spark, sf_dir) -> DataFrame:
+    return load(spark, sf_dir).select("doc_id", F.trim(F.regexp_replace(text(), "[^a-z]+", " ")).alias("text"))
+
+
+def word_piece() -> str:
+    vocab = {t: i for i, t in enumerate(["[UNK]", "[CLS]", "[SEP]", *LETTERS, *("##" + x for x in LETTERS), "th", "##th"])}
+    model = {"type": "WordPiece", "unk_token": "[UNK]", "continuing_subword_prefix": "##", "max_input_chars_per_word": 100, "vocab": vocab}
+    return json.dumps({"normalizer": {"type": "BertNormalizer"}, "pre_tokenizer": {"type": "BertPreTokenizer"}, "model": model, "decoder": {"type": "WordPiece", "prefix": "##", "cleanup": False}})
+
+
+@query(f"SELECT doc_id, CAST(length(replace(t, ' ', '')) - len(string_split(t, 'th')) + 1 AS INTEGER) AS n_tokens FROM (SELECT doc_id, {PLAIN_SQL} AS t FROM documents)")
+def word_piece_counts(spark, sf_dir):
+    """Greedy longest match: a letter each, but th is one; no word of the tables has over 100 letters."""
+    return e.count_tokens(plain(spark, sf_dir), word_piece())
+
+
+def unigram() -> str:
+    vocab = [["<unk>", 0.0], *([x, -1.0] for x in "▁" + LETTERS), ["th", -1.5], ["he", -1.9]]
+    space = {"type": "Metaspace", "replacement": "▁", "prepend_scheme": "always", "split": True}
+    return json.dumps({"pre_tokenizer": space, "decoder": space, "model": {"type": "Unigram", "unk_id": 0, "vocab": vocab}})
+
+
+@query(f"SELECT doc_id, CAST(length(t) + (t <> '')::int - len(string_split(t, 'th')) + 1 - (len(string_split(replace(t, 'th', '#'), 'he')) - 1) AS INTEGER) AS n_tokens FROM (SELECT doc_id, {PLAIN_SQL} AS t FROM documents)")
+def unigram_counts(spark, sf_dir):
+    """The most probable pieces: th before he where they share the h."""
+    return e.count_tokens(plain(spark, sf_dir), unigram())
+
+
+def suffixed() -> str:
+    vocab = {t: i for i, t in enumerate([*LETTERS, *(x + "</w>" for x in LETTERS), "th", "the</w>"])}
+    model = {"type": "BPE", "vocab": vocab, "merges": ["t h", "th e</w>"], "end_of_word_suffix": "</w>"}
+    return json.dumps({"pre_tokenizer": {"type": "WhitespaceSplit"}, "model": model, "decoder": {"type": "BPEDecoder", "suffix": "</w>"}})
+
+
+def falling_back() -> str:
+    vocab = {f"<0x{b:02X}>": b for b in range(256)} | {x: 256 + k for k, x in enumerate(LETTERS)}
+    model = {"type": "BPE", "vocab": vocab, "merges": [], "byte_fallback": True}
+    return json.dumps({"model": model, "decoder": {"type": "Sequence", "decoders": [{"type": "ByteFallback"}, {"type": "Fuse"}]}})
+
+
+def round_trip(name: str, config, source, sql: str) -> None:
+    def run(spark, sf_dir):
+        held = config()
+        coded = e.encode(source(spark, sf_dir), held, unit="none", want=("ids",)).select("doc_id", "ids")
+        return e.decode(coded, held).select("doc_id", F.md5("decoded").alias("decoded_md5"))
+
+    run.__name__ = name
+    query(f"SELECT doc_id, md5({sql}) AS decoded_md5 FROM documents")(run)
+
+
+round_trip("word_piece_round_trip", word_piece, plain, PLAIN_SQL)
+round_trip("unigram_round_trip", unigram, plain, PLAIN_SQL)
+round_trip("suffix_round_trip", suffixed, plain, PLAIN_SQL)
+round_trip("byte_fallback_round_trip", falling_back, load, "coalesce(text, '')")
+
+
+def processed_pairs(name: str, post: dict, sql: str, second: str) -> None:
+    """Pairs of turns under a post-processor: all ids and all type ids in turn."""
+
+    def run(spark, sf_dir):
+        rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+        after = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
+        found = e.encode(rows.join(after, ["conv_id", "turn"]), word_level(post_processor=post), keep=("conv_id", "turn"), pair="reply", unit="none", want=("ids", "type_ids"))
+        return found.select("conv_id", "turn", F.array_join("ids", ",").alias("ids"), F.array_join("type_ids", "").alias("type_ids"))
+
+    run.__name__ = name
+    words = r"list_transform(regexp_extract_all(coalesce({0}, ''), '[^\x09-\x0D \x85\x{{A0}}]+'), lambda w: coalesce(list_position([{1}], w), 0))"
+    known = ", ".join(f"'{w}'" for w in WORDS)
+    a, b = words.format("a.text", known), words.format("b.text", known)
+    query(
+        f"SELECT conv_id, turn, array_to_string({sql}, ',') AS ids, {second} AS type_ids FROM "
+        f"(SELECT a.conv_id, a.turn, {a} AS x, {b} AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
+    )(run)
+
+
+processed_pairs(
+    "bert_pairs", {"type": "BertProcessing", "sep": ["[SEP]", 102], "cls": ["[CLS]", 101]},
+    "list_concat([101], list_concat(list_concat(x, [102]), list_concat(y, [102])))", "repeat('0', len(x) + 2) || repeat('1', len(y) + 1)",
+)
+processed_pairs(
+    "roberta_pairs", {"type": "RobertaProcessing", "sep": ["</s>", 2000], "cls": ["<s>", 1000], "trim_offsets": True, "add_prefix_space": False},
+    "list_concat([1000], list_concat(list_concat(x, [2000, 2000]), list_concat(y, [2000])))", "repeat('0', len(x) + len(y) + 4)",
+)
+
+
+@query(r"SELECT doc_id, md5(coalesce(string_agg((e - strlen(x))::varchar || '-' || e::varchar, ',' ORDER BY k), '')) AS spans FROM (SELECT doc_id, k, x, sum(strlen(x)) OVER (PARTITION BY doc_id ORDER BY k) AS e FROM (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) AS k FROM (SELECT doc_id, regexp_extract_all(text, '\p{N}+|\P{N}+') AS p FROM documents WHERE text <> ''))) GROUP BY doc_id UNION ALL SELECT doc_id, md5('') FROM documents WHERE coalesce(text, '') = ''")
+def running_offsets(spark, sf_dir):
+    """Byte offsets of all pieces."""
+    spans = F.transform(c.running_bytes(c.digits(text())), lambda s: F.concat_ws("-", s["start"], s["end"]))
+    return load(spark, sf_dir).select("doc_id", F.md5(F.array_join(spans, ",")).alias("spans"))
+
+
+@query(r"SELECT conv_id, turn, md5(coalesce(text, '')) AS decoded_md5 FROM conversations WHERE text <> ''")
+def streamed_decoding(spark, sf_dir):
+    """Ids of each turn one by one: what the stream decoder gives out makes up the text."""
+    config = byte_level()
+    ids = e.encode(load(spark, sf_dir, "conversations"), config, keep=("conv_id", "turn"), unit="none", want=("ids",))
+    rows = ids.select(F.xxhash64("conv_id", "turn").alias("stream_id"), "conv_id", "turn", F.posexplode("ids").alias("seq", "id"))
+    given = decode.decode_steps(rows, config, skip_special=False).groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("t"))
+    names = rows.select("stream_id", "conv_id", "turn").distinct()
+    return names.join(given, "stream_id").select("conv_id", "turn", F.md5(F.array_join(F.transform("t", lambda x: x["text"]), "")).alias("decoded_md5"))
+
+
+@query(r"SELECT item_id % 3 || '/' || item_id || '.txt' AS rel_path, 'Counted' AS status, CAST(strlen(coalesce(text, '')) AS BIGINT) AS length, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x09-\x0D \x85\x{A0}]+')) AS BIGINT) AS token_count FROM benchmark")
+def folder_scan(spark, sf_dir):
+    """The benchmark's items as files of a folder that all executors see, listed and counted."""
+    root = files.shared_folder(spark, "scanned")
+    rows = load(spark, sf_dir, "benchmark").select(F.concat_ws("/", F.col("item_id") % 3, F.concat(F.col("item_id"), F.lit(".txt"))).alias("rel_path"), F.coalesce("text", F.lit("")).alias("text"))
+    files.write_files(rows, root)
+    return files.scan(spark, root, word_level())
