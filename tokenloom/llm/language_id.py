@@ -5,8 +5,8 @@ first turned twice and the second once; a document is the sum (bundle) of its tr
 of its documents' bundles at unit length. A document is given the language whose prototype has the largest cosine with
 it. Letters outside the table share CLASSES classes by a hash of their code point.
 
-Prototypes are fitted on a bounded sample, the `sample` rows with the smallest hashes of their texts among those that
-may be learned from; every row is predicted on its whole text. Texts that are null or without letters are `und` with
+Prototypes are fitted on a bounded sample, the `sample` distinct texts with the smallest hashes among those that may be
+learned from, each once for each language that it is said to have; every row is predicted on its whole text. Texts that are null or without letters are `und` with
 score 0. Ties go to the language that sorts first. Without any row to learn from, all rows are `und`. Repeated rows
 are predicted alike. Identifiers, languages and sources are never inputs of a prediction.
 """
@@ -27,7 +27,7 @@ from tokenloom.llm.common import bucket_of, trimmed, with_field
 from tokenloom.llm.shingles import mix
 
 DIMS = 512
-CLASSES = 128
+CLASSES = 1024
 SAMPLE = 8_000
 #: Scores are a softmax of cosines at this sharpness.
 SHARPNESS = 25.0
@@ -43,12 +43,12 @@ def letter_vectors() -> np.ndarray:
 
 def letter_classes() -> np.ndarray:
     """The class of every code point: of letters a number above 0."""
-    out = np.zeros(0x110000, np.uint8)
+    out = np.zeros(0x110000, np.int16)
     points = np.arange(0x110000, dtype=np.uint32)
     text = points.copy()
     text[0xD800:0xE000] = 32
     letters = np.fromiter(map(str.isalpha, text.tobytes().decode("utf-32-le")), bool, 0x110000)
-    hashed = 27 + (mix(points.astype(_U)) % _U(CLASSES - 27)).astype(np.uint8)
+    hashed = 27 + (mix(points.astype(_U)) % _U(CLASSES - 27)).astype(np.int16)
     out[letters] = hashed[letters]
     out[97:123] = np.arange(1, 27)
     return out
@@ -112,8 +112,9 @@ def bundled(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch
 def learn(df: DataFrame, lang: str = "lang", text: str = "text", sample: int = SAMPLE) -> dict[str, np.ndarray]:
     """A prototype at unit length for each language, from at most `sample` rows. df: only rows that may be learned from."""
     usable = df.select(F.col(lang).alias("_lang"), F.col(text).alias("_text")).where("_lang is not null and _text is not null")
-    # The sample is chosen by hashes alone, so that no text is sorted; equal hashes at its end come along, as one text.
-    last = usable.select(F.xxhash64("_text").alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    # The sample is chosen by distinct hashes alone: no text is sorted, and copies take no one's place.
+    usable = usable.withColumn("_h", F.xxhash64("_text"))
+    last = usable.select("_h").distinct().orderBy("_h").limit(sample).agg(F.max("_h")).first()[0]
     if last is None:
         return {}
 
@@ -127,8 +128,8 @@ def learn(df: DataFrame, lang: str = "lang", text: str = "text", sample: int = S
         for name, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([total.tolist()], pa.list_(pa.int64()))], names=["lang", "total"])
 
-    rows = usable.where(F.xxhash64("_text") <= last)
-    parts = rows.mapInArrow(trimmed(run), "lang string, total array<bigint>")
+    rows = usable.where(F.col("_h") <= last).dropDuplicates(["_lang", "_h"])
+    parts = rows.select("_lang", "_text").mapInArrow(trimmed(run), "lang string, total array<bigint>")
     summed = parts.select("lang", F.posexplode("total")).groupBy("lang", "pos").agg(F.sum("col").alias("n")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("pos", "n"))).alias("v"))
     found = {r["lang"]: np.array([x["n"] for x in r["v"]], np.float64) for r in summed.collect()}
     return {k: (v / max(np.linalg.norm(v), 1e-9)).astype(np.float32) for k, v in sorted(found.items())}
