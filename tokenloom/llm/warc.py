@@ -8,28 +8,30 @@ response's, and of its headers those that a 304 may carry replace the stored one
 Outcomes: `full` (not a revisit), `resolved`, `mismatch` (validators disagree), `unvalidated` (the revisit has no
 validator that the response has too; it is not resolved) and `orphan` (no earlier response). Captures of one moment are
 ordered by their identifier; of rows equal in both any may come first. Null addresses match nothing; null
-times come first. Repeated rows are resolved alike. An empty table gives no rows. Clashing columns beside those named
+times come first, and null identifiers before others of their moment. Repeated rows are resolved alike. An empty table gives no rows. Clashing columns beside those named
 are not read.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import HOT_KEYS
+from tokenloom.llm.common import HOT_KEYS, salted_join
 from tokenloom.session import ship
 
 #: Header fields that a 304 response may carry and a cache takes over.
 PERMITTED = "cache-control content-location date etag expires last-modified vary".split()
 #: Query parameters that track visitors and don't name a page.
 TRACKING = r"(?:utm_[a-z_]+|gclid|fbclid|ref|sessionid|phpsessid)"
-PIECES = 64
+#: Pieces of a hot address, and rows of it that the borders of pieces are taken from.
+PIECES, PROBES = 64, 4096
 RECORD = "record_id long, url string, ts long, kind string, status int, headers map<string,string>, payload_digest string"
+#: Between two records of a file; the reader cuts files there.
+BETWEEN = "\r\n\r\nWARC/"
 
 
 def canonical_url(url: str) -> Column:
@@ -67,18 +69,21 @@ def latest_before(rows: DataFrame) -> DataFrame:
     """
     counts = rows.where(F.col("canonical").isNotNull()).groupBy("canonical").count()
     total = rows.count()
-    hot = [r["canonical"] for r in counts.where(F.col("count") >= max(256, total // HOT_KEYS)).select("canonical").collect()]
+    hot = counts.where(F.col("count") >= max(256, total // HOT_KEYS)).collect()
     spark = rows.sparkSession
+    rows = rows.withColumn("order", F.struct("ts", "record_id"))
     if hot:
-        names = F.broadcast(spark.createDataFrame([(h,) for h in hot], "canonical string"))
-        some = rows.join(names, "canonical", "left_semi")
-        cuts = some.groupBy("canonical").agg(F.percentile_approx("ts", [k / PIECES for k in range(1, PIECES)], 10_000).alias("cuts"))
+        # About PROBES of each hot address, chosen by the hash of their order, say where it is cut: by time and identifier,
+        # so that captures of one moment are parted too.
+        names = F.broadcast(spark.createDataFrame([(r["canonical"], max(1, r["count"] // PROBES)) for r in hot], "canonical string, every long"))
+        probes = rows.join(names, "canonical").where(F.pmod(F.xxhash64("order"), F.col("every")) == 0)
+        cuts = probes.groupBy("canonical").agg(F.array_sort(F.collect_set("order")).alias("p"))
+        cuts = cuts.select("canonical", F.transform(F.sequence(F.lit(1), F.lit(PIECES - 1)), lambda k: F.col("p")[(k * F.size("p") / PIECES).cast("int")]).alias("cuts"))
         rows = rows.join(F.broadcast(cuts), "canonical", "left")  # one row for each hot address
-        rows = rows.withColumn("piece", F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("ts"))), F.lit(0))).drop("cuts")
+        rows = rows.withColumn("piece", F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("order"))), F.lit(0))).drop("cuts")
     else:
         rows = rows.withColumn("piece", F.lit(0))
-    rows = rows.withColumn("order", F.struct("ts", "record_id"))
-    within = Window.partitionBy("canonical", "piece", F.when(F.col("canonical").isNull(), F.col("record_id"))).orderBy("order")
+    within = Window.partitionBy("canonical", "piece", F.when(F.col("canonical").isNull(), F.xxhash64("record_id", "ts"))).orderBy("order")
     steps = rows.withColumn("here", F.last("response", True).over(within.rowsBetween(Window.unboundedPreceding, -1)))
     if not hot:
         return steps.withColumnRenamed("here", "found")
@@ -89,10 +94,14 @@ def latest_before(rows: DataFrame) -> DataFrame:
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
-    """Records (see RECORD) with canonical_url, outcome, refers_to, and the status, headers and payload digest that hold."""
-    rows = records.select("record_id", "url", F.coalesce("ts", F.lit(-(1 << 62))).alias("ts"), "kind", "status", lower_keys(F.col("headers")).alias("headers"), "payload_digest", canonical_url("url").alias("canonical"))
+    """Records (see RECORD) with canonical_url, outcome, refers_to, and the status, headers, payload digest and size that hold.
+
+    payload_bytes, the size of a record's payload, may be among the columns; without it sizes are null.
+    """
+    size = F.col("payload_bytes") if "payload_bytes" in records.columns else F.lit(None)
+    rows = records.select("record_id", "url", F.coalesce("ts", F.lit(-(1 << 62))).alias("ts"), "kind", "status", lower_keys(F.col("headers")).alias("headers"), "payload_digest", size.cast("long").alias("payload_bytes"), canonical_url("url").alias("canonical"))
     full = (F.col("kind") == "response") & (F.col("status") == 200)
-    rows = rows.withColumn("response", F.when(full, F.struct("record_id", "headers", "payload_digest", "ts")))
+    rows = rows.withColumn("response", F.when(full, F.struct("record_id", "headers", "payload_digest", "ts", "payload_bytes")))
     found = latest_before(rows)
     f = F.col("found")
     is_revisit = F.col("kind") == "revisit"
@@ -108,84 +117,135 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
         F.when(done, F.lit(200)).otherwise(F.col("status")).alias("status"),
         F.when(done, merged).otherwise(F.col("headers")).alias("headers"),
         F.when(done, f["payload_digest"]).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        F.when(done, f["payload_bytes"]).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
     )
 
 
-def captures(pages: DataFrame) -> DataFrame:
-    """Two crawls over all pages: at the first a server sends each page, at the second it answers that nothing changed.
+def with_payload(resolved: DataFrame, records: DataFrame) -> DataFrame:
+    """resolved with the payload that holds: the record's own, or of a resolved revisit that of the response it refers to.
 
-    The first crawl missed every eleventh page; on every seventh the second answer names another entity tag, and on
-    every thirteenth it names none. The second crawl met the pages under other spellings of their addresses.
+    records: record_id and payload, identifiers unique. One response may stand behind many revisits: hot ones are split.
+    """
+    wanted = resolved.withColumn("_of", F.coalesce("refers_to", "record_id"))
+    found = salted_join(wanted, records.select(F.col("record_id").alias("_of"), "payload"), ["_of"], "left", seed="record_id")
+    return found.drop("_of")
+
+
+def records(pages: DataFrame) -> DataFrame:
+    """WARC records (one text each, column value) of two crawls over all pages.
+
+    At the first a server sends each page, at the second it answers that nothing changed. On every seventh page the
+    second answer names another entity tag, on every thirteenth it names none, and for every eleventh there is one
+    revisit more, of an address that was never crawled. The second crawl met the pages under other spellings of their
+    addresses. A record's number is four times its page's, and 0, 1 or 2 more. Null pages are empty.
     """
     digest = F.sha2(F.coalesce("html", F.lit("")), 256)
-    rows = pages.select("page_id", "url", digest.alias("digest"), F.explode(F.array(F.lit(0), F.lit(1))).alias("crawl"))
-    n, again = F.coalesce("page_id", F.lit(0)), F.col("crawl") == 1
-    rows = rows.where(again | (n % 11 != 10))
+    n = F.coalesce("page_id", F.lit(0))
+    kinds = F.when(n % 11 == 10, F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1)))
+    rows = pages.select("page_id", n.alias("n"), F.regexp_replace("url", r"\s+", "").alias("url"), "html", digest.alias("digest"), F.explode(kinds).alias("crawl"))
+    again, n = F.col("crawl") > 0, F.col("n")
     tag = F.concat(F.when(again, "W/").otherwise(""), F.lit('"'), F.substring("digest", 1, 16), F.when(again & (n % 7 == 3), "x").otherwise(""), F.lit('"'))
-    first = F.create_map(F.lit("ETag"), tag, F.lit("Content-Type"), F.lit("text/html"), F.lit("Expires"), F.lit("0"), F.lit("Date"), F.col("page_id").cast("string"))
-    second = F.create_map(F.lit("Date"), F.concat(F.lit("later "), F.col("page_id").cast("string")), F.lit("Content-Length"), F.lit("0"))
-    second = F.when(n % 13 == 5, second).otherwise(F.map_concat(second, F.create_map(F.lit("etag"), tag)))
-    return rows.select(
-        (F.col("page_id") * 2 + F.col("crawl")).alias("record_id"),
-        F.when(again, F.concat(F.regexp_replace("url", "#.*$", ""), F.when(F.col("url").contains("?"), "&").otherwise("?"), F.lit("utm_source=again#top"))).otherwise(F.col("url")).alias("url"),
-        (F.col("crawl").cast("long") * F.lit(1 << 40) + F.col("page_id")).alias("ts"),
-        F.when(again, "revisit").otherwise("response").alias("kind"),
-        F.when(again, 304).otherwise(200).alias("status"),
-        F.when(again, second).otherwise(first).alias("headers"),
-        F.when(~again, F.col("digest")).alias("payload_digest"),
+    first = F.concat_ws("\r\n", F.lit("HTTP/1.1 200 OK"), F.concat(F.lit("ETag: "), tag), F.lit("Content-Type: text/html"), F.lit("Expires: 0"), F.concat(F.lit("Date: "), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))
+    second = F.concat_ws("\r\n", F.lit("HTTP/1.1 304 Not Modified"), F.concat(F.lit("Date: later "), F.coalesce(F.col("page_id").cast("string"), F.lit(""))), F.lit("Content-Length: 0"), F.when(n % 13 != 5, F.concat(F.lit("etag: "), tag)))
+    block = F.concat(F.when(again, second).otherwise(first), F.lit("\r\n\r\n"), F.when(again, "").otherwise(F.coalesce("html", F.lit(""))))
+    spelled = F.concat(F.regexp_replace("url", "#.*$", ""), F.when(F.col("url").contains("?"), "&").otherwise("?"), F.lit("utm_source=again#top"))
+    url = F.when(F.col("crawl") == 0, F.col("url")).when(F.col("crawl") == 1, spelled).otherwise(F.concat(F.regexp_replace("url", r"[?#].*$", ""), F.lit("/never-crawled")))
+    date = F.date_format(F.timestamp_seconds(F.when(again, 1706745600).otherwise(1704067200) + F.pmod(n, F.lit(86400))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    head = F.concat_ws(
+        "\r\n", F.lit("WARC/1.1"), F.when(again, "WARC-Type: revisit").otherwise("WARC-Type: response"),
+        F.concat(F.lit("WARC-Record-ID: <urn:record:"), (F.col("page_id") * 4 + F.col("crawl")).cast("string"), F.lit(">")),
+        F.concat(F.lit("WARC-Target-URI: "), url), F.concat(F.lit("WARC-Date: "), date),
+        F.when(~again, F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest"))),
+        F.lit("Content-Type: application/http"), F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     )
+    return rows.select(F.concat(head, F.lit("\r\n\r\n"), block).alias("value"))
+
 
+def write_warc(rows: DataFrame, path: str) -> None:
+    """Records (value) as compressed WARC files."""
+    rows.select("value").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
-def split_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (names in lower case) and block of each record of a WARC file, plain or of gzip members; a cut-off end is left."""
-    while data[:2] == b"\x1f\x8b":
-        parts = []
-        while data[:2] == b"\x1f\x8b":
-            one = zlib.decompressobj(31)
-            try:
-                parts.append(one.decompress(data) + one.flush())
-            except zlib.error:
-                break
-            if not one.eof:
-                break
-            data = one.unused_data
-        data = b"".join(parts)
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        fields = {}
-        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
-            name, _, value = line.partition(":")
-            fields[name.strip().lower()] = value.strip()
-        size = int(fields.get("content-length", "0") or 0)
-        if end + 4 + size > len(data):
-            return
-        yield fields, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+
+def parsed(text: bytes) -> tuple[dict[str, str], bytes] | None:
+    """Header fields (names in lower case) and what follows them."""
+    head, found, block = text.partition(b"\r\n\r\n")
+    if not found:
+        return None
+    fields = {}
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        name, _, value = line.partition(":")
+        fields[name.strip().lower()] = value.strip()
+    return fields, block
+
+
+def whole_records(rows: Iterator[tuple[str, bytes, bool]]) -> Iterator[tuple[str, dict[str, str], bytes]]:
+    """File, header fields and block of each record, from what lies between separators (file, bytes, whether the split ends its file).
+
+    A payload may hold the separator: pieces are put together until a record has the length it names. What a file
+    cut off at its end leaves of a record is left out; a record cut off by a split is an error.
+    """
+    open_file, held, fields, last = None, b"", None, True
+
+    def left() -> None:
+        if fields is not None and not last:
+            raise ValueError(f"a split of {open_file} ends within a record whose payload holds records; compress the file, so that it isn't split")
+
+    for file, text, ends in rows:
+        if fields is not None and file == open_file:
+            held += BETWEEN.encode() + text
+        else:
+            left()
+            open_file, fields, last = file, None, ends
+            found = parsed(text)
+            if found is None:
+                continue
+            fields, held = found
+        size = int(fields.get("content-length") or 0)
+        if len(held) >= size:
+            yield file, fields, held[:size]
+            fields, held = None, b""
+    left()
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The response and revisit records of WARC files: file, place, url, date, type, status, headers, payload."""
+    """The response and revisit records of WARC files: file, record, url, date, kind, status, payload_digest, headers, payload.
+
+    Spark's text reader streams and decompresses the files and cuts them between records, so memory holds one batch of
+    records and no file; plain files are split among tasks. Set a bound on Arrow batches in bytes, for records may be long.
+    """
     ship(spark)
+    names = "file record url date kind status payload_digest headers payload".split()
+    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = []
-                for place, (fields, block) in enumerate(split_records(content or b"")):
-                    if fields.get("warc-type") not in ("response", "revisit"):
-                        continue
-                    head, _, payload = block.partition(b"\r\n\r\n")
-                    lines = head.decode("latin-1").split("\r\n")
-                    status = lines[0].split(" ")[1] if lines[0].startswith("HTTP/") and len(lines[0].split(" ")) > 1 else ""
-                    headers = [(n.strip(), v.strip()) for n, _, v in (x.partition(":") for x in lines[1:]) if n]
-                    rows.append((file, place, fields.get("warc-target-uri"), fields.get("warc-date"), fields["warc-type"], int(status) if status.isdigit() else None, fields.get("warc-payload-digest"), list(dict(headers).items()), payload))
-                if rows:
-                    names = "file place url date kind status payload_digest headers payload".split()
-                    kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-
-    schema = "file string, place int, url string, date string, kind string, status int, payload_digest string, headers map<string,string>, payload binary"
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
+        rows, size = [], 0
+        pieces = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+        for file, fields, block in whole_records(pieces):
+            if fields.get("warc-type") not in ("response", "revisit"):
+                continue
+            head, _, payload = block.partition(b"\r\n\r\n")
+            lines = head.decode("latin-1").split("\r\n")
+            first = lines[0].split(" ")
+            status = int(first[1]) if first[0].startswith("HTTP/") and len(first) > 1 and first[1].isdigit() else None
+            headers = {n.strip(): v.strip() for n, _, v in (x.partition(":") for x in lines[1:]) if n}
+            rows.append((file, fields.get("warc-record-id"), fields.get("warc-target-uri"), fields.get("warc-date"), fields["warc-type"], status, fields.get("warc-payload-digest"), list(headers.items()), payload))
+            size += len(block)
+            if size > 4_000_000 or len(rows) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+    schema = "file string, record string, url string, date string, kind string, status int, payload_digest string, headers map<string,string>, payload binary"
+    lines = spark.read.option("lineSep", BETWEEN).text(path)
+    meta = F.col("_metadata")
+    ends = meta["file_block_start"] + meta["file_block_length"] >= meta["file_size"]
+    return lines.select(meta["file_path"].alias("file"), F.col("value").cast("binary").alias("value"), ends.alias("ends")).mapInArrow(run, schema)
+
+
+def captures(found: DataFrame) -> DataFrame:
+    """Records as read_warc gives them in the form that revisits are resolved in; numbers stand at the end of record names."""
+    return found.select(
+        F.regexp_extract("record", r"(\d+)>?$", 1).try_cast("long").alias("record_id"), "url", F.unix_micros(F.to_timestamp("date")).alias("ts"), "kind", "status", "headers",
+        F.regexp_replace("payload_digest", "^sha256:", "").alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"),
+    )
