@@ -31,9 +31,11 @@ def with_field(schema: T.StructType, name: str, kind: T.DataType) -> T.StructTyp
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from the session; one is made only where none is set."""
+    """The folder that driver and executors share, from the session. Where none is set, one is made if all run on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tokenloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext.getCheckpointDir():
@@ -53,6 +55,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes the folder of a stored table that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if folder.startswith(("file://" + shared_dir(spark).removeprefix("file://"), shared_dir(spark))):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 20_000, size: str = "6m") -> None:
     """Sends the package to the executors, and bounds Arrow batches by bytes: texts vary from a word to megabytes."""
     ship(spark)
@@ -116,7 +127,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = stored(salted_join(both.where("v > u"), least, ["u"], seed="v").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "edges")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = salted_join(large, least, ["a"], seed="b").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = stored(small.unionByName(least.withColumnRenamed("m", "b")).distinct(), "edges")
+        before, now = now, stored(small.unionByName(least.withColumnRenamed("m", "b")).distinct(), "edges")
+        forget(before)
+        forget(large)
         if (found := mark(now)) == seen:
             break
         seen = found
