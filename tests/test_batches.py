@@ -43,6 +43,17 @@ def test_batches_agree_with_kernels(config):
     assert table.texts(lists.slice(5, 3)).to_pylist() == [t.decode(x) for x in want[5:8]]
 
 
+def test_counts_are_the_librarys(spark, data):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = catalog.public_tokenizer("byte_bpe_50k.json")
+    if not path:
+        pytest.skip("no public tokenizer here")
+    lib = tokenizers.Tokenizer.from_file(path)
+    found = {r["doc_id"]: r["n_tokens"] for r in catalog.count_bpe_tokens(spark, data).collect()}
+    rows = catalog.load(spark, data).collect()
+    assert found == {r["doc_id"]: len(lib.encode(r["text"] or "", add_special_tokens=False).ids) for r in rows}
+
+
 def test_long_words_are_merged_in_time():
     model = Bpe({"vocab": {"a": 0, "aa": 1, "aaaa": 2, "b": 3}, "merges": ["a a", "aa aa"]})
     began = time.time()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -290,6 +291,28 @@ def bpe_ids(spark, sf_dir):
     return ids.select("doc_id", *[F.size(F.filter("ids", test)).alias(n) for n, test in (("n_on", lambda x: x == 256), ("n_one", lambda x: x == 257), ("n_bytes", lambda x: x < 256))])
 
 
+def public_tokenizer(name: str) -> str | None:
+    """The path of a public tokenizer's file: in the folder TOKENLOOM_TOKENIZERS, else where the installed package has it; None without either."""
+    folder = os.environ.get("TOKENLOOM_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    try:
+        import public_tokenizers
+    except ModuleNotFoundError:
+        return None
+    return public_tokenizers.path(name)
+
+
+def count_bpe_tokens(spark, sf_dir):
+    """Tokens of every document under a byte-level vocabulary of 50,000; tested against the tokenizers library."""
+    with open(public_tokenizer("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return e.count_tokens(load(spark, sf_dir), f.read())
+
+
+if public_tokenizer("byte_bpe_50k.json"):
+    query()(count_bpe_tokens)
+
+
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Texts of lower-case letters and single spaces, on which models with a vocabulary of letters can be told by SQL.
 PLAIN_SQL = r"trim(regexp_replace(coalesce(text, ''), '[^a-z]+', ' ', 'g'))"

@@ -143,15 +143,20 @@ class WordBatches:
 class IdBytes:
     """The bytes that ids stand for, under a byte-level decoder, laid out for whole batches."""
 
-    def __init__(self, tokenizer: Tokenizer, skip_special: bool):
+    def __init__(self, parts: list[bytes]):
+        """parts: by id; the last one stands for unknown ids."""
+        self.sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(parts), np.uint8)
+
+    @staticmethod
+    def of(tokenizer: Tokenizer, skip_special: bool) -> IdBytes:
         names = tokenizer.model_names | tokenizer.added.names
-        parts = [b""] * (max(names, default=-1) + 2)  # the last stands for unknown ids
+        parts = [b""] * (max(names, default=-1) + 2)
         for i, t in names.items():
             if not (skip_special and t in tokenizer.added.special):
                 parts[i] = bytes(map(BYTE_OF.__getitem__, t)) if all(c in BYTE_OF for c in t) else t.encode("utf-8", "replace")
-        self.sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.flat = np.frombuffer(b"".join(parts), np.uint8)
+        return IdBytes(parts)
 
     @staticmethod
     def serves(tokenizer: Tokenizer) -> bool:

@@ -181,7 +181,7 @@ class Tokenizer:
         from tokenloom.functions.batches import IdBytes
 
         if skip_special not in self._bytes:
-            self._bytes[skip_special] = IdBytes(self, skip_special) if IdBytes.serves(self) else None
+            self._bytes[skip_special] = IdBytes.of(self, skip_special) if IdBytes.serves(self) else None
         return self._bytes[skip_special]
 
     # -- vocabulary
