@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tokenloom.llm import exact_dedup, near_dedup, packing, quality_model, quality_rules
-from tokenloom.llm.common import scratch, small_batches, table
+from tokenloom.llm.common import forget, scratch, small_batches, table
 from tokenloom.llm.queries import tokenizer
 
 #: SQL can't express the first stage, a trained network.
@@ -41,10 +41,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 tokens."""
+    """Pieces of documents, with their token ids, in sequences of 2048 tokens."""
     # Smaller batches and fewer remembered words than alone: the workers live on beside those of the other stages.
     small_batches(spark, size="3m")
-    return packing.pack_documents(docs, tokenizer("word_bpe_49k.json"), kept=100_000)
+    return packing.pack_documents(docs, tokenizer("word_bpe_49k.json"), kept=100_000, with_ids=True)
 
 
 STAGES = [
@@ -61,5 +61,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         path = scratch(spark, "pipeline-" + name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
+        if name != STAGES[0][0]:
+            forget(docs)  # what the stage before kept; a lost executor's tasks read files of this stage from here on
         docs = spark.read.parquet(path)
     return docs
