@@ -1,7 +1,9 @@
 """Whole columns against the kernels, streams, truncation as a property, and places of tokens in lines."""
 
 import json
+import os
 import random
+import sys
 import time
 
 import numpy as np
@@ -20,6 +22,8 @@ from tokenloom.functions.tokenizer import AddedToken, Spec, Tokenizer
 from tokenloom.operators import encode as e
 from tokenloom.sources import files as f
 
+sys.path.insert(0, os.path.dirname(__file__))
+
 ODD = [None, "", " ", "a  b", "a\n b", "\nx y", "the one <s> of", "trail ", " lead", "x\x1cy z", "don't one's", "12 3４ é中😀"]
 
 
@@ -162,3 +166,73 @@ def test_deep_and_wide_folders(spark, tmp_path):
         assert {r["rel_path"] for r in rows} == want and len(rows) == len(want)
     below = spark.read.format("folder").option("below", "a/w3\na/w5/deep\na/none").load(str(tmp_path)).collect()
     assert {r["rel_path"] for r in below} == {w for w in want if w.startswith(("a/w3/", "a/w5/"))}
+
+
+def test_components_named_by_where_they_are():
+    config = {"model": {"type": "custom_parts:Vowels", "vowels": "AEIOU"}, "normalizer": {"type": "custom_parts:swap"}, "pre_tokenizer": {"type": "WhitespaceSplit"}, "decoder": {"type": "custom_parts:joined"}}
+    t = Tokenizer(json.dumps(config))
+    assert t.encode("a be Oi", add_special=False).ids == [0, 1, 2]
+    assert t.decode([0, 1, 4]) == "A-E-U"
+    with pytest.raises(ValueError):
+        Tokenizer(json.dumps(config | {"decoder": {"type": "custom_parts:nothing"}}))
+
+
+def test_profile_and_cache_stats():
+    t = Tokenizer(catalog.merging())
+    p = t.profile("one on\n one")
+    assert (p["bytes"], p["tokens"]) == (11, t.count("one on\n one"))
+    assert set(p) == {"bytes", "tokens", "added", "normalize", "words", "model"}
+    fresh = Bpe({"vocab": {"a": 0}, "merges": []})
+    for word in ("a", "a", "aa", "a" * 300):
+        fresh.tokens(word)
+    assert fresh.cache_stats() == {"hits": 1, "misses": 3, "skips": 1, "evictions": 0, "kept": 2}
+
+
+def test_template_strings():
+    from tokenloom.functions.encoding import template_pieces, template_string
+
+    assert template_string(template_pieces("[CLS] $A [SEP] $B:1 [SEP]:1")) == "[CLS] $A [SEP] $B:1 [SEP]:1"
+
+
+def test_children_are_in_utf16_order(spark):
+    from tokenloom.plans import tree
+
+    names = ["b", "a", "\uff5c", "😀", "B", "aa/x"]
+    found = tree.with_order(tree.roll_up(spark.createDataFrame([(n, 1, 1) for n in names], "rel_path string, length long, token_count int")))
+    got = [r["name"] for r in found.where("parent_path = ''").orderBy("child_no").collect()]
+    assert got == ["B", "a", "aa", "b", "😀", "\uff5c"]
+
+
+def test_positions_as_columns(spark):
+    t = Tokenizer(catalog.merging())
+    texts = ["one on the", "", "é one"]
+    rows = e.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), catalog.merging(), unit="char")
+    at = rows.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(10))).alias("p"), "offsets", "words")
+    got = at.select("doc_id", "p", c.token_at(F.col("offsets"), F.col("p")).alias("t"), c.word_at(F.col("offsets"), F.col("words"), F.col("p")).alias("w"), c.tokens_of_word(F.col("words"), F.col("p")).alias("of"), c.chars_of_word(F.col("offsets"), F.col("words"), F.col("p")).alias("chars")).collect()
+    for r in got:
+        enc = t.encode(texts[r["doc_id"]], add_special=False, unit="char")
+        assert (r["t"], r["w"]) == (enc.char_to_token(r["p"]), enc.char_to_word(r["p"]))
+        assert (tuple(r["of"]) if r["of"] else None) == enc.word_to_tokens(r["p"])
+        assert (tuple(r["chars"]) if r["chars"] else None) == enc.word_to_chars(r["p"])
+
+
+def test_change_stream_and_overflow(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from tokenloom.streaming import refresh
+
+    schema = "ts timestamp, seq long, kind string, rel_path string, is_directory boolean, old_path string"
+    t = datetime(2024, 1, 1)
+    rows = [(t, 1, "changed", "a/x", False, None), (t + timedelta(milliseconds=300), 2, "deleted", "a/x", False, None), (t + timedelta(seconds=5), 3, "overflow", None, None, None), (t + timedelta(seconds=60), 4, "created", "z", False, None), (t + timedelta(seconds=120), 5, "created", "y", False, None)]
+    for k, r in enumerate(rows):
+        spark.createDataFrame([r], schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"k={k}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    q = refresh.session_stream(stream).writeStream.format("memory").queryName("changes").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    found = {(r["rel_path"], r["is_removal"], r["seq"]) for r in spark.table("changes").collect()}
+    assert found == {("a/x", True, 2), ("", False, 3), ("z", False, 4)}
+    (tmp_path / "root").mkdir()
+    (tmp_path / "root" / "n.txt").write_text("one two")
+    old = spark.createDataFrame([("gone", 1, 1)], "rel_path string, length long, token_count long")
+    lost = spark.createDataFrame([("", True, False)], "rel_path string, is_directory boolean, is_removal boolean")
+    assert [tuple(r) for r in refresh.refreshed(old, lost, str(tmp_path / "root"), catalog.word_level()).collect()] == [("n.txt", 7, 2)]

@@ -201,3 +201,30 @@ def ctc_decoded(tokens: Column, pad: str = "<pad>", word: str = "|", clean: bool
 def strip_decoded(tokens: Column, c: str, start: int, stop: int) -> Column:
     q = quoted(c)
     return F.transform(tokens, lambda t: F.regexp_replace(F.regexp_replace(t, f"^(?:{q}){{0,{start}}}", ""), f"(?:{q}){{0,{stop}}}$", ""))
+
+
+# -- positions
+
+
+def token_at(offsets: Column, position: Column) -> Column:
+    """The place of the token that holds a position (null: none); offsets: an array of (start, end) in order."""
+    inside = F.filter(F.sequence(F.lit(0), F.size(offsets) - 1), lambda k: (offsets[k]["start"] <= position) & (position < offsets[k]["end"]))
+    return F.when(F.size(offsets) > 0, F.try_element_at(inside, F.lit(1)))
+
+
+def tokens_of_word(words: Column, word: Column) -> Column:
+    """(first, end) of the tokens of a word; null if it has none. words: each token's word."""
+    first = F.array_position(words, word) - 1
+    n = F.size(F.filter(words, lambda w: w == word))
+    return F.when(n > 0, F.struct(first.cast("int").alias("first"), (first + n).cast("int").alias("end")))
+
+
+def word_at(offsets: Column, words: Column, position: Column) -> Column:
+    """The word of the token that holds a position."""
+    return F.get(words, token_at(offsets, position))
+
+
+def chars_of_word(offsets: Column, words: Column, word: Column) -> Column:
+    """(start, end) from a word's first token to its last."""
+    t = tokens_of_word(words, word)
+    return F.when(t.isNotNull(), F.struct(offsets[t["first"]]["start"].alias("start"), offsets[t["end"] - 1]["end"].alias("end")))

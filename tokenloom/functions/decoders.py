@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+from tokenloom.functions.extension import extension
 from tokenloom.functions.unicode import BYTE_OF, pattern
 
 Chain = Callable[[list[str]], list[str]]
@@ -52,6 +53,8 @@ def decoder(config: dict | None) -> Chain | None:
     if config is None:
         return None
     kind = config["type"]
+    if factory := extension(kind):
+        return factory(config)
     if kind == "Sequence":
         steps = [decoder(c) for c in config["decoders"]]
 

@@ -297,6 +297,16 @@ def piece(config) -> tuple[str, str, int]:
     return "special", name, int(kind)
 
 
+def template_string(pieces: list[dict]) -> str:
+    """The string form of a template's JSON: `$A`, `$B:1`, `[SEP]:1`; a type id of 0 is left out."""
+    out = []
+    for p in pieces:
+        (kind, x), = p.items()
+        name = f"${x['id']}" if kind == "Sequence" else x["id"]
+        out.append(name if not x.get("type_id") else f"{name}:{x['type_id']}")
+    return " ".join(out)
+
+
 def template_pieces(template: str) -> list[dict]:
     """The JSON of a template given as a string such as `[CLS] $A [SEP]`."""
     out = []

@@ -7,6 +7,8 @@ import math
 import random
 from heapq import nlargest
 
+from tokenloom.functions.extension import extension
+
 Token = tuple[int, str, int, int]
 KEPT = 100_000
 
@@ -63,6 +65,7 @@ class Bpe:
             if a in self.vocab and b in self.vocab and made in self.vocab:
                 self.rules[self.vocab[a], self.vocab[b]] = (rank, self.vocab[made])
         self.known: dict[str, list[Token]] = {}
+        self.hits = self.misses = self.skips = self.evictions = 0
         self.random = random.Random(0)
 
     def symbols(self, word: str) -> list[list[int]]:
@@ -134,14 +137,24 @@ class Bpe:
             return [(found, word, 0, len(word))]
         if self.dropout:
             return self.merged(word)
-        if (out := self.known.get(word)) is None:
-            out = self.merged(word)
-            if len(word) < 256:
-                if len(self.known) >= KEPT:
-                    self.known.clear()
-                self.known[word] = out
+        if (out := self.known.get(word)) is not None:
+            self.hits += 1
+            return out
+        self.misses += 1
+        out = self.merged(word)
+        if len(word) >= 256:
+            self.skips += 1
+            return out
+        if len(self.known) >= KEPT:
+            self.evictions += len(self.known)
+            self.known.clear()
+        self.known[word] = out
         return out
 
+    def cache_stats(self) -> dict[str, int]:
+        """How often a word was known, new, or too long to be kept, and how many were given up."""
+        return {"hits": self.hits, "misses": self.misses, "skips": self.skips, "evictions": self.evictions, "kept": len(self.known)}
+
 
 class Unigram:
     """The most probable segmentation; unknown characters cost ten less than the rarest piece."""
@@ -277,6 +290,8 @@ def model_type(config: dict) -> str:
 def build_model(config: dict | None):
     if config is None:
         raise ValueError("the configuration has no model")
+    if factory := extension(config.get("type")):
+        return factory(config)
     kind = model_type(config)
     if kind not in MODELS:
         raise ValueError(f"unknown model {kind!r}")

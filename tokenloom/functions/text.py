@@ -6,6 +6,7 @@ import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from tokenloom.functions.extension import extension
 from tokenloom.functions.unicode import GLYPHS, GPT2, PUNCT, SPACES, WORD, WS, pattern, script
 
 Span = tuple[int, int]
@@ -156,6 +157,8 @@ def normalizer(config: dict | None) -> Callable[[Text], Text] | None:
     if config is None:
         return None
     kind = config["type"]
+    if factory := extension(kind):
+        return factory(config)
     if kind == "Sequence":
         steps = [normalizer(c) for c in config["normalizers"]]
 
@@ -307,6 +310,8 @@ def pre_tokenizer(config: dict | None) -> Callable[[Text], list[Text]] | None:
     if config is None:
         return None
     kind = config["type"]
+    if factory := extension(kind):
+        return factory(config)
     if kind == "Sequence":
         steps = [pre_tokenizer(c) for c in config["pretokenizers"]]
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, replace
 
 from tokenloom.functions.decoders import decoder
 from tokenloom.functions.encoding import LISTS, Encoding, Processor, truncate_pair
+from tokenloom.functions.extension import extension
 from tokenloom.functions.models import Bpe, build_model, model_type
 from tokenloom.functions.text import Text, normalizer, pre_tokenizer
 from tokenloom.functions.unicode import SPACES, pattern
@@ -163,7 +165,8 @@ class Tokenizer:
         self.spec = spec = Spec.parse(spec) if isinstance(spec, str) else spec
         self.model = build_model(spec.model)
         self.normal, self.pre = normalizer(spec.normalizer), pre_tokenizer(spec.pre_tokenizer)
-        self.post, self.decoded = Processor(spec.post_processor), decoder(spec.decoder)
+        factory = extension((spec.post_processor or {}).get("type"))
+        self.post, self.decoded = factory(spec.post_processor) if factory else Processor(spec.post_processor), decoder(spec.decoder)
         self.added = Vocabulary(spec, self.model.vocab, self.normal)
         self.model_names = {i: t for t, i in self.model.vocab.items()}
         self._words, self._bytes = None, {}
@@ -274,6 +277,21 @@ class Tokenizer:
         n = sum(1 if p.fixed is not None else len(self.model.tokens(p.chars)) for p in self.pieces(text, False))
         return n + (self.post.added(False) if add_special else 0)
 
+    def profile(self, text: str) -> dict[str, float]:
+        """Seconds and bytes of each stage of counting a text: added tokens, normalizing, words, model."""
+        out, clock = {"bytes": float(len(text.encode("utf-8", "surrogatepass")))}, time.perf_counter
+        began = clock()
+        raw = self.added.split(Text.of(text, False), self.added.raw)
+        out["added"], began = clock() - began, clock()
+        plain = [r if r.fixed is not None else self.normal(r) if self.normal else r for r in raw]
+        out["normalize"], began = clock() - began, clock()
+        parts = [p for r in plain for p in ([r] if r.fixed is not None else self.added.split(r, self.added.normal))]
+        words = [w for p in parts for w in ([p] if p.fixed is not None or self.pre is None else self.pre(p)) if w.chars]
+        out["words"], began = clock() - began, clock()
+        out["tokens"] = float(sum(1 if w.fixed is not None else len(self.model.tokens(w.chars)) for w in words))
+        out["model"] = clock() - began
+        return out
+
     def decode(self, ids: list[int], skip_special: bool = True) -> str:
         tokens = [t for t in map(self.id_to_token, ids) if t is not None and not (skip_special and t in self.added.special)]
         return "".join(self.decoded(tokens)) if self.decoded else " ".join(tokens)

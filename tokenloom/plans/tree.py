@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Folders left out, and the largest file counted, unless told otherwise.
@@ -47,6 +47,19 @@ def roll_up(files: DataFrame, path: str = "rel_path", tokens: str = "token_count
     return out.select("path", parent.alias("parent_path"), F.regexp_extract("path", "[^/]*$", 0).alias("name"), "depth", "is_dir", "token_count", "file_count", "file_size")
 
 
+def ordinal(name: Column) -> Column:
+    """A key that sorts names by their UTF-16 units, in which characters beyond U+FFFF come before U+E000."""
+    return F.encode(name, "UTF-16BE")
+
+
+def with_order(tree: DataFrame) -> DataFrame:
+    """tree with child_no: the place of each node among its parent's children, folders and files mixed. New nodes find theirs so, too.
+
+    A folder's children are ranked in one task; there are as many tasks' worth as folders.
+    """
+    return tree.withColumn("child_no", F.row_number().over(Window.partitionBy("parent_path").orderBy(ordinal(F.col("name")))) - 1)
+
+
 def search(tree: DataFrame, query: str) -> DataFrame:
     """Nodes whose name holds the query, all below such folders, and the ancestors of both, with their unfiltered sums."""
     hits = tree.where(F.contains(F.lower("name"), F.lit(query.lower())) & (F.col("depth") > 0)).select("path")
