@@ -313,6 +313,35 @@ if public_tokenizer("byte_bpe_50k.json"):
     query()(count_bpe_tokens)
 
 
+def normalizing(name: str, config: dict, sql: str) -> None:
+    def run(spark, sf_dir):
+        return e.normalized(load(spark, sf_dir), config).select("doc_id", F.md5("normalized").alias("normalized_md5"))
+
+    run.__name__ = name
+    query(f"SELECT doc_id, md5({sql}) AS normalized_md5 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")(run)
+
+
+normalizing("nfc_texts", {"type": "NFC"}, "nfc_normalize(t)")
+normalizing("nfd_then_nfc_texts", {"type": "Sequence", "normalizers": [{"type": "NFD"}, {"type": "NFC"}]}, "nfc_normalize(t)")
+normalizing("lowercased_texts", {"type": "Lowercase"}, "lower(t)")
+normalizing("accentless_texts", {"type": "Sequence", "normalizers": [{"type": "NFD"}, {"type": "StripAccents"}]}, "strip_accents(t)")
+normalizing("bert_texts", {"type": "BertNormalizer"}, r"lower(strip_accents(regexp_replace(t, '[\t\n\r]', ' ', 'g')))")
+
+
+def cutting(name: str, config: dict, sql: str) -> None:
+    def run(spark, sf_dir):
+        return summary(e.words_of(load(spark, sf_dir), config), F.col("words"))
+
+    run.__name__ = name
+    query(SUMMARY.format(sql))(run)
+
+
+_MARK, _SPACE = r"!-/:-@\[-`{-~\p{P}", r"\x09-\x0D \x85\x{A0}"
+cutting("bert_words", {"type": "BertPreTokenizer"}, "regexp_extract_all(coalesce(text, ''), '[" + _MARK + "]|[^" + _MARK + _SPACE + "]+')")
+cutting("words_then_digits", {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "Digits", "individual_digits": True}]}, r"regexp_extract_all(coalesce(text, ''), '\p{N}|[^\p{N}" + _SPACE + "]+')")
+cutting("letter_runs", {"type": "Split", "pattern": {"Regex": r"\p{L}+"}, "behavior": "Isolated", "invert": False}, r"regexp_extract_all(coalesce(text, ''), '\p{L}+|[^\p{L}]+')")
+
+
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Texts of lower-case letters and single spaces, on which models with a vocabulary of letters can be told by SQL.
 PLAIN_SQL = r"trim(regexp_replace(coalesce(text, ''), '[^a-z]+', ' ', 'g'))"

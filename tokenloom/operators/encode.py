@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenloom.functions import columns
+from tokenloom.functions.text import Text, normalizer, pre_tokenizer
 from tokenloom.functions.tokenizer import Spec, Tokenizer, compiled, parts_of
 from tokenloom.session import ship
 
@@ -71,6 +72,36 @@ def encode(df: DataFrame, config: str, text: str = "text", keep: tuple[str, ...]
     return source.mapInArrow(run, schema)
 
 
+def normalized(df: DataFrame, config: dict, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "normalized") -> DataFrame:
+    """keep and the text as a normalizer leaves it; config: that of the normalizer alone. Null counts as empty."""
+    ship(df.sparkSession)
+    n, names = len(keep), [*keep, out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        change = normalizer(config)
+        for batch in batches:
+            texts = [change(Text(t or "", None)).chars for t in batch.column(n).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(texts, pa.string())], names=names)
+
+    source = df.select(*keep, df[text].alias("_text"))
+    return source.mapInArrow(run, T.StructType([*source.select(*keep).schema.fields, T.StructField(out, T.StringType())]))
+
+
+def words_of(df: DataFrame, config: dict, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "words") -> DataFrame:
+    """keep and the pieces that a pre-tokenizer makes of the text, empty ones left out; config: that of the pre-tokenizer alone."""
+    ship(df.sparkSession)
+    n, names = len(keep), [*keep, out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = pre_tokenizer(config)
+        for batch in batches:
+            parts = [[p.chars for p in cut(Text(t or "", None)) if p.chars] for t in batch.column(n).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(parts, pa.list_(pa.string()))], names=names)
+
+    source = df.select(*keep, df[text].alias("_text"))
+    return source.mapInArrow(run, T.StructType([*source.select(*keep).schema.fields, T.StructField(out, T.ArrayType(T.StringType()))]))
+
+
 def count_tokens(df: DataFrame, config: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), add_special: bool = False, out: str = "n_tokens") -> DataFrame:
     """keep and the length of each encoding. Pipelines in which every word is one token are counted by an expression."""
     t = F.coalesce(df[text], F.lit(""))
