@@ -1,7 +1,9 @@
 """Each operator against brute force on small tables, with nulls, empty and long texts, ties, repeated rows and no rows."""
 
 import hashlib
+import html
 import math
+import os
 import random
 import re
 import zlib
@@ -125,6 +127,60 @@ def test_parts_by_name():
     assert t("<main><div role='navigation'>n</div>m</main>x") == "m"
 
 
+def test_text_around_hidden_parts():
+    t = html_text.main_text
+    assert t("<article><p>Hello <span class='social'>x</span> world</p></article>") == "Hello world"
+    for part in ("<script>x</script>", "<button>x</button>", "<label>x</label>", "<svg><text>x</text></svg>", "<style>x</style>", "<select><option>x</select>"):
+        assert t(f"<p>One {part} two</p>") == "One two"
+    assert t("<p>where <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>") == "where x=1 holds"
+    assert t("<article><div class='modal verbs'>can</div><p class='notice'>seen</p><div class='ad'>buy</div></article>") == "can\nseen"
+    assert t("<div class='notice'>n</div><p>b</p>") == "b"
+    assert t("<body><article>one</article><p>between</p><article>two</article></body>") == "one\ntwo"
+    assert t("<main><article>teaser</article><p>" + "long text " * 20 + "</p></main>").startswith("teaser\nlong text")
+    assert t("<body><article>in" + "<span>" * 600 + "deep</article>out</body>") == "indeep"
+    assert t("<td>" * 700 + "</b>x") == "x"
+
+
+def test_templates_carry_alone(spark):
+    """Without any name, menus and footers go because they recur; a part of an article that names itself goes if it recurs."""
+    nav = "<ul><li><a href=x>Home</a></li><li>News {}</li></ul>"
+    pages = [(k, "http://h.example/", f"<div>{nav.format(k % 2)}</div><p>Text {k}</p><div>Imprint</div>") for k in range(60)]
+    pages += [(100 + k, "http://n.example/", f"<article><p>Own {k}</p><div class='notice'>Read more</div><p class='notice'>Once {k}</p></article>") for k in range(5)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    known = {r["host"]: frozenset(map(bytes, r["template"])) for r in html_text.templates(df).collect()}
+    for k, url, html in pages:
+        page = html_text.Page(html, known[url[7:-1]], by_name=False)
+        assert page.matched
+        assert page.main_blocks() == ([f"Text {k}"] if k < 100 else [f"Own {k - 100}", f"Once {k - 100}"])
+
+
+def test_odd_pages(spark):
+    """Clashing columns, repeated rows, nulls in every column, a very long page."""
+    long = "<body><article>" + "".join(f"<p>part {k}</p>" for k in range(60_000)) + "</article></body>"
+    rows = [(1, "http://a/", "<p>x</p>", "c", "d"), (1, "http://a/", "<p>x</p>", "c", "d"), (None, None, None, None, None), (2, "::", "<p>y", None, "d"), (3, "http://a/", long, "c", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, template string")
+    found = sorted(((r["page_id"] or 0, r["text"]) for r in html_text.extract(df).collect()), key=lambda r: r[0])
+    assert found[:4] == [(0, ""), (1, "x"), (1, "x"), (2, "y")]
+    assert found[4][1] == "\n".join(f"part {k}" for k in range(60_000))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the tables")
+def test_pages_of_the_table(spark):
+    """On the whole table: what the generator put between the article's tags, by brute force, and templates that do something."""
+    df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    found = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
+    known = {r["host"]: frozenset(map(bytes, r["template"])) for r in html_text.templates(df).collect()}
+    matched = 0
+    for r in df.collect():
+        body = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
+        blocks = re.sub(r"<(?:!--.*?--|/?b|a [^>]*|/a|i|/i|em|/em|strong|/strong|br|span|/span)>", lambda m: " " if m[0] == "<br>" else "", body, flags=re.S)
+        want = [" ".join(html.unescape(x).split()) for x in re.split(r"<[^>]*>", blocks)]
+        assert found[r["page_id"]] == "\n".join(x for x in want if x)
+        host = re.match(r"(?:\w+:)?//([^/?#:]*)", r["url"])
+        matched += html_text.Page(r["html"], known.get(host[1].lower(), frozenset()) if host else frozenset()).matched > 0
+    assert matched > 0
+
+
 def test_site_templates(spark):
     pages = [(k, f"http://h.example/{k}", f"<body><div>Site slogan</div><p>Body number {k}</p><div>Call us</div></body>") for k in range(40)]
     pages += [(100 + k, f"http://h.example/c{k}", f"<!-- {k} --><body><p>Same copy</p></body>") for k in range(30)] + [(200, None, None), (201, "http://other.example/", "<p>Site slogan</p>")]
@@ -175,14 +231,47 @@ def test_quality_model(spark):
 
 
 def test_word_vectors_come_from_all_texts(spark):
-    """Texts without labels count, and the slots grow with the words."""
-    df = spark.createDataFrame([(1, "a b"), (2, "x y " * 5), *((10 + k, " ".join(f"w{k}v{j}" for j in range(1000))) for k in range(20))], "doc_id long, text string")
-    table = quality_model.learn(df, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).table
-    assert len(table) >= 2 * 20_004 * 0.9
-    bare = quality_model.index_vectors(len(table), quality_model.DIMS, 1)
-    hashes, _ = words(*bytes_of(pa.array(["x"])))
-    at = int(hashes[0] >> np.uint64(24)) & (len(table) - 1)
-    assert not np.allclose(table[at], bare[at] / np.linalg.norm(bare[at]))
+    """Context sums are those of plain loops over all texts, labelled or not; only words below the share have none."""
+    q = quality_model
+    texts = ["a b, a c", None, "", "x y " * 5, "B!!! b 7x é\n b"] + [" ".join(f"w{k}v{j}" for j in range(50)) for k in range(4)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    cut = [re.findall(r"[^\W_]+|[^\w\s]+", t or "") for t in texts]
+    count = Counter(w for c in cut for w in c)
+    hash_of = {w: q.tokens(*bytes_of(pa.array([w])))[0][0] for w in count}
+    assert len(set(hash_of.values())) == len(count)
+    keys = q.common_words(df.select("text"), 100)
+    assert set(keys.tolist()) == {int(hash_of[w]) for w, n in count.items() if 100 * n >= count.total()}
+    table = q.context_table(df.select("text"), keys)
+    for w in ("b", "x"):
+        want = np.zeros(q.DIMS)
+        for c in cut:
+            for k, here in enumerate(c):
+                for turn in (-2, -1, 1, 2):
+                    if here == w and 0 <= k + turn < len(c):
+                        places, signs = q.index_entries(np.array([hash_of[c[k + turn]]]))
+                        np.add.at(want, (places[0] + turn) % q.DIMS, signs[0])
+        assert np.allclose(table[keys.tolist().index(hash_of[w])], want / np.linalg.norm(want), atol=1e-5)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the tables")
+def test_quality_on_the_tables(spark):
+    """Held-out rows: order, decisions and calibration; no input but vectors and the number pooled."""
+    df, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    model = quality_model.learn(df, labels.where(quality_model.may_learn()))
+    held = quality_model.score(df, model).join(labels.where(~quality_model.may_learn()), "doc_id").collect()
+    p, y = np.array([r["score"] for r in held]), np.array([r["quality"] for r in held])
+    assert (p[y == 1][:, None] > p[y == 0]).mean() > 0.97
+    assert ((p >= 0.3) == (y == 1)).mean() > 0.95
+    assert abs(p.mean() - y.mean()) < 0.05
+
+
+def test_labels_that_disagree_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b", 0.5, 1), (1, "a b", 0.5, 1), (2, None, 0.1, 0), (None, "x", 0.2, 0)], "doc_id long, text string, score double, _text int")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1)], "doc_id long, quality int")
+    found = quality_model.score(df, quality_model.learn(df, labels)).collect()
+    assert sorted(map(str, (r["doc_id"] for r in found))) == ["1", "1", "2", "None"]
+    assert all(0 <= r["score"] <= 1 for r in found)
+    assert len({r["score"] for r in found if r["doc_id"] == 1}) == 1
 
 
 def brute_components(rows, percent):
@@ -264,6 +353,33 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in language_id.predict(df, language_id.learn(df.limit(0))).collect()} == {"und"}
 
 
+def test_a_hot_text_takes_no_place_in_the_sample(spark):
+    """Copies of one text, a third of all rows, are one text of the sample; ties, long texts and clashing columns."""
+    rng = random.Random(14)
+    made = {"de": "sch ung ver ein".split(), "fr": "oux eau ent les".split()}
+    rows = [(k, "the one hot text", "en", 0.5, "x") for k in range(300)]
+    rows += [(1000 + k, " ".join("".join(rng.choice(made[lang]) for _ in range(3)) for _ in range(30)), lang, 0.5, "x") for k, lang in enumerate(["de", "fr"] * 300)]
+    rows += [(2000, "schung " * 100_000, None, 0.5, "x"), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string")
+    known = language_id.learn(df, sample=601)
+    assert list(known) == ["de", "en", "fr"]
+    found = language_id.predict(df, known).collect()
+    assert len(found) == len(rows)
+    assert all(r["lang_pred"] == {**{k: x for k, _, x, *_ in rows}, 2000: "de"}[r["doc_id"]] for r in found if r["doc_id"] is not None)
+    assert set(language_id.learn(df, sample=200)) >= {"de", "fr"}
+    # Of equal cosines the language that sorts first is taken.
+    tied = {k: known["de"] for k in ("x", "y")}
+    assert {r["lang_pred"] for r in language_id.predict(df.where("lang = 'de'"), tied).collect()} == {"x"}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the tables")
+def test_languages_of_the_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = language_id.predict(df.where(~language_id.may_learn()), language_id.learn(df.where(language_id.may_learn())), keep=("doc_id", "lang", "text"))
+    rows = [r for r in found.where("lang is not null and length(text) > 40").collect()]
+    assert np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.98
+
+
 @pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda t: F.substring(F.sha2(t, 256), 1, 1).cast("string")], ids=["sha256", "clashing"])
 def test_exact_dedup(docs, digest):
     rows = rows_of(docs)
@@ -283,6 +399,22 @@ def test_exact_dedup(docs, digest):
         assert exact_dedup.exact_dedup(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda t: F.substring(F.sha2(t, 256), 1, 1).cast("string")], ids=["sha256", "clashing"])
+def test_batches_against_the_state_of_earlier_ones(spark, tmp_path, digest):
+    """What an earlier batch has goes, in several micro-batches too; texts are fetched from the earlier batch's files."""
+    first, second = [(5, "a b"), (7, "c"), (8, "c"), (9, None)], [(1, "a  b"), (7, "c"), (10, ""), (11, "new"), (12, "new"), (12, "new"), (13, "other")]
+    frames = []
+    for k, rows in enumerate((first, second, [])):
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(str(tmp_path / f"b{k}"))
+        frames.append(spark.read.parquet(str(tmp_path / f"b{k}")))
+    one, two, none = ([tuple(r) for r in exact_dedup.exact_dedup(d, digest=digest, state=str(tmp_path / "state"), max_bytes="1000").select("doc_id", "keep_id", "kept").collect()] for d in frames)
+    assert sorted(one) == [(5, 5, True), (7, 7, True), (8, 7, False), (9, 9, True)]
+    assert none == []
+    assert sorted(k for k, _, kept in two if kept)[-2:] == [12, 13] or sorted(k for k, _, kept in two if kept) == [11, 13]
+    if digest is exact_dedup.sha256:
+        assert sorted(two) == [(1, 5, False), (7, 7, False), (10, 9, False), (11, 11, True), (12, 11, False), (12, 11, False), (13, 13, True)]
+
+
 def test_revisits(spark):
     etag = {"ETag": '"1"', "Content-Type": "text/html", "Content-Length": "9", "Expires": "0"}
     rows = [
@@ -327,12 +459,46 @@ def test_warc_files(spark, tmp_path):
         block = head.encode() + b"\r\n\r\n" + body
         return f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Target-URI: {url}\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
-    parts = [record("warcinfo", "", "", b"i"), record("response", "http://a/", "HTTP/1.1 200 OK\r\nETag: x", b"body WARC/1.0"), record("revisit", "http://a/", "HTTP/1.1 304 Not Modified", b"")]
+    inner = record("response", "http://in/", "HTTP/1.1 200 OK", b"x") * 2
+    parts = [record("warcinfo", "", "", b"i"), record("response", "http://a/", "HTTP/1.1 200 OK\r\nETag: x", b"body WARC/1.0 \xff\x00"), record("revisit", "http://a/", "HTTP/1.1 304 Not Modified", b""), record("response", "http://w/", "HTTP/1.1 200 OK", inner), record("response", "http://z/", "HTTP/1.1 200 OK", b"last")]
     (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, parts)))
     (tmp_path / "b.warc").write_bytes(b"".join(parts)[:-10])
-    found = sorted((r["file"][-7:], r["kind"], r["status"], bytes(r["payload"])) for r in warc.read_warc(spark, str(tmp_path)).collect())
-    assert found[0] == (".warc.gz"[-7:], "response", 200, b"body WARC/1.0") or found[-2][1:] == ("response", 200, b"body WARC/1.0")
-    assert sorted(k for _, k, *_ in found).count("response") == 2
+    (tmp_path / "c.warc").write_bytes(b"")
+    found = Counter((r["file"][-6:], r["url"], r["kind"], r["status"], bytes(r["payload"])) for r in warc.read_warc(spark, str(tmp_path)).collect())
+    want = [("http://a/", "response", 200, b"body WARC/1.0 \xff\x00"), ("http://a/", "revisit", 304, b""), ("http://w/", "response", 200, inner), ("http://z/", "response", 200, b"last")]
+    assert found == Counter([("arc.gz", *w) for w in want] + [("b.warc", *w) for w in want[:-1]])
+
+
+def test_many_members_are_read_in_time(spark, tmp_path):
+    import gzip
+
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + b"x" * 1000
+    one = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+    (tmp_path / "m.warc.gz").write_bytes(gzip.compress(one) * 30_000)
+    assert warc.read_warc(spark, str(tmp_path)).count() == 30_000
+
+
+def test_revisits_of_one_moment_have_their_payload(spark, tmp_path):
+    """A hot address whose captures share one time, written as WARC, read and resolved; payloads of what revisits refer to."""
+    pages = spark.createDataFrame([(k, "http://h/x", f"<p>{k % 3}") for k in range(900)] + [(None, None, None), (5000, "http://o/", None)], "page_id long, url string, html string")
+    warc.write_warc(warc.records(pages), str(tmp_path / "w"))
+    read = warc.read_warc(spark, str(tmp_path / "w"))
+    found = warc.captures(read).withColumn("ts", F.when(F.col("kind") == "revisit", 1).otherwise(0).cast("long"))
+    done = warc.resolve_revisits(found)
+    rows = {r["record_id"]: r for r in done.where("record_id is not null").collect()}
+    revisits = [r for r in rows.values() if r["outcome"] in ("resolved", "mismatch")]
+    # All responses come before all revisits: each is held against the last response.
+    assert {r["refers_to"] for r in revisits if r["outcome"] == "resolved" and r["record_id"] < 5000} == {899 * 4}
+    payloads = warc.with_payload(done, read.select(F.regexp_extract("record", r"(\d+)", 1).try_cast("long").alias("record_id"), "payload")).where("outcome = 'resolved'").collect()
+    assert payloads and all(bytes(r["payload"]) == (f"<p>{899 % 3}".encode() if r["record_id"] < 5000 else b"") for r in payloads)
+    assert all(hashlib.sha256(bytes(r["payload"])).hexdigest() == r["payload_digest"] and r["payload_bytes"] == len(r["payload"]) for r in payloads)
+
+
+def test_revisits_with_clashing_columns_and_repeats(spark):
+    rows = [(1, "http://a/", 1, "response", 200, {"ETag": "x"}, "d", "c1", 1), (2, "http://a/", 2, "revisit", 304, {"ETag": "x"}, None, "c2", 2)] * 2
+    df = spark.createDataFrame(rows, warc.RECORD + ", canonical string, piece int")
+    found = warc.resolve_revisits(df).collect()
+    assert Counter((r["record_id"], r["outcome"], r["refers_to"]) for r in found) == {(1, "full", None): 2, (2, "resolved", 1): 2}
 
 
 def measured(text):
@@ -391,6 +557,27 @@ def test_context_mixing(docs):
     got = [(r["doc_id"] if r["doc_id"] is not None else -1, r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in found]
     assert sorted(got) == sorted(want)
     assert all(r["train_tokens"] == n and r["score"] < 0 and r["bits_per_byte"] > 0 for r in found)
+    # A score is the sum over the text's windows, each as the mixer has it (which is tested against plain counts below).
+    score_of = {(r["doc_id"], r["n_tokens"], round(r["base_score"], 6)): r["score"] for r in found}
+    for key, text in rows_of(docs)[::9]:
+        keys, _ = context_mixing.windows(*bytes_of(pa.array([text or ""])))
+        t = [*words_of(text), None]
+        base = round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), 6)
+        assert abs(score_of[key, len(t), base] - mixer.log10(keys).sum()) < 1e-3 * len(keys)
+
+
+def test_scores_are_the_same_from_a_table(docs, tmp_path):
+    """Rows of a Parquet table are numbered by their place in it, others once they are stored."""
+    docs.write.parquet(str(tmp_path / "d"))
+    counts = stored(context_mixing.corpus_counts(docs), "counts")
+    mixer = context_mixing.learn(counts)
+    one, two = (sorted((str(r["doc_id"]), r["n_tokens"], round(r["score"], 6)) for r in context_mixing.score(d, counts, mixer).collect()) for d in (docs, docs.sparkSession.read.parquet(str(tmp_path / "d"))))
+    assert one == two
+    none = stored(context_mixing.corpus_counts(docs.limit(0)), "counts")
+    found = context_mixing.score(docs, none, context_mixing.learn(none)).collect()
+    assert len(found) == docs.count()
+    assert all(abs(r["bits_per_byte"] - 8) < 0.01 and r["n_known"] == 0 for r in found)
+    assert context_mixing.score(docs.limit(0), counts, mixer).count() == 0
 
 
 def test_mixer_is_a_distribution(docs):

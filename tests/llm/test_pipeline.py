@@ -1,11 +1,16 @@
-"""The whole pipeline on a small table, stage by stage."""
+"""The whole pipeline on a small table, stage by stage, and on odd tables."""
 
+import itertools
+import os
+
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 import __spark_entry__ as entry
-from tokenloom.llm import queries
-from tokenloom.llm.common import stored
+from tokenloom.llm import packing, queries
+from tokenloom.llm.common import forget, stored
 
 
 def test_registered():
@@ -16,6 +21,7 @@ def test_registered():
 
 
 def test_stages(spark, data):
+    tokenizers = pytest.importorskip("tokenizers")
     pytest.importorskip("public_tokenizers")
     docs = spark.read.parquet(f"{data}/documents.parquet")
     before = None
@@ -27,7 +33,53 @@ def test_stages(spark, data):
         before, docs = found, stored(out, "stage")
     out = corpus_pipeline.run(spark, data).collect()
     assert {r["doc_id"] for r in out} == before
-    total = {}
-    for r in out:
-        total[r["doc_id"]] = total.get(r["doc_id"], 0) + r["length"]
-    assert all(total[r["doc_id"]] == r["doc_tokens"] for r in out)
+    # The sequences hold the ids of every text that stayed, whole and in order.
+    lib = tokenizers.Tokenizer.from_str(queries.tokenizer("word_bpe_49k.json"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got, room = {}, {}
+    for r in sorted(out, key=lambda r: (r["doc_id"], r["start"])):
+        assert r["start"] == len(got.setdefault(r["doc_id"], []))
+        got[r["doc_id"]] += r["ids"]
+        room[r["sequence_id"]] = room.get(r["sequence_id"], 0) + r["length"]
+    assert all(got[k] == [*lib.encode(t or "", add_special_tokens=False).ids, 1] for k, t in texts.items())
+    assert max(room.values()) <= 2048
+
+
+def test_odd_tables(spark, tmp_path):
+    """Nulls in every column, repeated rows, columns with clashing names, then no rows at all."""
+    pytest.importorskip("public_tokenizers")
+    good = " ".join("".join(w) + "en" for w in itertools.product("bdfgk", "aeiou", "lmnr"))
+    rows = [(1, good, "en", "a", 5, "x"), (1, good, "en", "a", 5, "x"), (2, None, None, None, None, None), (None, None, None, None, None, None), (None, good + " more", "en", "a", 1, "x"), (3, "", "en", "a", 0, "x"), (4, good.upper(), "en", "b", 1, "x"), (5, "x " * 30_000, "en", "b", 1, "x")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string"
+    for name, some in (("some", rows), ("none", [])):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(some, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (2, None, None), (None, 1, 0)] if some else [], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage, run in corpus_pipeline.STAGES[:-1]:
+            docs = stored(run(spark, docs, folder), "stage")
+            assert docs.columns == [f.split()[0] for f in schema.split(", ")], stage
+        kept = docs.collect()
+        out = corpus_pipeline.run(spark, folder).collect()
+        assert len({(r["doc_id"]) for r in out}) == len({r["doc_id"] for r in kept})
+        assert (len(kept) > 0) == bool(some)
+        # Exact copies and those that differ in case of letters alone are one document.
+        assert sum(r["doc_id"] in (1, 4) for r in kept) <= 1
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the tables")
+def test_padding_is_little(spark):
+    pytest.importorskip("public_tokenizers")
+    out = packing.pack_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), queries.tokenizer("word_bpe_49k.json"))
+    sizes = np.array([r["n"] for r in out.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()])
+    assert 1 - sizes.sum() / (2048 * len(sizes)) < 0.02
+
+
+def test_forgotten_tables_are_gone(spark):
+    one = stored(spark.range(3).toDF("k"), "gone")
+    path = one.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    forget(one)
+    assert not os.path.exists(path)
+    outside = spark.createDataFrame([(1,)], "k long")
+    forget(outside)
