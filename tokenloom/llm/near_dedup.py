@@ -4,7 +4,8 @@ Texts become sets of hashed five-word shingles. Equal sets are one class, named
 that share a band of their MinHash signatures are candidates; the number of rows in a band is the largest at which a
 pair at the threshold is missed with at most the chosen probability. Signatures of candidates are compared in batches
 of hashes, and a pair goes as soon as the posterior probability that it reaches the threshold (Beta prior, uniform)
-falls below the chosen one. What survives is verified exactly on the full shingle sets.
+falls below the chosen one. What survives is verified exactly on the full shingle sets; these hold 64-bit hashes of
+the shingles, and texts themselves are never compared.
 
 No group is ever expanded into all its pairs. First every class is compared with one representative of each of its
 buckets. What that has linked is one component; then only pairs of different components of a bucket are left, and they
