@@ -478,6 +478,18 @@ def test_many_members_are_read_in_time(spark, tmp_path):
     assert warc.read_warc(spark, str(tmp_path)).count() == 30_000
 
 
+def test_no_record_is_lost_between_buffers(spark, tmp_path):
+    """Records of all lengths and without payload, so that their borders meet those of the reader's buffers in every way."""
+    pages = spark.range(40_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h/WARC/1.0/"), "id").alias("url"), F.repeat(F.lit("x\r\n"), (F.col("id") % 40).cast("int")).alias("html"))
+    rows = warc.records(pages)
+    warc.write_warc(rows, str(tmp_path / "gz"))
+    rows.write.option("lineSep", "\r\n\r\n").text(str(tmp_path / "plain"))
+    want = rows.count()
+    for name in ("gz", "plain"):
+        found = warc.captures(warc.read_warc(spark, str(tmp_path / name))).agg(F.count(F.lit(1)), F.count_distinct("record_id"), F.sum("payload_bytes")).first()
+        assert tuple(found) == (want, want, sum(3 * (k % 40) for k in range(40_000)))
+
+
 def test_revisits_of_one_moment_have_their_payload(spark, tmp_path):
     """A hot address whose captures share one time, written as WARC, read and resolved; payloads of what revisits refer to."""
     pages = spark.createDataFrame([(k, "http://h/x", f"<p>{k % 3}") for k in range(900)] + [(None, None, None), (5000, "http://o/", None)], "page_id long, url string, html string")

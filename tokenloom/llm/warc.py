@@ -30,8 +30,9 @@ TRACKING = r"(?:utm_[a-z_]+|gclid|fbclid|ref|sessionid|phpsessid)"
 #: Pieces of a hot address, and rows of it that the borders of pieces are taken from.
 PIECES, PROBES = 64, 4096
 RECORD = "record_id long, url string, ts long, kind string, status int, headers map<string,string>, payload_digest string"
-#: Between two records of a file; the reader cuts files there.
-BETWEEN = "\r\n\r\nWARC/"
+#: How records begin; the reader cuts files there. No end of it is a beginning of it too: of such marks the text reader
+#: may miss one that lies across two of its buffers.
+MARK = "WARC/1."
 
 
 def canonical_url(url: str) -> Column:
@@ -166,45 +167,51 @@ def write_warc(rows: DataFrame, path: str) -> None:
     rows.select("value").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
-def parsed(text: bytes) -> tuple[dict[str, str], bytes] | None:
-    """Header fields (names in lower case) and what follows them."""
-    head, found, block = text.partition(b"\r\n\r\n")
-    if not found:
-        return None
-    fields = {}
+def fields_of(head: bytes) -> dict[str, str]:
+    """Header fields, names in lower case."""
+    out = {}
     for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
         name, _, value = line.partition(":")
-        fields[name.strip().lower()] = value.strip()
-    return fields, block
+        out[name.strip().lower()] = value.strip()
+    return out
 
 
-def whole_records(rows: Iterator[tuple[str, bytes, bool]]) -> Iterator[tuple[str, dict[str, str], bytes]]:
-    """File, header fields and block of each record, from what lies between separators (file, bytes, whether the split ends its file).
+def whole_records(rows: Iterator[tuple[str, bytes, bool, bool]]) -> Iterator[tuple[str, dict[str, str], bytes]]:
+    """File, header fields and block of each record, from what lies between marks (file, bytes, whether the split begins and ends its file).
 
-    A payload may hold the separator: pieces are put together until a record has the length it names. What a file
-    cut off at its end leaves of a record is left out; a record cut off by a split is an error.
+    Headers and payloads may hold the mark: pieces are put together until a record has the length it names. What a file
+    cut off at its end leaves of a record is left out; a record cut off by a split, and bytes between records, are errors.
     """
-    open_file, held, fields, last = None, b"", None, True
-
-    def left() -> None:
-        if fields is not None and not last:
-            raise ValueError(f"a split of {open_file} ends within a record whose payload holds records; compress the file, so that it isn't split")
-
-    for file, text, ends in rows:
-        if fields is not None and file == open_file:
-            held += BETWEEN.encode() + text
+    now, held, last = None, None, True
+
+    def cut() -> None:
+        if held is not None and not last:
+            raise ValueError(f"a split of {now} ends within a record that holds {MARK!r}; compress the file, so that it isn't split")
+
+    for file, text, begins, ends in rows:
+        if file != now:
+            cut()
+            now, held, last = file, None, ends
+            if begins:
+                continue  # what stands before the first record
+        last = ends
+        if held is not None:
+            held += MARK.encode() + text
+        elif text[:3] in (b"0\r\n", b"1\r\n"):
+            held = text
         else:
-            left()
-            open_file, fields, last = file, None, ends
-            found = parsed(text)
-            if found is None:
-                continue
-            fields, held = found
+            continue  # the end of a record that began in the split before
+        head, found, block = held.partition(b"\r\n\r\n")
+        if not found:
+            continue
+        fields = fields_of(head)
         size = int(fields.get("content-length") or 0)
-        if len(held) >= size:
-            yield file, fields, held[:size]
-            fields, held = None, b""
-    left()
+        if len(block) >= size:
+            if block[size:].strip():
+                raise ValueError(f"bytes between records in {now}")
+            yield file, fields, block[:size]
+            held = None
+    cut()
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -237,10 +244,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     schema = "file string, record string, url string, date string, kind string, status int, payload_digest string, headers map<string,string>, payload binary"
-    lines = spark.read.option("lineSep", BETWEEN).text(path)
+    lines = spark.read.option("lineSep", MARK).text(path)
     meta = F.col("_metadata")
+    begins = meta["file_block_start"] == 0
     ends = meta["file_block_start"] + meta["file_block_length"] >= meta["file_size"]
-    return lines.select(meta["file_path"].alias("file"), F.col("value").cast("binary").alias("value"), ends.alias("ends")).mapInArrow(run, schema)
+    return lines.select(meta["file_path"].alias("file"), F.col("value").cast("binary").alias("value"), begins.alias("begins"), ends.alias("ends")).mapInArrow(run, schema)
 
 
 def captures(found: DataFrame) -> DataFrame:
