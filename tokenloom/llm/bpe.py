@@ -26,27 +26,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tokenloom.functions.batches import IdBytes
+from tokenloom.functions.unicode import BYTE_OF, GLYPHS, GPT2, WS
 from tokenloom.llm.common import trimmed, with_field
 
-#: White space as Unicode defines it; Python's own class has four control characters more.
-WS = r"\t-\r \x85\xa0  -     　"
 NEVER = np.int64(1 << 40)
 SHIFT, NO_MERGE = 24, 1 << 62
 WHOLE = (1 << SHIFT) - 1
-KEPT, KEPT_CHARS = 900_000, 48
+KEPT, KEPT_CHARS = 500_000, 48
 
 
-def byte_glyphs() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = (b for b in range(256) if b not in set(plain))
-    glyph = {b: chr(b) for b in plain} | {b: chr(0x100 + n) for n, b in enumerate(others)}
-    return [glyph[b] for b in range(256)]
-
-
-GLYPH = byte_glyphs()
-TO_GLYPH = {b: g for b, g in enumerate(GLYPH)}
-TO_BYTE = {g: b for b, g in enumerate(GLYPH)}
+TO_GLYPH = dict(enumerate(GLYPHS))
 
 
 class Merges:
@@ -72,7 +62,7 @@ class Merges:
         order = np.argsort(keys)
         self.keys = keys[order]
         self.key_ranks = np.fromiter((c >> SHIFT for c in self.coded.values()), np.int64, len(keys))[order]
-        symbols = {*GLYPH, *(g + self.suffix for g in GLYPH)}
+        symbols = {*GLYPHS, *(g + self.suffix for g in GLYPHS)}
         self.proposable = {t: i for t, i in self.vocab.items() if i in made or t in symbols}
         self.doubtful = {i for i, n in made.items() if n > 1}
         self.within: np.ndarray | None = None
@@ -156,7 +146,7 @@ class Merges:
             last = bool(self.suffix) and t.endswith(self.suffix)
             node = 0
             for c in t[: -len(self.suffix)] if last else t:
-                key = (node << 8) | TO_BYTE[c]
+                key = (node << 8) | BYTE_OF[c]
                 if (child := edges.get(key)) is None:
                     child = edges[key] = len(within)
                     within.append(-1)
@@ -173,7 +163,7 @@ class Merges:
         self.own = np.full(len(self.rank), -1, np.int8)
         names = {i: t for t, i in self.proposable.items()}
         self.name_of = names
-        self.single = np.array([self.vocab.get(g, -1) for g in GLYPH]), np.array([self.vocab.get(g + self.suffix, -1) for g in GLYPH])
+        self.single = np.array([self.vocab.get(g, -1) for g in GLYPHS]), np.array([self.vocab.get(g + self.suffix, -1) for g in GLYPHS])
         self.made_by_rank = np.zeros(max((c >> SHIFT for c in self.coded.values()), default=0) + 1, np.int64)
         for c in self.coded.values():
             self.made_by_rank[c >> SHIFT] = c & WHOLE
@@ -309,7 +299,7 @@ class Bpe:
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         pre = spec["pre_tokenizer"]
         self.words_only = pre["type"] == "Sequence"
-        pattern = pre["pretokenizers"][0]["pattern"]["Regex"] if self.words_only else r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+        pattern = pre["pretokenizers"][0]["pattern"]["Regex"] if self.words_only else GPT2
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{WS}").replace(r"(?!\S)", f"(?![^{WS}])").replace(r"\s+", f"[{WS}]+"))
         steps = (spec.get("normalizer") or {}).get("normalizers", [])
         self.nfc, self.lower = any(s["type"] == "NFC" for s in steps), any(s["type"] == "Lowercase" for s in steps)
@@ -322,9 +312,6 @@ class Bpe:
         if not self.words_only and (self.nfc or self.lower):
             doubtful = [""]
         self.unusual = "|".join([*map(re.escape, self.added), *doubtful])
-        names = {i: t for t, i in self.merges.vocab.items()}
-        self.bytes = {i: bytes(map(TO_BYTE.__getitem__, t)) if all(c in TO_BYTE for c in t) else t.encode() for i, t in names.items()}
-        self.bytes |= {i: t.encode() for t, i in self.added.items()}
         self.forget()
 
     def forget(self) -> None:
@@ -481,14 +468,24 @@ class Bpe:
         """All ids, and where each text's end."""
         return self.coded(*self.numbers_of(texts))
 
-    def decode(self, ids: list[int]) -> str:
-        """The bytes of the ids in turn; unknown ids vanish, invalid UTF-8 becomes U+FFFD."""
-        try:
-            return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
-        except KeyError:
-            return b"".join(self.bytes.get(i, b"") for i in ids).decode("utf-8", "replace")
-
 
+def bytes_of_ids(config: str) -> IdBytes:
+    """The bytes of all ids, laid out for whole batches; nothing else of the tokenizer is kept, for encoders live in other workers."""
+    key = hash(config)
+    if key not in _LAID_OUT:
+        spec = json.loads(config)
+        names = {i: t for t, i in spec["model"]["vocab"].items()}
+        parts = [b""] * (max([*names, *(t["id"] for t in spec.get("added_tokens") or [])]) + 2)
+        for i, t in names.items():
+            parts[i] = bytes(map(BYTE_OF.__getitem__, t)) if all(c in BYTE_OF for c in t) else t.encode()
+        for t in spec.get("added_tokens") or []:
+            parts[t["id"]] = t["content"].encode()
+        _LAID_OUT.clear()
+        _LAID_OUT[key] = IdBytes(parts)
+    return _LAID_OUT[key]
+
+
+_LAID_OUT: dict[int, IdBytes] = {}
 _LOADED: dict[int, Bpe] = {}
 
 
@@ -519,10 +516,6 @@ def slices(sizes: np.ndarray, most: int = 2_000_000) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
-def texts_of(column: pa.Array) -> list[str]:
-    return [t or "" for t in column.to_pylist()]
-
-
 def encode(df: DataFrame, config: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: str = "ids") -> DataFrame:
     """The columns of keep, and the ids of the text's tokens, no special ones added. config: the text of a tokenizer.json."""
     held = df.sparkSession.sparkContext.broadcast(config)
@@ -542,16 +535,17 @@ def encode(df: DataFrame, config: str, text: str = "text", keep: tuple[str, ...]
 
 
 def decode(df: DataFrame, config: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """df with the text that the ids stand for, special tokens kept. A null list gives an empty text."""
+    """df with the text that the ids stand for, special tokens kept; a column named like `out` is replaced. A null list gives an empty text."""
     held = df.sparkSession.sparkContext.broadcast(config)
     kept = [c for c in df.columns if c != out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(held.value)
+        table = bytes_of_ids(held.value)
         for batch in batches:
             column = batch.column(kept.index(ids))
-            texts = [bpe.decode(column[k].values.to_numpy(zero_copy_only=False).tolist() if column[k].is_valid else []) for k in range(len(column))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*kept, out])
+            for part in slices(np.asarray(pc.fill_null(pc.list_value_length(column), 0)), 500_000):
+                rows = batch.slice(part.start, part.stop - part.start)
+                yield pa.RecordBatch.from_arrays([*rows.columns, table.texts(rows.column(kept.index(ids)))], names=[*kept, out])
 
     source = df.select(*kept)
     return source.mapInArrow(trimmed(run), with_field(source.schema, out, T.StringType()))
