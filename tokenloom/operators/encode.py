@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenloom.functions import columns
+from tokenloom.functions.batches import ByteSpans, part_at, PieceBatches
 from tokenloom.functions.text import Text, normalizer, pre_tokenizer
 from tokenloom.functions.tokenizer import Spec, Tokenizer, compiled, parts_of
 from tokenloom.session import ship
@@ -28,8 +29,35 @@ ARROW = {
 }
 
 
-def text_parts(column: pa.Array) -> list[tuple[int, int]]:
-    return parts_of(pc.fill_null(pc.binary_length(column), 0).to_pylist())
+#: Bytes of text that are worked on at once where Python objects stand for its words or tokens, and of words alone.
+PART, ROWS = 500_000, 50_000
+
+
+def text_parts(column: pa.Array, most: int = 2_000_000) -> list[tuple[int, int]]:
+    return parts_of(pc.fill_null(pc.binary_length(column), 0).to_pylist(), most)
+
+
+def in_parts(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of about PART bytes of the texts in column n (and n + 1, where there are pairs), so that memory doesn't grow with how full a batch is."""
+    for batch in batches:
+        sizes = np.zeros(len(batch), np.int64)
+        for column in batch.columns[n:]:
+            if pa.types.is_list(column.type):
+                words = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column.flatten()), 0)).astype(np.int64) + 1)])
+                counts = np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
+                sizes += np.diff(words[np.concatenate([[0], np.cumsum(counts)])])
+            else:
+                sizes += np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
+        for a, b in parts_of((sizes + PART // ROWS).tolist(), PART):
+            yield batch.slice(a, b - a)
+
+
+def texts_of(column: pa.Array) -> list[str]:
+    return pc.fill_null(column, "").to_pylist()
+
+
+def is_text(column: pa.Array) -> bool:
+    return pa.types.is_string(column.type) or pa.types.is_large_string(column.type)
 
 
 def encode(df: DataFrame, config: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), pair: str | None = None, add_special: bool = True, unit: str = "byte", want: tuple[str, ...] = tuple(PARTS)) -> DataFrame:
@@ -166,9 +194,37 @@ def decode(df: DataFrame, config: str, ids: str = "ids", out: str = "decoded", s
 
 def spans(df: DataFrame, config: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """A row for each token without specials: keep, token_no, id, start and end in UTF-16 units, odd (for alternating colours)."""
-    found = encode(df, config, text, keep, add_special=False, unit="utf16", want=("ids", "offsets")).where("part_no = 0")
-    rows = found.select(*keep, F.posexplode(F.arrays_zip("ids", "offsets")).alias("token_no", "t"))
-    return rows.select(*keep, "token_no", F.col("t.ids").alias("id"), F.col("t.offsets.start").alias("start"), F.col("t.offsets.end").alias("end"), (F.col("token_no") % 2 == 1).alias("odd"))
+    ship(df.sparkSession)
+    held = df.sparkSession.sparkContext.broadcast(config)
+    n, names = len(keep), [*keep, "token_no", "id", "start", "end", "odd"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = compiled(held.value)
+        cover = ByteSpans(tokenizer, "utf16") if ByteSpans.serves(tokenizer) else None
+        chunks = None if cover else tokenizer.chunks("utf16", ("ids", "offsets"))
+        for batch in in_parts(batches, n):
+            if cover and pa.types.is_string(batch.column(n).type):
+                column = pc.fill_null(batch.column(n), "")
+                ids, counts = tokenizer.words().encode(column)
+                ends = np.concatenate([[0], np.cumsum(counts)])
+                start, end = (pa.array(x.astype(np.int32)) for x in cover.offsets(column, ids, counts))
+                ids = pa.array(ids)
+            elif chunks and is_text(batch.column(n)):
+                ends, flat = chunks.encode(texts_of(batch.column(n)), ("ids", "offsets"))
+                ids, (start, end) = flat["ids"], flat["offsets"].flatten()
+            else:
+                found = [tokenizer.encode("" if x is None else x, None, False, "utf16") for x in batch.column(n).to_pylist()]
+                ends = np.cumsum([0, *map(len, found)])
+                ids = pa.array([i for e in found for i in e.ids], pa.int32())
+                start, end = (pa.array([s[k] for e in found for s in e.offsets], pa.int32()) for k in (0, 1))
+            counts = np.diff(ends)
+            number = (np.arange(int(ends[-1])) - np.repeat(ends[:-1], counts)).astype(np.int32)
+            owner = pa.array(np.repeat(np.arange(len(batch)), counts))
+            yield pa.RecordBatch.from_arrays([*(c.take(owner) for c in batch.columns[:n]), pa.array(number), ids, start, end, pa.array(number % 2 == 1)], names=names)
+
+    source = df.select(*keep, df[text].alias("_text"))
+    fields = [*(T.StructField(c, T.IntegerType()) for c in names[n:-1]), T.StructField("odd", T.BooleanType())]
+    return source.mapInArrow(run, T.StructType([*source.select(*keep).schema.fields, *fields]))
 
 
 def pad_batches(encoded: DataFrame, batch: str, pad_id: int = 0, pad_token: str = "[PAD]", multiple: int = 1, left: bool = False) -> DataFrame:
