@@ -57,6 +57,24 @@ def test_byte_level_spans_of_a_full_batch(spark, monkeypatch, data):
     assert held == want
 
 
+ROUND_TRIPS = {"byte_fallback_round_trip": catalog.falling_back}
+
+
+@pytest.mark.parametrize("name", ROUND_TRIPS)
+def test_round_trips_of_a_full_batch(spark, monkeypatch, data, name):
+    texts = many() if name.startswith("byte") else [re.sub("[^a-z]+", " ", x).strip() for x in many()]
+    t = Tokenizer(ROUND_TRIPS[name]())
+    coding, decoding = kernels(spark, monkeypatch, lambda: catalog.QUERIES[name](spark, data))
+    calls = []
+    monkeypatch.setattr(type(t.model), "tokens", lambda self, word, f=type(t.model).tokens: calls.append(word) or f(self, word))
+    coded = pa.Table.from_batches(through(coding, texts_table(texts)))
+    assert len(calls) < 10_000  # of 400,000 words
+    assert coded["ids"].to_pylist()[::40] == [t.encode(x, unit="none").ids for x in texts[::40]]
+    out = through(decoding, coded.select(["doc_id", "ids"]))
+    assert len(out) > 3 and max(len(b.column("ids").flatten()) for b in out) <= e.PART
+    assert pa.Table.from_batches(out)["decoded"].to_pylist() == texts
+
+
 @pytest.mark.parametrize("unit", ["byte", "char", "utf16", "none"])
 @pytest.mark.parametrize("name", ["word_piece", "unigram", "suffixed", "falling_back", "byte_level", "merging", "word_level"])
 def test_chunks_agree_with_kernels(name, unit):

@@ -74,12 +74,17 @@ def encode(df: DataFrame, config: str, text: str = "text", keep: tuple[str, ...]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = compiled(held.value)
         fast = tokenizer.words() if not pair and want == ("ids",) and (not add_special or tokenizer.post.added(False) == 0) else None
-        for batch in batches:
+        chunks = tokenizer.chunks(unit, want) if not pair and not fast else None
+        for batch in in_parts(batches, n):
             if fast and pa.types.is_string(batch.column(n).type):
-                for a, b in text_parts(batch.column(n)):
-                    ids, counts = fast.encode(batch.column(n).slice(a, b - a))
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids))
-                    yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:n]), pa.array(np.zeros(b - a, np.int32)), lists], names=names)
+                ids, counts = fast.encode(batch.column(n))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(np.zeros(len(batch), np.int32)), lists], names=names)
+                continue
+            if chunks and is_text(batch.column(n)):
+                ends, flat = chunks.encode(texts_of(batch.column(n)), want)
+                ends = pa.array(ends, pa.int32())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(np.zeros(len(batch), np.int32)), *(pa.ListArray.from_arrays(ends, flat[w]) for w in want)], names=names)
                 continue
             first = batch.column(n).to_pylist()
             second = batch.column(n + 1).to_pylist() if pair else [None] * len(first)
@@ -180,13 +185,12 @@ def decode(df: DataFrame, config: str, ids: str = "ids", out: str = "decoded", s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = compiled(held.value)
         for batch in batches:
-            if table := tokenizer.id_bytes(skip_special):
-                lists = batch.column(at)
-                found = [table.texts(lists.slice(a, b - a)) for a, b in parts_of(pc.fill_null(pc.list_value_length(lists), 0).to_pylist(), 500_000)]
-                texts = pa.concat_arrays(found) if found else pa.array([], pa.string())
-            else:
-                texts = pa.array([tokenizer.decode(x or [], skip_special) for x in batch.column(at).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*kept, out])
+            for a, b in parts_of((np.asarray(pc.fill_null(pc.list_value_length(batch.column(at)), 0)) + PART // ROWS).tolist(), PART if table else PART // 4):
+                part = batch.slice(a, b - a)
+                lists = part.column(at)
+                texts = table.texts(lists) if table else pa.array([tokenizer.decode(x or [], skip_special) for x in lists.to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*kept, out])
+        table = tokenizer.id_bytes(skip_special)
 
     source = df.select(*kept)
     return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField(out, T.StringType())]))
