@@ -75,6 +75,17 @@ def test_round_trips_of_a_full_batch(spark, monkeypatch, data, name):
     assert pa.Table.from_batches(out)["decoded"].to_pylist() == texts
 
 
+@pytest.mark.parametrize(("name", "config"), [
+    ("words_then_digits", {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "Digits", "individual_digits": True}]}),
+])
+def test_pieces_of_a_full_batch(spark, monkeypatch, data, name, config):
+    texts, cut = many(), pre_tokenizer(config)
+    out = through(kernels(spark, monkeypatch, lambda: catalog.QUERIES[name](spark, data))[-1], texts_table(texts))
+    assert len(out) > 3 and max(len(b) for b in out) < len(texts) / 3
+    found = pa.Table.from_batches(out)["words"].to_pylist()
+    assert found[:200] == [[p.chars for p in cut(Text(x, None)) if p.chars] for x in texts[:200]]
+
+
 @pytest.mark.parametrize("unit", ["byte", "char", "utf16", "none"])
 @pytest.mark.parametrize("name", ["word_piece", "unigram", "suffixed", "falling_back", "byte_level", "merging", "word_level"])
 def test_chunks_agree_with_kernels(name, unit):

@@ -127,9 +127,11 @@ def words_of(df: DataFrame, config: dict, text: str = "text", keep: tuple[str, .
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = pre_tokenizer(config)
-        for batch in batches:
-            parts = [[p.chars for p in cut(Text(t or "", None)) if p.chars] for t in batch.column(n).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(parts, pa.list_(pa.string()))], names=names)
+        known = PieceBatches(config) if part_at(config) else None
+        for batch in in_parts(batches, n):
+            texts = texts_of(batch.column(n))
+            parts = known.pieces(texts) if known else pa.array([[p.chars for p in cut(Text(t, None)) if p.chars] for t in texts], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], parts], names=names)
 
     source = df.select(*keep, df[text].alias("_text"))
     return source.mapInArrow(run, T.StructType([*source.select(*keep).schema.fields, T.StructField(out, T.ArrayType(T.StringType()))]))
@@ -184,13 +186,13 @@ def decode(df: DataFrame, config: str, ids: str = "ids", out: str = "decoded", s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = compiled(held.value)
+        table = tokenizer.id_bytes(skip_special)
         for batch in batches:
             for a, b in parts_of((np.asarray(pc.fill_null(pc.list_value_length(batch.column(at)), 0)) + PART // ROWS).tolist(), PART if table else PART // 4):
                 part = batch.slice(a, b - a)
                 lists = part.column(at)
                 texts = table.texts(lists) if table else pa.array([tokenizer.decode(x or [], skip_special) for x in lists.to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*kept, out])
-        table = tokenizer.id_bytes(skip_special)
 
     source = df.select(*kept)
     return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField(out, T.StringType())]))
