@@ -87,6 +87,18 @@ def test_pieces_of_a_full_batch(spark, monkeypatch, data, name, config):
     assert found[:200] == [[p.chars for p in cut(Text(x, None)) if p.chars] for x in texts[:200]]
 
 
+@pytest.mark.parametrize(("name", "column"), [("words_of_encodings", "words")])
+def test_encodings_of_a_full_batch(spark, monkeypatch, data, name, column):
+    texts = many()
+    config = json.loads(catalog.word_level()) | ({"added_tokens": [{"id": 0, "content": "the", "special": True, "normalized": False}]} if name == "added_tokens" else {})
+    t = Tokenizer(json.dumps(config))
+    calls = []
+    monkeypatch.setattr(models.WordLevel, "tokens", lambda self, word, f=models.WordLevel.tokens: calls.append(word) or f(self, word))
+    out = through(kernels(spark, monkeypatch, lambda: catalog.QUERIES[name](spark, data))[-1], texts_table(texts))
+    assert len(calls) < 10_000 and len(out) > 3
+    assert pa.Table.from_batches(out)[column].to_pylist()[:100] == [getattr(t.encode(x), column) for x in texts[:100]]
+
+
 @pytest.mark.parametrize("unit", ["byte", "char", "utf16", "none"])
 @pytest.mark.parametrize("name", ["word_piece", "unigram", "suffixed", "falling_back", "byte_level", "merging", "word_level"])
 def test_chunks_agree_with_kernels(name, unit):
