@@ -99,6 +99,16 @@ def test_encodings_of_a_full_batch(spark, monkeypatch, data, name, column):
     assert pa.Table.from_batches(out)[column].to_pylist()[:100] == [getattr(t.encode(x), column) for x in texts[:100]]
 
 
+def test_running_bytes_works_its_pieces_out_once(spark):
+    texts = ["", "a1é22b" * 700, "x", "1" * 5000, "a1" * 3000, None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", c.running_bytes(c.digits(F.col("text"))).alias("p"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().lower().count("regexp_extract_all") == 1
+    found = {r["doc_id"]: r["p"] and [(s["start"], s["end"]) for s in r["p"]] for r in rows.collect()}
+    for k, x in enumerate(texts[:-1]):
+        ends = np.cumsum([len(p.encode()) for p in re.findall(r"\d+|\D+", x)]).tolist()
+        assert found[k] == list(zip([0, *ends], ends))
+
+
 @pytest.mark.parametrize("unit", ["byte", "char", "utf16", "none"])
 @pytest.mark.parametrize("name", ["word_piece", "unigram", "suffixed", "falling_back", "byte_level", "merging", "word_level"])
 def test_chunks_agree_with_kernels(name, unit):

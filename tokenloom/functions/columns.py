@@ -102,7 +102,12 @@ def from_glyphs(glyphs: Column) -> Column:
 
 
 #: Pieces whose offsets are summed up in one go; blocks of them are then moved to where they begin.
-BLOCK = 512
+BLOCK = 64
+
+
+def bound(x: Column, f) -> Column:
+    """f of x, which is worked out once: an expression is copied to every place that uses it and worked out for each turn of a loop, a variable isn't."""
+    return F.element_at(F.transform(F.array(x), f), 1)
 
 
 def running(sizes: Column) -> Column:
@@ -112,11 +117,17 @@ def running(sizes: Column) -> Column:
 
 def running_bytes(pieces: Column) -> Column:
     """(start, end) of each piece in bytes, of pieces that cover a text."""
-    sizes = F.transform(pieces, F.octet_length)
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(pieces) / BLOCK).cast("int") - 1, F.lit(0))), lambda b: F.slice(sizes, b * BLOCK + 1, F.lit(BLOCK)))
-    ends = running(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x)))
-    moved = F.flatten(F.zip_with(blocks, ends, lambda b, end: F.transform(running(b), lambda x: x + end - F.aggregate(b, F.lit(0), lambda a, y: a + y))))
-    return F.zip_with(moved, sizes, lambda end, n: F.struct((end - n).alias("start"), end.alias("end")))
+
+    def moved(sums: Column) -> Column:
+        last = F.transform(sums, lambda s: F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0)))
+        return F.flatten(F.zip_with(sums, bound(last, lambda t: F.zip_with(running(t), t, lambda end, n: end - n)), lambda s, begin: F.transform(s, lambda x: x + begin)))
+
+    def placed(sizes: Column) -> Column:
+        firsts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(sizes) / BLOCK).cast("int") - 1, F.lit(0)))
+        sums = F.transform(firsts, lambda b: running(F.slice(sizes, b * BLOCK + 1, F.lit(BLOCK))))
+        return F.zip_with(bound(sums, moved), sizes, lambda end, n: F.struct((end - n).alias("start"), end.alias("end")))
+
+    return bound(F.transform(pieces, F.octet_length), placed)
 
 
 # -- normalizers
