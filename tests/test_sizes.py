@@ -78,6 +78,7 @@ def test_round_trips_of_a_full_batch(spark, monkeypatch, data, name):
 @pytest.mark.parametrize(("name", "config"), [
     ("words_then_digits", {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "Digits", "individual_digits": True}]}),
     ("letter_runs", {"type": "Split", "pattern": {"Regex": r"\p{L}+"}, "behavior": "Isolated", "invert": False}),
+    ("bert_words", {"type": "BertPreTokenizer"}),
 ])
 def test_pieces_of_a_full_batch(spark, monkeypatch, data, name, config):
     texts, cut = many(), pre_tokenizer(config)
