@@ -100,6 +100,17 @@ def test_encodings_of_a_full_batch(spark, monkeypatch, data, name, column):
     assert pa.Table.from_batches(out)[column].to_pylist()[:100] == [getattr(t.encode(x), column) for x in texts[:100]]
 
 
+def test_lines_of_a_full_batch(spark, monkeypatch, data):
+    texts = many()
+    out = through(kernels(spark, monkeypatch, lambda: catalog.text_lines(spark, data))[-1], texts_table(texts))
+    assert len(out) > 3
+    rows = pa.Table.from_batches(out)
+    joined = {}
+    for k, line in zip(rows["doc_id"].to_pylist(), rows["line"].to_pylist()):
+        joined.setdefault(k, []).append(line)
+    assert joined == {k: re.split("\r\n|\n|\r", x) for k, x in enumerate(texts)}
+
+
 def test_running_bytes_works_its_pieces_out_once(spark):
     texts = ["", "a1é22b" * 700, "x", "1" * 5000, "a1" * 3000, None]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", c.running_bytes(c.digits(F.col("text"))).alias("p"))
