@@ -57,7 +57,7 @@ def test_byte_level_spans_of_a_full_batch(spark, monkeypatch, data):
     assert held == want
 
 
-ROUND_TRIPS = {"byte_fallback_round_trip": catalog.falling_back, "word_piece_round_trip": catalog.word_piece, "unigram_round_trip": catalog.unigram, "suffix_round_trip": catalog.suffixed}
+ROUND_TRIPS = {"byte_fallback_round_trip": catalog.falling_back, "word_piece_round_trip": catalog.word_piece, "unigram_round_trip": catalog.unigram, "suffix_round_trip": catalog.suffixed, "byte_level_round_trip": catalog.byte_level}
 
 
 @pytest.mark.parametrize("name", ROUND_TRIPS)
