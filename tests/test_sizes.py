@@ -111,6 +111,15 @@ def test_lines_of_a_full_batch(spark, monkeypatch, data):
     assert joined == {k: re.split("\r\n|\n|\r", x) for k, x in enumerate(texts)}
 
 
+def test_counts_of_a_full_batch(spark, monkeypatch, data):
+    texts = [re.sub("[^a-z]+", " ", x).strip() for x in many()]
+    calls = []
+    monkeypatch.setattr(models.WordPiece, "tokens", lambda self, word, f=models.WordPiece.tokens: calls.append(word) or f(self, word))
+    (out,) = through(kernels(spark, monkeypatch, lambda: catalog.word_piece_counts(spark, data))[-1], texts_table(texts))
+    assert len(calls) < 10_000
+    assert out.column(1).to_pylist() == [len(x.replace(" ", "")) - x.count("th") for x in texts]
+
+
 def test_running_bytes_works_its_pieces_out_once(spark):
     texts = ["", "a1é22b" * 700, "x", "1" * 5000, "a1" * 3000, None]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", c.running_bytes(c.digits(F.col("text"))).alias("p"))

@@ -149,6 +149,7 @@ def count_tokens(df: DataFrame, config: str, text: str = "text", keep: tuple[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = compiled(held.value)
         fast, more = tokenizer.words(), tokenizer.post.added(False) if add_special else 0
+        chunks = None if fast else tokenizer.chunks("none")
         for batch in batches:
             if fast:
                 found = [fast.count(batch.column(n).slice(a, b - a)) + more for a, b in text_parts(batch.column(n))]
