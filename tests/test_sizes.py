@@ -88,7 +88,7 @@ def test_pieces_of_a_full_batch(spark, monkeypatch, data, name, config):
     assert found[:200] == [[p.chars for p in cut(Text(x, None)) if p.chars] for x in texts[:200]]
 
 
-@pytest.mark.parametrize(("name", "column"), [("words_of_encodings", "words")])
+@pytest.mark.parametrize(("name", "column"), [("words_of_encodings", "words"), ("added_tokens", "ids")])
 def test_encodings_of_a_full_batch(spark, monkeypatch, data, name, column):
     texts = many()
     config = json.loads(catalog.word_level()) | ({"added_tokens": [{"id": 0, "content": "the", "special": True, "normalized": False}]} if name == "added_tokens" else {})
