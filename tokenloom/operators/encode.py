@@ -151,11 +151,16 @@ def count_tokens(df: DataFrame, config: str, text: str = "text", keep: tuple[str
         fast, more = tokenizer.words(), tokenizer.post.added(False) if add_special else 0
         chunks = None if fast else tokenizer.chunks("none")
         for batch in batches:
-            if fast:
-                found = [fast.count(batch.column(n).slice(a, b - a)) + more for a, b in text_parts(batch.column(n))]
-                found = np.concatenate(found) if found else np.zeros(0, np.int64)
-            else:
-                found = [tokenizer.count(x, add_special) for x in batch.column(n).to_pylist()]
+            found = []
+            for a, b in text_parts(batch.column(n), 2_000_000 if fast else PART):
+                column = batch.column(n).slice(a, b - a)
+                if fast:
+                    found.append(fast.count(column) + more)
+                elif chunks:
+                    found.append(chunks.count(column.to_pylist()) + more)
+                else:
+                    found.append(np.array([tokenizer.count(x, add_special) for x in column.to_pylist()], np.int64))
+            found = np.concatenate(found) if found else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(found, pa.int32())], names=[*keep, out])
 
     source = df.select(*keep, t.alias("_text"))
