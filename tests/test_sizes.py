@@ -144,3 +144,31 @@ def test_chunks_agree_with_kernels(name, unit):
             assert {k: [(o["start"], o["end"]) for o in v[a:b]] if k == "offsets" else v[a:b] for k, v in flat.items()} == {k: getattr(want, k) for k in flat}
     lists = [[rng.randrange(-1, len(t.model.vocab) + 2) for _ in range(rng.randint(0, 9))] for _ in range(300)]
     assert t.id_bytes(True).texts(pa.array(lists, pa.list_(pa.int32()))).to_pylist() == [t.decode(x) for x in lists]
+
+
+@pytest.mark.parametrize("name", ["word_piece_round_trip"])
+def test_workers_get_bounded_batches(spark, monkeypatch, tmp_path, name):
+    # 8 MB in one partition.
+    spark.range(0, 400, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("the other one "), 1430).alias("text")).write.parquet(str(tmp_path / "documents.parquet"))
+    run = type(spark.range(0)).mapInArrow
+
+    def watched(self, f, schema):
+        def worker(batches):
+            def seen():
+                for b in batches:
+                    if len(b) > 1 and b.nbytes > 5_000_000:
+                        raise ValueError(f"{b.nbytes} bytes at once")
+                    yield b
+
+            return f(seen())
+
+        return run(self, worker, schema)
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting, None)
+    spark.conf.unset(setting)
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", watched)
+    try:
+        assert catalog.QUERIES[name](spark, str(tmp_path)).count() == 400
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)

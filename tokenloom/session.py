@@ -9,10 +9,14 @@ import zipfile
 from pyspark.sql import SparkSession
 
 PACKAGE = os.path.dirname(os.path.abspath(__file__))
+#: The setting that bounds the bytes of an Arrow batch, and its value where a session has none: rows vary from a word to megabytes.
+BYTES, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once for each Spark context, so that it needn't be installed there."""
+    """Bounds what a Python worker gets at once, and sends this package to the executors once for each Spark context, so that it needn't be installed there."""
+    if spark.conf.get(BYTES, None) is None:
+        spark.conf.set(BYTES, BATCH)
     context = spark.sparkContext
     if getattr(context, "_tokenloom_shipped", False):
         return
