@@ -146,7 +146,7 @@ def test_chunks_agree_with_kernels(name, unit):
     assert t.id_bytes(True).texts(pa.array(lists, pa.list_(pa.int32()))).to_pylist() == [t.decode(x) for x in lists]
 
 
-@pytest.mark.parametrize("name", ["word_piece_round_trip", "letter_runs", "unigram_round_trip"])
+@pytest.mark.parametrize("name", ["word_piece_round_trip", "letter_runs", "unigram_round_trip", "suffix_round_trip"])
 def test_workers_get_bounded_batches(spark, monkeypatch, tmp_path, name):
     # 8 MB in one partition.
     spark.range(0, 400, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("the other one "), 1430).alias("text")).write.parquet(str(tmp_path / "documents.parquet"))
@@ -174,7 +174,7 @@ def test_workers_get_bounded_batches(spark, monkeypatch, tmp_path, name):
         spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
 
 
-@pytest.mark.parametrize("name", ["unigram"])
+@pytest.mark.parametrize("name", ["unigram", "suffixed"])
 def test_words_are_remembered_once(name):
     t = Tokenizer(getattr(catalog, name)())
     texts = [f"the {a}{b}{c}" for a in "thexyz" for b in "thexyz" for c in "thexyz"]
