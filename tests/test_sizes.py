@@ -146,7 +146,7 @@ def test_chunks_agree_with_kernels(name, unit):
     assert t.id_bytes(True).texts(pa.array(lists, pa.list_(pa.int32()))).to_pylist() == [t.decode(x) for x in lists]
 
 
-@pytest.mark.parametrize("name", ["word_piece_round_trip", "letter_runs", "unigram_round_trip", "suffix_round_trip", "words_of_encodings", "bert_words"])
+@pytest.mark.parametrize("name", ["word_piece_round_trip", "letter_runs", "unigram_round_trip", "suffix_round_trip", "words_of_encodings", "bert_words", "added_tokens"])
 def test_workers_get_bounded_batches(spark, monkeypatch, tmp_path, name):
     # 8 MB in one partition.
     spark.range(0, 400, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("the other one "), 1430).alias("text")).write.parquet(str(tmp_path / "documents.parquet"))
