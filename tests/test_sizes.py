@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tokenloom import catalog
 from tokenloom.functions import columns as c
-from tokenloom.functions import models
+from tokenloom.functions import models, text
 from tokenloom.functions.text import pre_tokenizer, Text
 from tokenloom.functions.tokenizer import Tokenizer
 from tokenloom.operators import encode as e
@@ -88,6 +88,18 @@ def test_pieces_of_a_full_batch(spark, monkeypatch, data, name, config):
     assert found[:200] == [[p.chars for p in cut(Text(x, None)) if p.chars] for x in texts[:200]]
 
 
+@pytest.mark.parametrize("invert", [False, True])
+@pytest.mark.parametrize("behavior", ["Isolated", "Removed", "Contiguous", "MergedWithPrevious", "MergedWithNext"])
+@pytest.mark.parametrize("find", [r"\p{L}+", r"\s", r"(a)|b", r"a*", r"(?=a)", r"a|(?<=x)", r"\b"])
+def test_pieces_as_strings(monkeypatch, find, behavior, invert):
+    config, rng = {"type": "Split", "pattern": {"Regex": find}, "behavior": behavior, "invert": invert}, random.Random(5)
+    kernel, quick = pre_tokenizer(config), text.piece_strings(config)
+    texts = ODD + ["".join(rng.choice("aabx 1é😀\n,") for _ in range(rng.randint(1, 30))) for _ in range(200)]
+    want = [[p.chars for p in kernel(Text(x, None)) if p.chars] for x in texts]
+    monkeypatch.setattr(text, "Text", None)  # none is made for a piece
+    assert list(map(quick, texts)) == want
+
+
 @pytest.mark.parametrize(("name", "column"), [("words_of_encodings", "words"), ("added_tokens", "ids")])
 def test_encodings_of_a_full_batch(spark, monkeypatch, data, name, column):
     texts = many()

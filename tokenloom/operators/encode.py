@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tokenloom.functions import columns
 from tokenloom.functions.batches import ByteSpans, part_at, PieceBatches
-from tokenloom.functions.text import Text, normalizer, pre_tokenizer
+from tokenloom.functions.text import Text, normalizer, piece_strings
 from tokenloom.functions.tokenizer import Spec, Tokenizer, compiled, parts_of
 from tokenloom.session import ship
 
@@ -126,11 +126,11 @@ def words_of(df: DataFrame, config: dict, text: str = "text", keep: tuple[str, .
     n, names = len(keep), [*keep, out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = pre_tokenizer(config)
+        cut = piece_strings(config)
         known = PieceBatches(config) if part_at(config) else None
         for batch in in_parts(batches, n):
             texts = texts_of(batch.column(n))
-            parts = known.pieces(texts) if known else pa.array([[p.chars for p in cut(Text(t, None)) if p.chars] for t in texts], pa.list_(pa.string()))
+            parts = known.pieces(texts) if known else pa.array(list(map(cut, texts)), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], parts], names=names)
 
     source = df.select(*keep, df[text].alias("_text"))
