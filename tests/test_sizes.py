@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tokenloom import catalog
 from tokenloom.functions import columns as c
-from tokenloom.functions import models, text
+from tokenloom.functions import batches, models, text
 from tokenloom.functions.text import pre_tokenizer, Text
 from tokenloom.functions.tokenizer import Tokenizer
 from tokenloom.operators import encode as e
@@ -192,3 +192,14 @@ def test_words_are_remembered_once(name):
     texts = [f"the {a}{b}{c}" for a in "thexyz" for b in "thexyz" for c in "thexyz"]
     t.chunks("none", ("ids",)).encode(texts, ("ids",))
     assert not t.model.known and len(t.chunks("none", ("ids",)).later) > 200
+
+
+@pytest.mark.parametrize("name", ["words_of_encodings", "added_tokens", "bert_words", "byte_level_round_trip"])
+def test_long_chunks_are_not_all_remembered(spark, monkeypatch, data, name):
+    held = []
+    for kind in (batches.Chunks, batches.WordBatches):
+        monkeypatch.setattr(kind, "coded", lambda self, x, f=kind.coded: held.append(self) or f(self, x))
+    texts = [f"{k}" + "the" * 60_000 for k in range(100)]  # 18 MB without a space
+    for _ in through(kernels(spark, monkeypatch, lambda: catalog.QUERIES[name](spark, data))[0], texts_table(texts)):
+        assert sum(len(x or "") for x in [*held[-1].later, *held[-1].first]) <= batches.ENTRIES + e.PART
+    assert held
