@@ -13,7 +13,7 @@ from tokenloom import catalog
 from tokenloom.functions import columns as c
 from tokenloom.functions import batches, models, text
 from tokenloom.functions.text import pre_tokenizer, Text
-from tokenloom.functions.tokenizer import Tokenizer
+from tokenloom.functions.tokenizer import _COMPILED, compiled, Tokenizer
 from tokenloom.operators import encode as e
 
 ODD = ["", " ", " a", "a  b ", "\nx y", "the <s> of", "other", "don't one's", "12 3４ é中😀", "a\r\nb\n", "▁ a"]
@@ -203,3 +203,16 @@ def test_long_chunks_are_not_all_remembered(spark, monkeypatch, data, name):
     for _ in through(kernels(spark, monkeypatch, lambda: catalog.QUERIES[name](spark, data))[0], texts_table(texts)):
         assert sum(len(x or "") for x in [*held[-1].later, *held[-1].first]) <= batches.ENTRIES + e.PART
     assert held
+
+
+def test_only_the_latest_tokenizer_remembers():
+    """A worker goes from query to query; what it remembers doesn't add up."""
+    texts = [f"the {a}{b}" for a in "thexyz" for b in "thexyz"]
+    for make in (catalog.suffixed, catalog.unigram, catalog.word_level, catalog.suffixed):
+        for want in (("ids",), ("ids", "words")):
+            compiled(make()).chunks("byte", want).encode(texts, want)
+            kept = [x for t in _COMPILED.values() for x in t._chunks.values() if x and len(x.later) > 1]
+            assert kept == [compiled(make()).chunks("byte", want)]
+    compiled(catalog.byte_level()).words().encode(pa.array(texts))
+    compiled(catalog.suffixed())
+    assert not compiled(catalog.byte_level()).words().later
