@@ -216,3 +216,22 @@ def test_only_the_latest_tokenizer_remembers():
     compiled(catalog.byte_level()).words().encode(pa.array(texts))
     compiled(catalog.suffixed())
     assert not compiled(catalog.byte_level()).words().later
+
+
+@pytest.mark.parametrize("flags", [{"normalized": False}, {"normalized": True}, {"single_word": True}])
+@pytest.mark.parametrize("name", ["word_level", "suffixed", "unigram", "word_piece"])
+def test_plain_words_beside_added_tokens(monkeypatch, name, flags):
+    config = json.loads(getattr(catalog, name)()) | {"added_tokens": [{"id": 0, "content": "The"} | flags]}
+    if name != "unigram":
+        config["normalizer"] = {"type": "Lowercase"}
+    t, texts = Tokenizer(json.dumps(config)), [" ".join(f"{a}{b}{c}" for b in ("the", "The", "x7")) for a in ("", "o", "é", "The") for c in ("", "r", "the", "THE", ",")]
+    calls = []
+    monkeypatch.setattr(Tokenizer, "pieces", lambda self, x, track=True, f=Tokenizer.pieces: calls.append(x) or f(self, x, track))
+    for unit in ("byte", "none"):
+        chunks = t.chunks(unit, ("ids", "offsets"))
+        ends, flat = chunks.encode(texts, ("ids", "offsets"))
+        known = len(calls)
+        got = [(flat["ids"].to_pylist()[a:b], [(o["start"], o["end"]) for o in flat["offsets"].to_pylist()[a:b]]) for a, b in zip(ends, ends[1:])]
+        assert got == [(x.ids, x.offsets) for x in map(lambda x: t.encode(x, unit=unit), texts)]
+        assert "or" not in {x.strip() for x in calls[:known]} and "ox7r" not in {x.strip() for x in calls[:known]}
+        calls.clear()
