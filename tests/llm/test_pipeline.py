@@ -4,13 +4,14 @@ import itertools
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 import __spark_entry__ as entry
-from tokenloom.llm import packing, queries
-from tokenloom.llm.common import forget, stored
+from tokenloom.llm import bpe, packing, queries
+from tokenloom.llm.common import forget, salted_join, stored
 
 
 def test_registered():
@@ -83,3 +84,34 @@ def test_forgotten_tables_are_gone(spark):
     assert not os.path.exists(path)
     outside = spark.createDataFrame([(1,)], "k long")
     forget(outside)
+
+
+def test_tables_of_the_driver_need_no_python_workers(spark):
+    """Slots and hot keys are local tables: lists of rows would start Python workers beside those of the kernels."""
+    many = spark.createDataFrame(pa.table({"k": [1] * 300 + [None, 2], "v": list(range(302))}))
+    few = spark.createDataFrame(pa.table({"k": [1, 2, None], "w": [b"a", b"b", b"c"]}))
+    joined = salted_join(many, few, ["k"], seed="v")
+    assert joined.columns == ["k", "v", "w"]
+    assert sorted((r["k"], r["v"], bytes(r["w"])) for r in joined.collect()) == [(1, v, b"a") for v in range(300)] + [(2, 301, b"b")]
+    rows = spark.createDataFrame(pa.table({"doc_id": [1, 2, 3], "start": [0, 0, 0], "length": [5, 5, 2048], "ids_crc32": [7, 8, 9], "doc_tokens": [5, 5, 2048]}))
+    packed = packing.pack(rows)
+    assert sorted((r["doc_id"], r["offset"]) for r in packed.collect()) == [(1, 0), (2, 5), (3, 0)]
+    assert packing.pack(rows.limit(0)).count() == 0
+    for df in (joined, packed):
+        assert "RDD" not in df._jdf.queryExecution().toString()
+
+
+def test_packing_gives_memory_back_part_by_part(monkeypatch):
+    """Lean parts are small, what they free is given back after each, and the pieces are the same."""
+    pytest.importorskip("public_tokenizers")
+    model = bpe.Bpe(queries.tokenizer("word_bpe_49k.json"), 1000)
+    texts = [None, "", *(f"Some words, number {k} and {k * 7919}.\n" * 2000 for k in range(40))]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "_text"])
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
+    given = []
+    monkeypatch.setattr(packing, "give_back", lambda: given.append(1))
+    plain = list(packing.in_parts([batch], model, 2048, 1, True, names))
+    assert not given
+    lean = list(packing.in_parts([batch], model, 2048, 1, True, names, lean=True))
+    assert len(given) == len(lean) >= 3 * len(plain)
+    assert pa.Table.from_batches(lean).combine_chunks() == pa.Table.from_batches(plain).combine_chunks()

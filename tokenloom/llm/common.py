@@ -71,6 +71,13 @@ def small_batches(spark: SparkSession, rows: int = 20_000, size: str = "6m") ->
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def give_back() -> None:
+    """Returns memory that is free, but kept by the allocators of Arrow and C, to the system."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A kernel that gives freed memory back at its end: Python workers stay, and what one stage needed would pile up."""
 
@@ -78,9 +85,7 @@ def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-                libc.malloc_trim(0)
+            give_back()
 
     return wrapped
 
@@ -103,11 +108,12 @@ def salted_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "in
     if total is None:
         total = counts.agg(F.sum("count")).first()[0] or 0
     least = max(64, math.ceil(total / HOT_KEYS))
-    hot = counts.where(F.col("count") >= least).select(*keys, F.ceil(F.col("count") / least).cast("int").alias("_salts")).collect()
-    if not hot:
+    hot = counts.where(F.col("count") >= least).select(*keys, F.ceil(F.col("count") / least).cast("int").alias("_salts"))
+    # As an Arrow table: a list of rows would go through Python workers of another kind, which stay beside those of the kernels.
+    found = hot.toArrow()
+    if not found.num_rows:
         return many.join(few, keys, how)
-    schema = with_field(few.select(*keys).schema, "_salts", T.IntegerType())
-    splits = F.broadcast(many.sparkSession.createDataFrame([tuple(r) for r in hot], schema))
+    splits = F.broadcast(many.sparkSession.createDataFrame(found, hot.schema))
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in ([seed] if seed else [c for c in many.columns if c not in keys])]), F.coalesce(F.col("_salts"), F.lit(1)))
     left = many.join(splits, keys, "left").withColumn("_salt", spread.cast("int")).drop("_salts")
     right = few.join(splits, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")

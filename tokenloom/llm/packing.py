@@ -23,11 +23,45 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenloom.llm.bpe import KEPT, load, slices, unload
-from tokenloom.llm.common import stored, trimmed, with_field
+from tokenloom.llm.bpe import KEPT, Bpe, load, slices, unload
+from tokenloom.llm.common import give_back, stored, trimmed, with_field
 
 #: Pieces of one length are ranked in buckets of about ROWS, of which there are MOST at most.
 ROWS, MOST = 1000, 4096
+#: Bytes of text that are worked on at once, and where memory matters more than time.
+PART, LEAN = 2_000_000, 500_000
+
+
+def cut(rows: pa.RecordBatch, bpe: Bpe, size: int, end_id: int, with_ids: bool, names: list[str]) -> pa.RecordBatch:
+    """The pieces of the rows (key, text)."""
+    every, ends = bpe.encode_column(rows.column(1))
+    total = np.diff(ends) + 1
+    stops = np.cumsum(total)
+    flat = np.full(int(stops[-1]), end_id, "<u4")
+    own = np.ones(len(flat), bool)
+    own[stops - 1] = False
+    flat[own] = every
+    n = -(-total // size)
+    owner = np.repeat(np.arange(rows.num_rows), n)
+    start = (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)) * size
+    length = np.minimum(size, total[owner] - start)
+    at = (stops - total)[owner] + start
+    raw = memoryview(flat).cast("B")
+    crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist())]
+    columns = [rows.column(0).take(pa.array(owner)), *(pa.array(x, pa.int64()) for x in (start, length, crc, total[owner]))]
+    if with_ids:
+        columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, stops[-1]), pa.int32()), pa.array(flat.view("<i4"))))
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def in_parts(batches: Iterator[pa.RecordBatch], bpe: Bpe, size: int, end_id: int, with_ids: bool, names: list[str], lean: bool = False) -> Iterator[pa.RecordBatch]:
+    """The pieces of all batches, part by part. lean: smaller parts, and what each has freed is given back before the next."""
+    for batch in batches:
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0))
+        for part in slices(sizes, LEAN if lean else PART):
+            yield cut(batch.slice(part.start, part.stop - part.start), bpe, size, end_id, with_ids, names)
+            if lean:
+                give_back()
 
 
 def pieces(df: DataFrame, config: str, size: int = 2048, end_id: int = 1, text: str = "text", key: str = "doc_id", with_ids: bool = False, kept: int = KEPT) -> DataFrame:
@@ -35,29 +69,7 @@ def pieces(df: DataFrame, config: str, size: int = 2048, end_id: int = 1, text:
     held = df.sparkSession.sparkContext.broadcast(config)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(held.value, kept)
-        for batch in batches:
-            sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0))
-            for part in slices(sizes):
-                rows = batch.slice(part.start, part.stop - part.start)
-                every, ends = bpe.encode_column(rows.column(1))
-                total = np.diff(ends) + 1
-                stops = np.cumsum(total)
-                flat = np.full(int(stops[-1]), end_id, "<u4")
-                own = np.ones(len(flat), bool)
-                own[stops - 1] = False
-                flat[own] = every
-                n = -(-total // size)
-                owner = np.repeat(np.arange(rows.num_rows), n)
-                start = (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)) * size
-                length = np.minimum(size, total[owner] - start)
-                at = (stops - total)[owner] + start
-                raw = memoryview(flat).cast("B")
-                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist())]
-                columns = [rows.column(0).take(pa.array(owner)), *(pa.array(x, pa.int64()) for x in (start, length, crc, total[owner]))]
-                if with_ids:
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, stops[-1]), pa.int32()), pa.array(flat.view("<i4"))))
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        yield from in_parts(batches, load(held.value, kept), size, end_id, with_ids, schema.names, kept < KEPT)
         if kept < KEPT:
             unload()
 
@@ -135,8 +147,9 @@ def pack(df: DataFrame, size: int = 2048, key: str = "doc_id") -> DataFrame:
         .withColumn("_rank", F.col("_before") + F.col("_at") - 1)
     )
     # As many rows as the patterns have slots: a few for each of `size` lengths, whatever the number of documents.
-    placed = spark.createDataFrame(slots(shortest_pack_first(histogram, size)), "length long, _lo long, _hi long, _sequence long, offset long")
-    placed = placed.withColumnRenamed("length", "_length")
+    # As an Arrow table: a list of rows would go through Python workers of another kind, which stay beside those of the kernels.
+    places = np.array(slots(shortest_pack_first(histogram, size)), np.int64).reshape(-1, 5)
+    placed = spark.createDataFrame(pa.table([pa.array(c) for c in places.T], names=["_length", "_lo", "_hi", "_sequence", "offset"]))
     found = ranked.join(F.broadcast(placed), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))
     return found.select(*df.columns, (F.col("_sequence") + F.col("_rank") - F.col("_lo")).alias("sequence_id"), "offset")
 
